@@ -6,14 +6,20 @@ length are read once per attempt inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placebook.functions.contacts import strip
+from placebook.functions.once import let
 
 # A number no reply is expected to hold; one that does takes the slower exact check.
 _GUARD = "864691128455135232"
 
+# The blanks JSON allows around a value.
+_JSON_BLANKS = " \t\n\r"
+
 
 def strict_json(text: Column) -> Column:
     """The text as one JSON value.
@@ -21,22 +27,44 @@ def strict_json(text: Column) -> Column:
     Spark's parser stops after the first value and ignores what follows. Putting the text
     into an array in front of a guard number makes anything after the value visible.
     """
-    guarded = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_GUARD}]")))
-    whole = F.variant_get(guarded, "$[1]", "string") == _GUARD
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = in_object.isNotNull() & F.variant_get(in_list, "$[1]", "variant").isNull()
-    return F.when(
-        F.contains(text, F.lit(_GUARD)),
-        F.when(alone, F.variant_get(in_list, "$[0]", "variant")),
-    ).when(whole, F.variant_get(guarded, "$[0]", "variant"))
+
+    def alone(text: Column) -> Column:
+        in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+        one = in_object.isNotNull() & F.variant_get(in_list, "$[1]", "variant").isNull()
+        return F.when(one, F.variant_get(in_list, "$[0]", "variant"))
+
+    def guarded(text: Column) -> Column:
+        pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_GUARD}]")))
+        return let(
+            pair,
+            lambda p: F.when(
+                F.variant_get(p, "$[1]", "string") == _GUARD, F.variant_get(p, "$[0]", "variant")
+            ),
+        )
+
+    def parsed(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(_GUARD)), alone(text)).otherwise(guarded(text))
+
+    # Prose is told by its first character; a failed parse costs far more than a look.
+    starts = list('{["-0123456789')
+    return let(
+        F.ltrim(text, F.lit(_JSON_BLANKS)),
+        lambda t: F.when(F.substring(t, 1, 1).isin(starts), parsed(t)).when(
+            F.rtrim(t, F.lit(_JSON_BLANKS)).isin("true", "false", "null"), parsed(t)
+        ),
+    )
 
 
 def widest_slice(text: Column, opening: str, closing: str) -> Column:
     """From the first opening to the last closing bracket; null if there is no such span."""
-    first = F.instr(text, opening)
-    last = F.length(text) - F.length(F.substring_index(text, closing, -1))
-    return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
+
+    def cut(text: Column) -> Column:
+        first = F.instr(text, opening)
+        last = F.length(text) - F.length(F.substring_index(text, closing, -1))
+        return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
+
+    return let(text, cut)
 
 
 def balanced_slice(text: Column, opening: str, closing: str) -> Column:
@@ -46,9 +74,6 @@ def balanced_slice(text: Column, opening: str, closing: str) -> Column:
     when the pieces so far hold ``i + 1`` openings, so the fold runs once per closing bracket
     and not once per character.
     """
-    first = F.instr(text, opening)
-    rest = F.substring(text, first, F.length(text))
-    pieces = F.split(rest, "\\" + closing)
     start = F.struct(
         F.lit(0).alias("open"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end")
     )
@@ -63,13 +88,21 @@ def balanced_slice(text: Column, opening: str, closing: str) -> Column:
             F.coalesce(state["end"], F.when(depth == 0, read)).alias("end"),
         )
 
-    # The piece after the last closing bracket has none behind it.
-    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    end = F.aggregate(closed, start, step, lambda state: state["end"])
-    return F.when((first > 0) & F.contains(rest, F.lit(closing)), F.substring(rest, F.lit(1), end))
+    def cut(rest: Column) -> Column:
+        # The piece after the last closing bracket has none behind it.
+        pieces = F.split(rest, "\\" + closing)
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        end = F.aggregate(closed, start, step, lambda state: state["end"])
+        return F.when(F.contains(rest, F.lit(closing)), F.substring(rest, F.lit(1), end))
+
+    def rest_of(text: Column) -> Column:
+        first = F.instr(text, opening)
+        return F.when(first > 0, F.substring(text, first, F.length(text)))
 
+    return let(let(text, rest_of), cut)
 
-def _from_slices(text: Column, cut) -> Column:
+
+def _from_slices(text: Column, cut: Callable[[Column, str, str], Column]) -> Column:
     """Value of the list slice if it parses, else of the object slice."""
     return F.coalesce(strict_json(cut(text, "[", "]")), strict_json(cut(text, "{", "}")))
 
@@ -85,13 +118,14 @@ def greedy_json(text: Column, prefer: str = "array") -> Column:
         return _from_slices(text, widest_slice)
     if prefer != "outermost":
         raise ValueError(f"unknown preference {prefer!r}")
-    brace, bracket = F.instr(text, "{"), F.instr(text, "[")
-    object_first = (brace > 0) & ((bracket == 0) | (brace < bracket))
-    as_object = strict_json(widest_slice(text, "{", "}"))
-    as_list = strict_json(widest_slice(text, "[", "]"))
-    return F.when(object_first, F.coalesce(as_object, as_list)).otherwise(
-        F.coalesce(as_list, as_object)
-    )
+
+    def outer(text: Column) -> Column:
+        brace, bracket = F.instr(text, "{"), F.instr(text, "[")
+        object_first = (brace > 0) & ((bracket == 0) | (brace < bracket))
+        as_object = strict_json(widest_slice(text, "{", "}"))
+        return F.coalesce(F.when(object_first, as_object), _from_slices(text, widest_slice))
+
+    return let(text, outer)
 
 
 def reply_json(text: Column, prefer: str = "array") -> Column:
@@ -114,7 +148,5 @@ def balanced_json(text: Column) -> Column:
     Brackets inside JSON strings count too, and one candidate per bracket kind is tried. A
     text that is just ``null`` has no value.
     """
-    whole = strict_json(strip(text))
-    return F.coalesce(
-        F.when(~F.is_variant_null(whole), whole), _from_slices(text, balanced_slice)
-    )
+    whole = let(strict_json(strip(text)), lambda v: F.when(~F.is_variant_null(v), v))
+    return F.coalesce(whole, _from_slices(text, balanced_slice))

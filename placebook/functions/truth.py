@@ -8,28 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placebook.functions.once import let
+
 
 def present_scalar(value: Column) -> Column:
     """Truth of a variant that is neither a list nor an object."""
     text = F.variant_get(value, "$", "string")
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(text.isNull(), False)
+    number = F.try_variant_get(value, "$", "double")
+    return let(
+        F.schema_of_variant(value),
+        lambda kind: F.when(kind == "VOID", False)
         .when(kind == "STRING", text != "")
         .when(kind == "BOOLEAN", text == "true")
-        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+        .otherwise(F.coalesce(number != 0, F.lit(True))),
     )
 
 
 def present_variant(value: Column) -> Column:
     """Truth of any variant; lists and objects count when they have a member."""
-    members = F.try_variant_get(value, "$", "array<variant>")
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    return (
-        F.when(value.isNull(), False)
-        .when(members.isNotNull(), F.size(members) > 0)
-        .when(fields.isNotNull(), F.size(fields) > 0)
-        .otherwise(present_scalar(value))
+
+    def has_member(collection: Column) -> Column:
+        return let(collection, lambda c: F.when(c.isNotNull(), F.size(c) > 0))
+
+    return F.when(value.isNull(), False).otherwise(
+        F.coalesce(
+            has_member(F.try_variant_get(value, "$", "array<variant>")),
+            has_member(F.try_variant_get(value, "$", "map<string,variant>")),
+            present_scalar(value),
+        )
     )
 
 

@@ -25,6 +25,7 @@ from placebook.fixed_values import (
     WEB_MARK,
 )
 from placebook.functions.contacts import joined, search_task_id, strip
+from placebook.functions.once import with_once
 from placebook.functions.payload import plan_json
 from placebook.functions.templates import fill, json_object
 from placebook.operators.normalise import member, text_of
@@ -155,8 +156,8 @@ def tasks_from_replies(replies: DataFrame, text: str) -> tuple[DataFrame, DataFr
     """
     prepare(replies.sparkSession)
     kept = [c for c in replies.columns if c != text]
-    parsed = replies.select(*kept, plan_json(F.col(text)).alias("plan"))
-    items = parsed.withColumn("items", F.try_variant_get("plan", "$", "array<variant>"))
+    plan = F.try_variant_get(plan_json(F.col(text)), "$", "array<variant>")
+    items = with_once(replies, items=plan).select(*kept, "items")
     bad_replies = items.where("items IS NULL").select(
         *kept, F.lit(None).cast("int").alias("pos"), F.lit("plan is not a list").alias("problem")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placebook.functions.once import with_once
 from placebook.functions.payload import strict_json
 from placebook.session import prepare
 
@@ -28,16 +29,13 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     Files whose stem ends in ``_raw`` are skipped.
     """
     prepare(texts.sparkSession)
-    parsed = texts.where(~F.col("file").rlike(r"_raw\.[^.]*$")).select(
-        "file",
-        F.when(F.is_valid_utf8("value"), strict_json(F.col("value"))).alias("v"),
-        F.is_valid_utf8("value").alias("readable"),
-        (F.length("value") > 0).alias("filled"),
-    )
+    named = texts.where(~F.col("file").rlike(r"_raw\.[^.]*$"))
+    valid = F.is_valid_utf8("value")
+    parsed = with_once(named, v=F.when(valid, strict_json(F.col("value"))))
     problem = (
         F.when(F.col("v").isNotNull(), F.lit(None).cast("string"))
-        .when(~F.col("readable"), "encoding")
-        .when(~F.col("filled"), "empty")
+        .when(~valid, "encoding")
+        .when(F.length("value") == 0, "empty")
         .otherwise("not json")
     )
     return parsed.select("file", "v", problem.alias("problem"))
