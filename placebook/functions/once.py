@@ -17,11 +17,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def with_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later filters and projections read instead of computing again.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Select columns that later filters and projections read instead of computing again.
 
     A filter on a plain computed column is pushed below its projection and repeats the
     expression there. It cannot be pushed below a generator, which here yields one row per row.
     """
-    one = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(one)))
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(F.inline(F.array(row)))
+
+
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns added as in ``once``."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

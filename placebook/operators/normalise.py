@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placebook.functions.once import once
 from placebook.functions.truth import count_true, present_field, present_variant
 from placebook.session import prepare
 
@@ -18,6 +19,21 @@ EXTRA_FIELDS = ["business_details", "key_contacts", "online_presence"]
 LISTING_FIELDS = ["company_name", "city", "state", *CONTACT_FIELDS, "industry", "source_task"]
 
 
+# What is read of a business element, of a profile, and of the envelope around a list. Where
+# absent and null differ, or the JSON type matters, the member is kept as a variant.
+_BUSINESS = (
+    "struct<company_name string, city variant, state variant, "
+    "address string, phone string, website string, email string>"
+)
+_PROFILE = (
+    "struct<company_name string, "
+    "location struct<city variant, state variant, address string>, "
+    "contact struct<phone string, website string, email string>, "
+    "business_details variant, key_contacts variant, online_presence variant>"
+)
+_ENVELOPE = "struct<city variant, state variant, industry variant, task_id variant>"
+
+
 def member(value: Column, path: str) -> Column:
     """Member as a variant: null when absent, a variant null when it is there but null."""
     return F.variant_get(value, "$." + path, "variant")
@@ -27,77 +43,93 @@ def text_of(value: Column) -> Column:
     return F.variant_get(value, "$", "string")
 
 
-def _list_of(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def text_or(value: Column, default: Column) -> Column:
+    """Text of a variant, or a default if it is absent; a variant null stays null."""
+    return F.when(value.isNull(), default).otherwise(text_of(value))
+
+
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
 
 
 def _is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def _text_or_null(value: Column) -> Column:
-    """True when a variant is a string, null or absent."""
-    return F.coalesce(F.schema_of_variant(value).isin("STRING", "VOID"), F.lit(True))
+def _not_text(value: Column, text: Column) -> Column:
+    """True when a variant is neither a string nor null nor absent.
+
+    Only texts that read like a number, a truth value, a list or an object need a look at it.
+    """
+    unlike = F.substring(text, 1, 1).isin(list("-0123456789[{")) | text.isin("true", "false")
+    return F.coalesce(F.when(unlike, F.schema_of_variant(value) != "STRING"), F.lit(False))
 
 
 def with_elements(documents: DataFrame) -> DataFrame:
     """One row per business element, with shape and the fields its envelope hands down.
 
-    A document that fails as a whole gives one row with ``problem`` set. So does nothing for
-    documents of no known shape: they give one row without ``element``, which marks that the
+    A document that fails as a whole gives one row with ``problem`` set. A document of no
+    known shape or without elements gives one row without ``element``; it marks that the
     document was read.
     """
     v = F.col("v")
-    listed = member(v, "businesses")
-    staged = documents.withColumns({"listed": listed, "as_list": _list_of(v)})
+    before = F.col("problem") if "problem" in documents.columns else F.lit(None).cast("string")
+    kept = [c for c in documents.columns if c not in ("v", "problem")]
+    listed = F.try_variant_get(v, "$.businesses", "array<variant>")
+    staged = documents.select(*kept, "v", before.alias("problem"), listed.alias("listed"))
     shape = (
-        F.when(F.col("listed").isNotNull(), "envelope")
+        F.when(F.col("listed").isNotNull() | member(v, "businesses").isNotNull(), "envelope")
         .when(member(v, "company_name").isNotNull(), "profile")
-        .when(F.col("as_list").isNotNull(), "list")
     )
     staged = staged.withColumn("shape", shape)
-    profile = F.col("shape") == "profile"
+    envelope, profile = F.col("shape") == "envelope", F.col("shape") == "profile"
+    bare = F.when(F.col("shape").isNull(), _as(v, "array<variant>"))
+    staged = staged.withColumns({"bare": bare, "env": F.when(envelope, _as(v, _ENVELOPE))})
+    staged = staged.withColumns(
+        {
+            "shape": F.coalesce("shape", F.when(F.col("bare").isNotNull(), "list")),
+            "task_id": F.when(envelope, F.col("env.task_id")).when(profile, member(v, "task_id")),
+        }
+    )
+    empty = F.lit("")
+    handed = {
+        "env_city": F.when(envelope, text_or(F.col("env.city"), empty)).otherwise(empty),
+        "env_state": F.when(envelope, text_or(F.col("env.state"), empty)).otherwise(empty),
+        "env_industry": F.when(envelope, text_or(F.col("env.industry"), empty)),
+        "env_task": text_or(F.col("task_id"), F.col("file")),
+    }
+    staged = staged.withColumns(handed)
 
     def not_object(name: str) -> Column:
         part = member(v, name)
         return profile & part.isNotNull() & ~_is_object(part)
 
-    elements = (
-        F.when(F.col("shape") == "envelope", _list_of(F.col("listed")))
-        .when(profile, F.array(v))
-        .when(F.col("shape") == "list", F.col("as_list"))
-    )
-    envelope = F.col("shape") == "envelope"
-    staged = staged.withColumns(
-        {
-            "elements": elements,
-            "env_city": F.when(envelope, member(v, "city")),
-            "env_state": F.when(envelope, member(v, "state")),
-            "env_industry": F.when(
-                envelope, F.coalesce(member(v, "industry"), F.parse_json(F.lit('""')))
-            ),
-            "env_task": F.when(F.col("shape") != "list", member(v, "task_id")),
-        }
-    )
-    problem = (
-        F.col("problem") if "problem" in documents.columns else F.lit(None).cast("string")
-    )
     # An empty object or an empty string in place of the list simply holds no business.
-    no_list = envelope & F.col("elements").isNull() & ~F.schema_of_variant("listed").isin(
-        "OBJECT<>"
-    ) & (F.coalesce(text_of(F.col("listed")), F.lit("?")) != "")
-    problem = (
-        F.when(problem.isNotNull(), problem)
+    stand_in = member(v, "businesses")
+    no_list = (
+        envelope
+        & F.col("listed").isNull()
+        & ~F.schema_of_variant(stand_in).startswith("OBJECT<>")
+        & (F.coalesce(text_of(stand_in), F.lit("?")) != "")
+    )
+    task_present = present_field(F.col("task_id"), F.col("env_task"))
+    flags = {
+        "bad_city": envelope & _not_text(F.col("env.city"), F.col("env_city")),
+        "bad_state": envelope & _not_text(F.col("env.state"), F.col("env_state")),
+        "has_industry": present_field(F.col("env.industry"), F.col("env_industry")),
+        "has_task": F.when(F.col("task_id").isNull(), F.length("file") > 0).otherwise(task_present),
+        "problem": F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(no_list, "businesses is not a list")
         .when(not_object("location"), "location is not an object")
-        .when(not_object("contact"), "contact is not an object")
-    )
-    kept = [c for c in documents.columns if c not in ("v", "problem")]
-    staged = staged.withColumn("problem", problem)
-    failed = F.col("problem").isNotNull()
+        .when(not_object("contact"), "contact is not an object"),
+        "elements": F.when(profile, F.array(v)).otherwise(F.coalesce("listed", "bare")),
+    }
+    staged = staged.withColumns(flags)
+    usable = F.when(F.col("problem").isNull(), F.col("elements"))
     return staged.select(
-        *kept, "problem", "shape", "env_city", "env_state", "env_industry", "env_task",
-        F.posexplode_outer(F.when(~failed, F.col("elements"))).alias("pos", "element"),
+        *kept, "problem", "shape", *handed,
+        *[name for name in flags if name not in ("problem", "elements")],
+        F.posexplode_outer(usable).alias("pos", "element"),
     )
 
 
@@ -106,92 +138,82 @@ def normalise(documents: DataFrame) -> DataFrame:
 
     Result: the nine listing fields, ``extra`` (nested attributes of a profile), ``filled``
     (number of present values), ``file`` and ``pos`` (where it was seen), ``first`` (marks the
-    one row that stands for its document) and ``problem``. Rows with a problem and rows without
-    a business are kept here; see ``listings`` and ``rejected``.
+    one row that stands for its document), ``is_business`` and ``problem``. Rows with a problem
+    and rows without a business are kept here; see ``listings`` and ``rejected``.
     """
     prepare(documents.sparkSession)
-    rows = with_elements(documents)
     e = F.col("element")
-    profile = F.coalesce(F.col("shape") == "profile", F.lit(False))
-    empty = F.parse_json(F.lit('""'))
+    is_profile = F.coalesce(F.col("shape") == "profile", F.lit(False))
+    rows = with_elements(documents).withColumns(
+        {
+            "profile": F.when(is_profile, _as(e, _PROFILE)),
+            "business": F.when(~is_profile, _as(e, _BUSINESS)),
+        }
+    )
+    passed = [c for c in documents.columns if c not in ("v", "problem")]
+    handed = [c for c in rows.columns if c.startswith(("env_", "bad_", "has_"))]
 
-    def place(name: str) -> Column:
-        inherited = F.coalesce(member(e, name), F.col("env_" + name), empty)
-        return F.when(profile, F.coalesce(member(e, "location." + name), empty)).otherwise(
-            inherited
-        )
+    def either(path: str, name: str) -> Column:
+        return F.when(is_profile, F.col("profile")[path][name]).otherwise(F.col("business")[name])
 
-    def contact(name: str) -> Column:
-        home = "location." if name == "address" else "contact."
-        return F.when(profile, member(e, home + name)).otherwise(member(e, name))
-
-    variants = {"company_name": member(e, "company_name"), "city": place("city")}
-    variants["state"] = place("state")
-    variants |= {name: contact(name) for name in CONTACT_FIELDS}
-    variants["industry"] = F.col("env_industry")
-    variants |= {name: F.when(profile, member(e, name)) for name in EXTRA_FIELDS}
-    kept = [
-        c for c in rows.columns if not c.startswith("env_") and c not in ("element", "shape")
-    ]
-    raw = rows.select(
-        *kept, "env_task", profile.alias("profile"), e.isNotNull().alias("has_element"),
-        F.when(member(e, "company_name").isNull() & e.isNotNull(), _is_object(e)).alias(
-            "nameless_object"
-        ),
-        F.col("shape").alias("shape"),
-        *[value.alias("v_" + name) for name, value in variants.items()],
-    )
-    texts = {
-        name: text_of(F.col("v_" + name))
-        for name in LISTING_FIELDS if name != "source_task"
+    contacts = {
+        name: either("location" if name == "address" else "contact", name)
+        for name in CONTACT_FIELDS
     }
-    # Absent task id: the file stands in. A bare list never has one.
-    texts["source_task"] = F.when(F.col("env_task").isNull(), F.col("file")).otherwise(
-        text_of(F.col("env_task"))
+    typed = rows.select(
+        *passed, *handed, "shape", "problem", "pos", "element", is_profile.alias("is_profile"),
+        F.coalesce("profile.company_name", "business.company_name").alias("company_name"),
+        either("location", "city").alias("own_city"),
+        either("location", "state").alias("own_state"),
+        *[value.alias(name) for name, value in contacts.items()],
+        *[F.col("profile")[name].alias(name) for name in EXTRA_FIELDS],
     )
-    typed = raw.withColumns(texts)
-    truths = {
-        name: present_field(F.col("v_" + name), F.col(name))
-        for name in LISTING_FIELDS if name != "source_task"
-    }
-    task_present = F.when(F.col("env_task").isNull(), F.length("file") > 0).otherwise(
-        present_field(F.col("env_task"), F.col("source_task"))
+    typed = typed.withColumns(
+        {name: text_or(F.col("own_" + name), F.col("env_" + name)) for name in ("city", "state")}
     )
-    extras = [present_variant(F.col("v_" + name)) for name in EXTRA_FIELDS]
+
+    def bad_place(name: str) -> Column:
+        own = F.col("own_" + name)
+        return F.when(own.isNull(), F.col("bad_" + name)).otherwise(_not_text(own, F.col(name)))
+
+    def has_contact(name: str) -> Column:
+        home = "location." if name == "address" else "contact."
+        own = F.when(F.col("is_profile"), member(e, home + name)).otherwise(member(e, name))
+        return present_field(own, F.col(name))
+
+    # Rows whose name or place is no text are rejected, so places count as texts.
+    truths = [F.coalesce(F.length(name) > 0, F.lit(False)) for name in ("city", "state")]
+    truths += [has_contact(name) for name in CONTACT_FIELDS]
+    truths += [F.col("has_industry"), F.col("has_task")]
+    truths += [present_variant(F.col(name)) for name in EXTRA_FIELDS]
+    name, has_element = member(e, "company_name"), e.isNotNull()
+    has_name = present_field(name, F.col("company_name"))
+    no_text = F.col("company_name").isNull() | _not_text(name, F.col("company_name"))
     scored = typed.withColumns(
         {
-            "has_name": truths["company_name"],
-            "filled": count_true([*truths.values(), task_present, *extras]),
+            "named": (has_name | F.col("is_profile")) & has_element,
+            "filled": count_true([has_name, *truths]),
+            "stray": has_element & (F.col("shape") == "envelope")
+            & F.col("company_name").isNull() & ~_is_object(e),
+            "bad_name": no_text,
+            "bad_city": bad_place("city"),
+            "bad_state": bad_place("state"),
         }
     )
-    named = F.col("has_name") | F.col("profile")
     problem = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(
-            (F.col("shape") == "envelope") & F.col("has_element") & ~F.col("nameless_object"),
-            "business is not an object",
-        )
-        .when(
-            named & (F.schema_of_variant("v_company_name") != "STRING"),
-            "company_name is not a text",
-        )
-        .when(named & ~_text_or_null(F.col("v_city")), "city is not a text")
-        .when(named & ~_text_or_null(F.col("v_state")), "state is not a text")
-    )
-    extra = F.when(
-        F.col("profile"), F.struct(*[F.col("v_" + name).alias(name) for name in EXTRA_FIELDS])
-    )
-    passed = [c for c in documents.columns if c not in ("v", "problem")]
-    return scored.select(
-        *LISTING_FIELDS,
-        extra.alias("extra"),
-        "filled",
-        *passed,
-        F.coalesce("pos", F.lit(0)).alias("pos"),
-        (F.coalesce("pos", F.lit(0)) == 0).alias("first"),
-        (F.col("has_element") & named).alias("is_business"),
-        problem.alias("problem"),
+        .when(F.col("stray"), "business is not an object")
+        .when(F.col("named") & F.col("bad_name"), "company_name is not a text")
+        .when(F.col("named") & F.col("bad_city"), "city is not a text")
+        .when(F.col("named") & F.col("bad_state"), "state is not a text")
     )
+    place = F.coalesce("pos", F.lit(0))
+    final = {name: F.col(name) for name in ("company_name", "city", "state", *CONTACT_FIELDS)}
+    final |= {"industry": F.col("env_industry"), "source_task": F.col("env_task")}
+    final["extra"] = F.when(F.col("is_profile"), F.struct(*EXTRA_FIELDS))
+    final |= {"filled": F.col("filled")} | {name: F.col(name) for name in passed}
+    final |= {"pos": place, "first": place == 0, "is_business": F.col("named"), "problem": problem}
+    return once(scored, **final)
 
 
 def listings(normalised: DataFrame) -> DataFrame:

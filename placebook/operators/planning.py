@@ -28,7 +28,7 @@ from placebook.functions.contacts import joined, search_task_id, strip
 from placebook.functions.once import with_once
 from placebook.functions.payload import plan_json
 from placebook.functions.templates import fill, json_object
-from placebook.operators.normalise import member, text_of
+from placebook.operators.normalise import member, text_or
 from placebook.session import prepare
 
 TASK_FIELDS = {
@@ -172,9 +172,8 @@ def tasks_from_replies(replies: DataFrame, text: str) -> tuple[DataFrame, DataFr
         for name, kind in TASK_FIELDS.items()
     }
     position = F.concat(F.lit("task_"), F.col("pos").cast("string"))
-    for name, default in (("task_id", position), ("task_type", F.lit(CITY_SEARCH))):
-        value = member(spec, name)
-        fields[name] = F.when(value.isNull(), default).otherwise(text_of(value))
+    fields["task_id"] = text_or(member(spec, "task_id"), position)
+    fields["task_type"] = text_or(member(spec, "task_type"), F.lit(CITY_SEARCH))
     tasks = specs.where(is_object).select(
         *kept, "pos", "spec", *[value.alias(name) for name, value in fields.items()]
     )
