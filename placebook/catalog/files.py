@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.catalog.base import Book, derive, plain, table
+from placebook.catalog.base import Book, derive, plain
 from placebook.catalog.listings import PART_LISTINGS, WINNERS_SQL, part_winners
 from placebook.catalog.texts import REPLIES, REPLY_SQL, replies
 from placebook.fixed_values import CSV_COLUMNS
-from placebook.functions.payload import reply_json
 from placebook.functions.once import with_once
+from placebook.functions.payload import reply_json
 from placebook.plans.directory import build_directory
 from placebook.session import fresh_path
 from placebook.sinks.exports import (
@@ -47,7 +47,6 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 def _write_files(spark: SparkSession, texts: DataFrame, name: str) -> str:
     """Write every text as a file of its own and return the folder."""
     path = fresh_path(spark, name)
-    # A byte order of any kind of line end must survive, so no line end is added here.
     texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -95,7 +94,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUILT_SQL = f"""
-WITH docs AS (SELECT * FROM ({plain(SUPPLIER_DOCUMENTS)}) WHERE s_suppkey % 9 <> 8),
+WITH docs AS (SELECT * FROM ({plain(SUPPLIER_DOCUMENTS)}) WHERE json_valid(value)),
 cities AS (SELECT s_suppkey, s_name, n_name, r_name FROM supplier
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   WHERE s_suppkey IN (SELECT s_suppkey FROM docs)),
