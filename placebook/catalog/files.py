@@ -51,7 +51,7 @@ def _write_files(spark: SparkSession, texts: DataFrame, name: str) -> str:
     return path
 
 
-def _supplier_folder(spark: SparkSession, sf_dir: str) -> str:
+def supplier_folder(spark: SparkSession, sf_dir: str) -> str:
     return _write_files(spark, derive(spark, sf_dir, SUPPLIER_DOCUMENTS), "documents")
 
 
@@ -61,7 +61,7 @@ SELECT CASE WHEN json_valid(value) THEN 'readable' ELSE 'not json' END AS outcom
 FROM ({plain(SUPPLIER_DOCUMENTS)}) GROUP BY 1
 """)
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = scan_documents(spark, _supplier_folder(spark, sf_dir), "*.txt")
+    scanned = scan_documents(spark, supplier_folder(spark, sf_dir), "*.txt")
     outcome = F.coalesce("problem", F.lit("readable")).alias("outcome")
     return scanned.groupBy(outcome).agg(
         F.count("*").alias("documents"), F.count_distinct("file").alias("files")
@@ -74,7 +74,7 @@ SELECT json_extract_string(value, '$.task_id') AS task_id,
 FROM ({plain(SUPPLIER_DOCUMENTS)}) WHERE json_valid(value)
 """)
 def readable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = scan_documents(spark, _supplier_folder(spark, sf_dir), "*.txt")
+    scanned = scan_documents(spark, supplier_folder(spark, sf_dir), "*.txt")
     listed = F.try_variant_get("v", "$.businesses", "array<variant>")
     return readable(scanned).select(
         F.variant_get("v", "$.task_id", "string").alias("task_id"),
@@ -87,7 +87,7 @@ SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(value) + 1) AS BIGINT)
 FROM ({plain(SUPPLIER_DOCUMENTS)})
 """)
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = read_texts(spark, _supplier_folder(spark, sf_dir), "*.txt")
+    texts = read_texts(spark, supplier_folder(spark, sf_dir), "*.txt")
     return texts.agg(
         F.count_distinct("file").alias("files"), F.sum(F.length("value")).alias("characters")
     )
@@ -109,7 +109,7 @@ SELECT r_name AS state, CAST(count(DISTINCT n_name) AS BIGINT) AS cities,
 FROM kept GROUP BY 1
 """)
 def directory_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _supplier_folder(spark, sf_dir)
+    folder = supplier_folder(spark, sf_dir)
     return build_directory(spark, folder, fresh_path(spark, "directory"), "*.txt").by_state
 
 
@@ -121,7 +121,7 @@ SELECT CAST(count(*) AS BIGINT) AS input_files,
 FROM docs
 """)
 def directory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _supplier_folder(spark, sf_dir)
+    folder = supplier_folder(spark, sf_dir)
     return build_directory(spark, folder, fresh_path(spark, "directory"), "*.txt").summary
 
 
@@ -174,7 +174,7 @@ def _saved(spark: SparkSession, sf_dir: str) -> str:
         F.col("event_id").cast("string").alias("task_id"), F.col("reply").alias("output")
     )
     path = fresh_path(spark, "replies")
-    save_replies(with_once(rows, payload=reply_json(F.col("output"))), path, "run1")
+    save_replies(with_once(rows, payload=reply_json("output")), path, "run1")
     return path
 
 

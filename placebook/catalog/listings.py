@@ -16,6 +16,7 @@ from placebook.catalog.base import (
     table,
 )
 from placebook.functions.contacts import listing_key, name_key, standard_phone, standard_url
+from placebook.functions.truth import present_variant
 from placebook.operators.dedupe import dedupe, duplicate_counts, with_completeness
 from placebook.operators.normalise import LISTING_FIELDS
 from placebook.operators.rollup import by_state
@@ -268,8 +269,6 @@ SELECT CAST(event_id AS BIGINT) AS event_id,
 FROM events
 """)
 def truth_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from placebook.functions.truth import present_variant
-
     text = """CASE event_id % 9 WHEN 0 THEN 'null' WHEN 1 THEN '""'
         WHEN 2 THEN CAST(user_id % 3 AS STRING)
         WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END
@@ -279,4 +278,4 @@ def truth_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("bigint").alias("event_id"),
         F.parse_json(F.expr(text)).alias("v"),
     )
-    return values.select("event_id", present_variant(F.col("v")).alias("present"))
+    return values.select("event_id", F.expr(present_variant("v")).alias("present"))

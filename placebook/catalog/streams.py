@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.catalog.base import Book, derive, filled_sql, key_sql, plain
+from placebook.catalog.files import SUPPLIER_DOCUMENTS, supplier_folder
 from placebook.session import fresh_path
 from placebook.streaming.replies import (
     compact,
@@ -21,7 +22,7 @@ BOOK = Book()
 
 # One bare list per part: two listings, which share keys with those of other parts.
 _PART_DOCUMENTS = """
-SELECT '[{{"company_name": "' || p_name || ' LLC", "city": "' || p_brand || '", "state": "x", ' ||
+SELECT 'part' || CAST(p_partkey AS STRING) || '.json' AS file, '[{{"company_name": "' || p_name || ' LLC", "city": "' || p_brand || '", "state": "x", ' ||
        '"phone": "' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_size AS STRING) END || '"}}, ' ||
        '{{"company_name": "' || p_name || '", "city": "' || p_brand || '", "state": "X", ' ||
        '"email": ' || CASE WHEN p_partkey % 4 = 0 THEN 'null' ELSE '"e"' END || '}}]' AS value
@@ -44,19 +45,14 @@ FROM keyed GROUP BY listing_key
 """
 
 
-def _folder(spark: SparkSession, texts: DataFrame) -> str:
-    """The texts as one file each, spread over a folder."""
-    path = fresh_path(spark, "arriving")
-    texts.write.option("maxRecordsPerFile", 1).text(path)
-    return path
-
-
 def _kept(spark: SparkSession, sf_dir: str) -> str:
+    """Feed the documents, kept as a table of texts, through the stream in several batches."""
     texts = derive(spark, sf_dir, _PART_DOCUMENTS)
-    folder = _folder(spark, texts)
+    folder = fresh_path(spark, "arriving")
+    texts.write.option("maxRecordsPerFile", 500).parquet(folder)
+    reader = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2)
     store = fresh_path(spark, "store")
-    stream = reply_stream(spark, folder, "*.txt", files_per_batch=1000)
-    keep_directory(stream, store, fresh_path(spark, "progress")).awaitTermination()
+    keep_directory(reader.parquet(folder), store, fresh_path(spark, "progress")).awaitTermination()
     return store
 
 
@@ -79,11 +75,11 @@ def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(f"""
 SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(value) + 1) AS BIGINT) AS characters
-FROM ({plain(_PART_DOCUMENTS)})""")
+FROM ({plain(SUPPLIER_DOCUMENTS)})""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, derive(spark, sf_dir, _PART_DOCUMENTS))
+    folder = supplier_folder(spark, sf_dir)
     copied = fresh_path(spark, "copied")
-    stream = reply_stream(spark, folder, "*.txt", files_per_batch=1000)
+    stream = reply_stream(spark, folder, "*.txt", files_per_batch=40)
 
     def copy(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{copied}/batch={batch_id}")

@@ -119,32 +119,32 @@ OUTERMOST_SQL = (
 
 @BOOK.query(_facts_sql(valid_sql("reply")))
 def payload_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), strict_json(F.col("reply")))
+    return _facts(replies(spark, sf_dir), strict_json("reply"))
 
 
 @BOOK.query(_facts_sql(GREEDY_SQL))
 def payload_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), greedy_json(F.col("reply")))
+    return _facts(replies(spark, sf_dir), greedy_json("reply"))
 
 
 @BOOK.query(_facts_sql(OUTERMOST_SQL))
 def payload_outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), greedy_json(F.col("reply"), "outermost"))
+    return _facts(replies(spark, sf_dir), greedy_json("reply", "outermost"))
 
 
 @BOOK.query(_facts_sql(REPLY_SQL))
 def payload_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), reply_json(F.col("reply")))
+    return _facts(replies(spark, sf_dir), reply_json("reply"))
 
 
 @BOOK.query(_facts_sql(PLAN_SQL))
 def payload_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), plan_json(F.col("reply")))
+    return _facts(replies(spark, sf_dir), plan_json("reply"))
 
 
 @BOOK.query(_facts_sql(BALANCED_SQL))
 def payload_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(replies(spark, sf_dir), balanced_json(F.col("reply")))
+    return _facts(replies(spark, sf_dir), balanced_json("reply"))
 
 
 @BOOK.query(f"""
@@ -153,9 +153,9 @@ SELECT event_id, json_type(p) AS kind FROM found
 WHERE p IS NOT NULL AND p NOT IN ('null', '[]', '{{}}', 'false', '0', '""')
 """)
 def payload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_once(replies(spark, sf_dir), v=reply_json(F.col("reply")))
+    rows = with_once(replies(spark, sf_dir), v=reply_json("reply"))
     is_list = F.try_variant_get("v", "$", "array<variant>").isNotNull()
-    return rows.where(present_variant(F.col("v"))).select(
+    return rows.where(present_variant("v")).select(
         "event_id", F.when(is_list, "ARRAY").otherwise("OBJECT").alias("kind")
     )
 
@@ -177,7 +177,7 @@ def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed spans in whole web pages."""
     cuts = {"widest": widest_slice, "balanced": balanced_slice}
     spans = [
-        F.length(cuts[how](F.col("html"), *pair)).cast("bigint").alias(name)
+        F.length(cuts[how]("html", *pair)).cast("bigint").alias(name)
         for name, (how, *pair) in _SPANS.items()
     ]
     return table(spark, sf_dir, "pages").select("page_id", *spans)

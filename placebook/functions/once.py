@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once.
 
     Written out, the value would be repeated in the expression at every use, and nested uses
     would multiply.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
+def once(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Select columns that later filters and projections read instead of computing again.
 
     A filter on a plain computed column is pushed below its projection and repeats the
     expression there. It cannot be pushed below a generator, which here yields one row per row.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(F.inline(F.array(row)))
+    return df.select(_row(columns))
 
 
-def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+def with_once(df: DataFrame, **columns: Column | str) -> DataFrame:
     """``df`` with columns added as in ``once``."""
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    return df.select("*", _row(columns))
+
+
+def _row(columns: dict[str, Column | str]) -> Column:
+    named = [
+        (F.expr(value) if isinstance(value, str) else value).alias(name)
+        for name, value in columns.items()
+    ]
+    return F.inline(F.array(F.struct(*named)))

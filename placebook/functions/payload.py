@@ -1,7 +1,8 @@
 """JSON inside free text, as variants; null where there is none.
 
-Needs ``prepare(spark)``. Everything stays in built-in expressions, so whole replies of any
-length are read once per attempt inside the JVM.
+Needs ``prepare(spark)``. The functions take the text as a SQL expression, mostly a column
+name. Everything stays in built-in expressions, so whole replies of any length are read once
+per attempt inside the JVM.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placebook.functions.contacts import strip
+from placebook.fixed_values import BLANKS
 from placebook.functions.once import let
 
 # A number no reply is expected to hold; one that does takes the slower exact check.
@@ -21,132 +22,125 @@ _GUARD = "864691128455135232"
 _JSON_BLANKS = " \t\n\r"
 
 
-def strict_json(text: Column) -> Column:
-    """The text as one JSON value.
-
-    Spark's parser stops after the first value and ignores what follows. Putting the text
-    into an array in front of a guard number makes anything after the value visible.
-    """
-
-    def alone(text: Column) -> Column:
-        in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-        one = in_object.isNotNull() & F.variant_get(in_list, "$[1]", "variant").isNull()
-        return F.when(one, F.variant_get(in_list, "$[0]", "variant"))
-
-    def guarded(text: Column) -> Column:
-        pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_GUARD}]")))
-        return let(
-            pair,
-            lambda p: F.when(
-                F.variant_get(p, "$[1]", "string") == _GUARD, F.variant_get(p, "$[0]", "variant")
-            ),
-        )
-
-    def parsed(text: Column) -> Column:
-        return F.when(F.contains(text, F.lit(_GUARD)), alone(text)).otherwise(guarded(text))
-
+def _strict(text: str) -> str:
+    # Spark's parser stops after the first value and ignores what follows. Putting the text
+    # into an array in front of a guard number makes anything after the value visible.
+    guarded = let(
+        "pair",
+        f"try_parse_json(concat('[', trimmed, ',{_GUARD}]'))",
+        f"""CASE WHEN variant_get(pair, '$[1]', 'string') = '{_GUARD}'
+            THEN variant_get(pair, '$[0]', 'variant') END""",
+    )
+    in_list = "try_parse_json(concat('[', trimmed, ']'))"
+    alone = f"""CASE WHEN try_parse_json(concat('{{"v":', trimmed, '}}')) IS NOT NULL
+        AND variant_get({in_list}, '$[1]', 'variant') IS NULL
+        THEN variant_get({in_list}, '$[0]', 'variant') END"""
+    parsed = f"CASE WHEN contains(trimmed, '{_GUARD}') THEN {alone} ELSE {guarded} END"
     # Prose is told by its first character; a failed parse costs far more than a look.
-    starts = list('{["-0123456789')
+    starts = ", ".join(f"'{char}'" for char in '{["-0123456789')
+    words = f"rtrim('{_JSON_BLANKS}', trimmed) IN ('true', 'false', 'null')"
     return let(
-        F.ltrim(text, F.lit(_JSON_BLANKS)),
-        lambda t: F.when(F.substring(t, 1, 1).isin(starts), parsed(t)).when(
-            F.rtrim(t, F.lit(_JSON_BLANKS)).isin("true", "false", "null"), parsed(t)
-        ),
+        "trimmed",
+        f"ltrim('{_JSON_BLANKS}', {text})",
+        f"CASE WHEN substring(trimmed, 1, 1) IN ({starts}) OR {words} THEN {parsed} END",
     )
 
 
-def widest_slice(text: Column, opening: str, closing: str) -> Column:
-    """From the first opening to the last closing bracket; null if there is no such span."""
+def _widest(text: str, opening: str, closing: str) -> str:
+    first = f"instr(whole, '{opening}')"
+    last = f"length(whole) - length(substring_index(whole, '{closing}', -1))"
+    return let(
+        "whole",
+        text,
+        f"""CASE WHEN {first} > 0 AND {last} > {first}
+            THEN substring(whole, {first}, {last} - {first} + 1) END""",
+    )
 
-    def cut(text: Column) -> Column:
-        first = F.instr(text, opening)
-        last = F.length(text) - F.length(F.substring_index(text, closing, -1))
-        return F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
 
-    return let(text, cut)
+def _balanced(text: str, opening: str, closing: str) -> str:
+    # The rest of the text is cut at closing brackets. After piece i the brackets balance when
+    # the pieces so far hold i + 1 openings, so the fold runs once per closing bracket and not
+    # once per character. The piece after the last closing bracket has none behind it.
+    pieces = f"split(rest, r'\\{closing}')"
+    opened = f"length(piece) - length(replace(piece, '{opening}', ''))"
+    step = f"""named_struct(
+        'open', state.open + {opened} - 1,
+        'read', state.read + length(piece) + 1,
+        'end', CASE WHEN state.end IS NOT NULL THEN state.end
+                    WHEN state.open + {opened} = 1 THEN state.read + length(piece) + 1 END)"""
+    end = f"""aggregate(slice({pieces}, 1, size({pieces}) - 1),
+        named_struct('open', 0, 'read', 0, 'end', CAST(NULL AS INT)),
+        (state, piece) -> {step}, state -> state.end)"""
+    rest = let(
+        "whole", text, f"CASE WHEN instr(whole, '{opening}') > 0 "
+        f"THEN substring(whole, instr(whole, '{opening}')) END",
+    )
+    return let(
+        "rest", rest, f"CASE WHEN contains(rest, '{closing}') THEN substring(rest, 1, {end}) END"
+    )
 
 
-def balanced_slice(text: Column, opening: str, closing: str) -> Column:
-    """From the first opening bracket to where the brackets balance.
+def _from_slices(text: str, cut: Callable[[str, str, str], str]) -> str:
+    """Value of the list slice if it parses, else of the object slice."""
+    return f"coalesce({_strict(cut(text, '[', ']'))}, {_strict(cut(text, '{', '}'))})"
 
-    The rest of the text is cut at closing brackets. After piece ``i`` the brackets balance
-    when the pieces so far hold ``i + 1`` openings, so the fold runs once per closing bracket
-    and not once per character.
-    """
-    start = F.struct(
-        F.lit(0).alias("open"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end")
-    )
 
-    def step(state: Column, piece: Column) -> Column:
-        opened = F.length(piece) - F.length(F.replace(piece, F.lit(opening), F.lit("")))
-        depth = state["open"] + opened - 1
-        read = state["read"] + F.length(piece) + 1
-        return F.struct(
-            depth.alias("open"),
-            read.alias("read"),
-            F.coalesce(state["end"], F.when(depth == 0, read)).alias("end"),
-        )
+def _greedy(text: str, prefer: str) -> str:
+    slices = _from_slices(text, _widest)
+    if prefer == "array":
+        return slices
+    if prefer != "outermost":
+        raise ValueError(f"unknown preference {prefer!r}")
+    brace, bracket = f"instr({text}, '{{')", f"instr({text}, '[')"
+    object_first = f"{brace} > 0 AND ({bracket} = 0 OR {brace} < {bracket})"
+    as_object = _strict(_widest(text, "{", "}"))
+    return f"coalesce(CASE WHEN {object_first} THEN {as_object} END, {slices})"
 
-    def cut(rest: Column) -> Column:
-        # The piece after the last closing bracket has none behind it.
-        pieces = F.split(rest, "\\" + closing)
-        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-        end = F.aggregate(closed, start, step, lambda state: state["end"])
-        return F.when(F.contains(rest, F.lit(closing)), F.substring(rest, F.lit(1), end))
 
-    def rest_of(text: Column) -> Column:
-        first = F.instr(text, opening)
-        return F.when(first > 0, F.substring(text, first, F.length(text)))
+def widest_slice(text: str, opening: str, closing: str) -> Column:
+    """From the first opening to the last closing bracket; null if there is no such span."""
+    return F.expr(_widest(text, opening, closing))
 
-    return let(let(text, rest_of), cut)
 
+def balanced_slice(text: str, opening: str, closing: str) -> Column:
+    """From the first opening bracket to where the brackets balance, null if they never do."""
+    return F.expr(_balanced(text, opening, closing))
 
-def _from_slices(text: Column, cut: Callable[[Column, str, str], Column]) -> Column:
-    """Value of the list slice if it parses, else of the object slice."""
-    return F.coalesce(strict_json(cut(text, "[", "]")), strict_json(cut(text, "{", "}")))
+
+def strict_json(text: str) -> Column:
+    """The text as one JSON value."""
+    return F.expr(_strict(text))
 
 
-def greedy_json(text: Column, prefer: str = "array") -> Column:
+def greedy_json(text: str, prefer: str = "array") -> Column:
     """Value of the widest bracketed span.
 
     ``array`` tries the list brackets first, also when the list sits inside an object, which
     is the behaviour results are compared with. ``outermost`` starts with whichever bracket
     comes first and so keeps the object around a list.
     """
-    if prefer == "array":
-        return _from_slices(text, widest_slice)
-    if prefer != "outermost":
-        raise ValueError(f"unknown preference {prefer!r}")
-
-    def outer(text: Column) -> Column:
-        brace, bracket = F.instr(text, "{"), F.instr(text, "[")
-        object_first = (brace > 0) & ((bracket == 0) | (brace < bracket))
-        as_object = strict_json(widest_slice(text, "{", "}"))
-        return F.coalesce(F.when(object_first, as_object), _from_slices(text, widest_slice))
+    return F.expr(_greedy(text, prefer))
 
-    return let(text, outer)
 
-
-def reply_json(text: Column, prefer: str = "array") -> Column:
+def reply_json(text: str, prefer: str = "array") -> Column:
     """Payload of a worker reply: the whole text if it is JSON, else the widest span."""
-    return F.coalesce(strict_json(text), greedy_json(text, prefer))
+    return F.expr(f"coalesce({_strict(text)}, {_greedy(text, prefer)})")
 
 
-def plan_json(text: Column) -> Column:
+def plan_json(text: str) -> Column:
     """Payload of a planner reply: the whole text, else the list span, else an empty list."""
-    return F.coalesce(
-        strict_json(text),
-        strict_json(widest_slice(text, "[", "]")),
-        F.parse_json(F.lit("[]")),
-    )
+    span = _strict(_widest(text, "[", "]"))
+    return F.expr(f"coalesce({_strict(text)}, {span}, parse_json('[]'))")
 
 
-def balanced_json(text: Column) -> Column:
+def balanced_json(text: str) -> Column:
     """The whole text without outer blanks, else the first balanced list, else object.
 
     Brackets inside JSON strings count too, and one candidate per bracket kind is tried. A
     text that is just ``null`` has no value.
     """
-    whole = let(strict_json(strip(text)), lambda v: F.when(~F.is_variant_null(v), v))
-    return F.coalesce(whole, _from_slices(text, balanced_slice))
+    whole = let(
+        "value", _strict(f"btrim({text}, '{BLANKS}')"),
+        "CASE WHEN NOT is_variant_null(value) THEN value END",
+    )
+    return F.expr(f"coalesce({whole}, {_from_slices(text, _balanced)})")

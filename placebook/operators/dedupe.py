@@ -19,7 +19,7 @@ def with_key(df: DataFrame, mode: str = "substring") -> DataFrame:
 
 def with_completeness(df: DataFrame, fields: list[str]) -> DataFrame:
     """Add ``filled``, the number of present values among ``fields``."""
-    return df.withColumn("filled", completeness(df, fields))
+    return df.withColumn("filled", F.expr(completeness(df, fields)))
 
 
 def _best(df: DataFrame, seen: Column, extra_aggs: list[Column]) -> DataFrame:

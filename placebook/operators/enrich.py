@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from placebook.functions.once import with_once
 from placebook.functions.payload import reply_json
@@ -57,4 +56,4 @@ def save_results(results: DataFrame, path: str) -> DataFrame:
 def with_payload(results: DataFrame, prefer: str = "array") -> DataFrame:
     """Successful results with their ``payload``; failed ones are left out."""
     prepare(results.sparkSession)
-    return with_once(results.where("success"), payload=reply_json(F.col("output"), prefer))
+    return with_once(results.where("success"), payload=reply_json("output", prefer))

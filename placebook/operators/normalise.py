@@ -7,7 +7,7 @@ parsed once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebook.functions.once import once
@@ -34,35 +34,40 @@ _PROFILE = (
 _ENVELOPE = "struct<city variant, state variant, industry variant, task_id variant>"
 
 
-def member(value: Column, path: str) -> Column:
+def member(value: str, path: str) -> str:
     """Member as a variant: null when absent, a variant null when it is there but null."""
-    return F.variant_get(value, "$." + path, "variant")
+    return f"variant_get({value}, '$.{path}', 'variant')"
 
 
-def text_of(value: Column) -> Column:
-    return F.variant_get(value, "$", "string")
+def text_of(value: str) -> str:
+    return f"variant_get({value}, '$', 'string')"
 
 
-def text_or(value: Column, default: Column) -> Column:
+def text_or(value: str, default: str) -> str:
     """Text of a variant, or a default if it is absent; a variant null stays null."""
-    return F.when(value.isNull(), default).otherwise(text_of(value))
+    return f"CASE WHEN {value} IS NULL THEN {default} ELSE {text_of(value)} END"
 
 
-def _as(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
+def _as(value: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$', '{kind}')"
 
 
-def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+def _is_object(value: str) -> str:
+    return f"startswith(schema_of_variant({value}), 'OBJECT')"
 
 
-def _not_text(value: Column, text: Column) -> Column:
+def _not_text(value: str, text: str) -> str:
     """True when a variant is neither a string nor null nor absent.
 
     Only texts that read like a number, a truth value, a list or an object need a look at it.
     """
-    unlike = F.substring(text, 1, 1).isin(list("-0123456789[{")) | text.isin("true", "false")
-    return F.coalesce(F.when(unlike, F.schema_of_variant(value) != "STRING"), F.lit(False))
+    return f"""coalesce(CASE WHEN substring({text}, 1, 1) IN
+        ('-', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '[', '{{')
+        OR {text} IN ('true', 'false') THEN schema_of_variant({value}) <> 'STRING' END, false)"""
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(value) for name, value in columns.items()})
 
 
 def with_elements(documents: DataFrame) -> DataFrame:
@@ -72,64 +77,59 @@ def with_elements(documents: DataFrame) -> DataFrame:
     known shape or without elements gives one row without ``element``; it marks that the
     document was read.
     """
-    v = F.col("v")
-    before = F.col("problem") if "problem" in documents.columns else F.lit(None).cast("string")
+    before = "problem" if "problem" in documents.columns else "CAST(NULL AS STRING)"
     kept = [c for c in documents.columns if c not in ("v", "problem")]
-    listed = F.try_variant_get(v, "$.businesses", "array<variant>")
-    staged = documents.select(*kept, "v", before.alias("problem"), listed.alias("listed"))
-    shape = (
-        F.when(F.col("listed").isNotNull() | member(v, "businesses").isNotNull(), "envelope")
-        .when(member(v, "company_name").isNotNull(), "profile")
-    )
-    staged = staged.withColumn("shape", shape)
-    envelope, profile = F.col("shape") == "envelope", F.col("shape") == "profile"
-    bare = F.when(F.col("shape").isNull(), _as(v, "array<variant>"))
-    staged = staged.withColumns({"bare": bare, "env": F.when(envelope, _as(v, _ENVELOPE))})
-    staged = staged.withColumns(
-        {
-            "shape": F.coalesce("shape", F.when(F.col("bare").isNotNull(), "list")),
-            "task_id": F.when(envelope, F.col("env.task_id")).when(profile, member(v, "task_id")),
-        }
+    businesses = member("v", "businesses")
+    staged = documents.selectExpr(
+        *kept, "v", f"{before} AS problem",
+        "try_variant_get(v, '$.businesses', 'array<variant>') AS listed",
     )
-    empty = F.lit("")
+    staged = _with(staged, {
+        "known": f"""CASE WHEN listed IS NOT NULL OR {businesses} IS NOT NULL THEN 'envelope'
+            WHEN {member('v', 'company_name')} IS NOT NULL THEN 'profile' END"""
+    })
+    staged = _with(staged, {
+        "bare": f"CASE WHEN known IS NULL THEN {_as('v', 'array<variant>')} END",
+        "env": f"CASE WHEN known = 'envelope' THEN {_as('v', _ENVELOPE)} END",
+    })
+    staged = _with(staged, {
+        "shape": "CASE WHEN bare IS NOT NULL THEN 'list' ELSE known END",
+        "task_id": f"""CASE known WHEN 'envelope' THEN env.task_id
+            WHEN 'profile' THEN {member('v', 'task_id')} END""",
+    })
+    enveloped = "CASE WHEN known = 'envelope' THEN {} ELSE {} END"
     handed = {
-        "env_city": F.when(envelope, text_or(F.col("env.city"), empty)).otherwise(empty),
-        "env_state": F.when(envelope, text_or(F.col("env.state"), empty)).otherwise(empty),
-        "env_industry": F.when(envelope, text_or(F.col("env.industry"), empty)),
-        "env_task": text_or(F.col("task_id"), F.col("file")),
+        "env_city": enveloped.format(text_or("env.city", "''"), "''"),
+        "env_state": enveloped.format(text_or("env.state", "''"), "''"),
+        "env_industry": enveloped.format(text_or("env.industry", "''"), "NULL"),
+        "env_task": text_or("task_id", "file"),
     }
-    staged = staged.withColumns(handed)
+    staged = _with(staged, handed)
 
-    def not_object(name: str) -> Column:
-        part = member(v, name)
-        return profile & part.isNotNull() & ~_is_object(part)
+    def not_object(name: str) -> str:
+        part = member("v", name)
+        return f"known = 'profile' AND {part} IS NOT NULL AND NOT {_is_object(part)}"
 
     # An empty object or an empty string in place of the list simply holds no business.
-    stand_in = member(v, "businesses")
-    no_list = (
-        envelope
-        & F.col("listed").isNull()
-        & ~F.schema_of_variant(stand_in).startswith("OBJECT<>")
-        & (F.coalesce(text_of(stand_in), F.lit("?")) != "")
-    )
-    task_present = present_field(F.col("task_id"), F.col("env_task"))
+    no_list = f"""known = 'envelope' AND listed IS NULL
+        AND NOT startswith(schema_of_variant({businesses}), 'OBJECT<>')
+        AND coalesce({text_of(businesses)}, '?') <> ''"""
     flags = {
-        "bad_city": envelope & _not_text(F.col("env.city"), F.col("env_city")),
-        "bad_state": envelope & _not_text(F.col("env.state"), F.col("env_state")),
-        "has_industry": present_field(F.col("env.industry"), F.col("env_industry")),
-        "has_task": F.when(F.col("task_id").isNull(), F.length("file") > 0).otherwise(task_present),
-        "problem": F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(no_list, "businesses is not a list")
-        .when(not_object("location"), "location is not an object")
-        .when(not_object("contact"), "contact is not an object"),
-        "elements": F.when(profile, F.array(v)).otherwise(F.coalesce("listed", "bare")),
+        "bad_city": f"known = 'envelope' AND {_not_text('env.city', 'env_city')}",
+        "bad_state": f"known = 'envelope' AND {_not_text('env.state', 'env_state')}",
+        "has_industry": present_field("env.industry", "env_industry"),
+        "has_task": f"""CASE WHEN task_id IS NULL THEN length(file) > 0
+            ELSE {present_field('task_id', 'env_task')} END""",
+        "problem": f"""CASE WHEN problem IS NOT NULL THEN problem
+            WHEN {no_list} THEN 'businesses is not a list'
+            WHEN {not_object('location')} THEN 'location is not an object'
+            WHEN {not_object('contact')} THEN 'contact is not an object' END""",
+        "elements": "CASE WHEN known = 'profile' THEN array(v) ELSE coalesce(listed, bare) END",
     }
-    staged = staged.withColumns(flags)
-    usable = F.when(F.col("problem").isNull(), F.col("elements"))
-    return staged.select(
-        *kept, "problem", "shape", *handed,
-        *[name for name in flags if name not in ("problem", "elements")],
-        F.posexplode_outer(usable).alias("pos", "element"),
+    staged = _with(staged, flags)
+    return staged.selectExpr(
+        *kept, "problem", "shape", *handed, "bad_city", "bad_state", "has_industry", "has_task",
+        "posexplode_outer(CASE WHEN problem IS NULL THEN elements END) AS (pos, element)",
     )
 
 
@@ -142,77 +142,61 @@ def normalise(documents: DataFrame) -> DataFrame:
     and rows without a business are kept here; see ``listings`` and ``rejected``.
     """
     prepare(documents.sparkSession)
-    e = F.col("element")
-    is_profile = F.coalesce(F.col("shape") == "profile", F.lit(False))
-    rows = with_elements(documents).withColumns(
-        {
-            "profile": F.when(is_profile, _as(e, _PROFILE)),
-            "business": F.when(~is_profile, _as(e, _BUSINESS)),
-        }
-    )
+    rows = _with(with_elements(documents), {
+        "profile": f"CASE WHEN shape = 'profile' THEN {_as('element', _PROFILE)} END",
+        "business": f"CASE WHEN shape <> 'profile' THEN {_as('element', _BUSINESS)} END",
+    })
     passed = [c for c in documents.columns if c not in ("v", "problem")]
     handed = [c for c in rows.columns if c.startswith(("env_", "bad_", "has_"))]
-
-    def either(path: str, name: str) -> Column:
-        return F.when(is_profile, F.col("profile")[path][name]).otherwise(F.col("business")[name])
-
-    contacts = {
-        name: either("location" if name == "address" else "contact", name)
-        for name in CONTACT_FIELDS
-    }
-    typed = rows.select(
-        *passed, *handed, "shape", "problem", "pos", "element", is_profile.alias("is_profile"),
-        F.coalesce("profile.company_name", "business.company_name").alias("company_name"),
-        either("location", "city").alias("own_city"),
-        either("location", "state").alias("own_state"),
-        *[value.alias(name) for name, value in contacts.items()],
-        *[F.col("profile")[name].alias(name) for name in EXTRA_FIELDS],
-    )
-    typed = typed.withColumns(
-        {name: text_or(F.col("own_" + name), F.col("env_" + name)) for name in ("city", "state")}
+    home = {"address": "location", "phone": "contact", "website": "contact", "email": "contact"}
+    typed = rows.selectExpr(
+        *passed, *handed, "shape", "problem", "pos", "element",
+        "coalesce(shape = 'profile', false) AS is_profile",
+        "coalesce(profile.company_name, business.company_name) AS company_name",
+        "coalesce(profile.location.city, business.city) AS own_city",
+        "coalesce(profile.location.state, business.state) AS own_state",
+        *[f"coalesce(profile.{home[c]}.{c}, business.{c}) AS {c}" for c in CONTACT_FIELDS],
+        *[f"profile.{name} AS {name}" for name in EXTRA_FIELDS],
     )
+    typed = _with(typed, {
+        "city": text_or("own_city", "env_city"), "state": text_or("own_state", "env_state")
+    })
 
-    def bad_place(name: str) -> Column:
-        own = F.col("own_" + name)
-        return F.when(own.isNull(), F.col("bad_" + name)).otherwise(_not_text(own, F.col(name)))
+    def has_contact(name: str) -> str:
+        own = f"""CASE WHEN is_profile THEN {member('element', f'{home[name]}.{name}')}
+            ELSE {member('element', name)} END"""
+        return present_field(own, name)
 
-    def has_contact(name: str) -> Column:
-        home = "location." if name == "address" else "contact."
-        own = F.when(F.col("is_profile"), member(e, home + name)).otherwise(member(e, name))
-        return present_field(own, F.col(name))
+    def bad_place(name: str) -> str:
+        return f"""CASE WHEN own_{name} IS NULL THEN bad_{name}
+            ELSE {_not_text(f'own_{name}', name)} END"""
 
+    name = member("element", "company_name")
+    has_name = present_field(name, "company_name")
     # Rows whose name or place is no text are rejected, so places count as texts.
-    truths = [F.coalesce(F.length(name) > 0, F.lit(False)) for name in ("city", "state")]
-    truths += [has_contact(name) for name in CONTACT_FIELDS]
-    truths += [F.col("has_industry"), F.col("has_task")]
-    truths += [present_variant(F.col(name)) for name in EXTRA_FIELDS]
-    name, has_element = member(e, "company_name"), e.isNotNull()
-    has_name = present_field(name, F.col("company_name"))
-    no_text = F.col("company_name").isNull() | _not_text(name, F.col("company_name"))
-    scored = typed.withColumns(
-        {
-            "named": (has_name | F.col("is_profile")) & has_element,
-            "filled": count_true([has_name, *truths]),
-            "stray": has_element & (F.col("shape") == "envelope")
-            & F.col("company_name").isNull() & ~_is_object(e),
-            "bad_name": no_text,
-            "bad_city": bad_place("city"),
-            "bad_state": bad_place("state"),
-        }
-    )
-    problem = (
-        F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("stray"), "business is not an object")
-        .when(F.col("named") & F.col("bad_name"), "company_name is not a text")
-        .when(F.col("named") & F.col("bad_city"), "city is not a text")
-        .when(F.col("named") & F.col("bad_state"), "state is not a text")
-    )
-    place = F.coalesce("pos", F.lit(0))
-    final = {name: F.col(name) for name in ("company_name", "city", "state", *CONTACT_FIELDS)}
-    final |= {"industry": F.col("env_industry"), "source_task": F.col("env_task")}
-    final["extra"] = F.when(F.col("is_profile"), F.struct(*EXTRA_FIELDS))
-    final |= {"filled": F.col("filled")} | {name: F.col(name) for name in passed}
-    final |= {"pos": place, "first": place == 0, "is_business": F.col("named"), "problem": problem}
+    truths = [has_name, "coalesce(city <> '', false)", "coalesce(state <> '', false)"]
+    truths += [has_contact(field) for field in CONTACT_FIELDS]
+    truths += ["has_industry", "has_task"]
+    truths += [present_variant(field) for field in EXTRA_FIELDS]
+    scored = _with(typed, {
+        "named": f"element IS NOT NULL AND (is_profile OR {has_name})",
+        "filled": count_true(truths),
+        "stray": f"""element IS NOT NULL AND shape = 'envelope' AND company_name IS NULL
+            AND NOT {_is_object('element')}""",
+        "bad_name": f"company_name IS NULL OR {_not_text(name, 'company_name')}",
+        "bad_city": bad_place("city"),
+        "bad_state": bad_place("state"),
+    })
+    final = {name: name for name in ("company_name", "city", "state", *CONTACT_FIELDS)}
+    final |= {"industry": "env_industry", "source_task": "env_task"}
+    final["extra"] = f"CASE WHEN is_profile THEN struct({', '.join(EXTRA_FIELDS)}) END"
+    final |= {"filled": "filled"} | {name: name for name in passed}
+    final |= {"pos": "coalesce(pos, 0)", "first": "coalesce(pos, 0) = 0", "is_business": "named"}
+    final["problem"] = """CASE WHEN problem IS NOT NULL THEN problem
+        WHEN stray THEN 'business is not an object'
+        WHEN named AND bad_name THEN 'company_name is not a text'
+        WHEN named AND bad_city THEN 'city is not a text'
+        WHEN named AND bad_state THEN 'state is not a text' END"""
     return once(scored, **final)
 
 

@@ -156,7 +156,7 @@ def tasks_from_replies(replies: DataFrame, text: str) -> tuple[DataFrame, DataFr
     """
     prepare(replies.sparkSession)
     kept = [c for c in replies.columns if c != text]
-    plan = F.try_variant_get(plan_json(F.col(text)), "$", "array<variant>")
+    plan = F.try_variant_get(plan_json(text), "$", "array<variant>")
     items = with_once(replies, items=plan).select(*kept, "items")
     bad_replies = items.where("items IS NULL").select(
         *kept, F.lit(None).cast("int").alias("pos"), F.lit("plan is not a list").alias("problem")
@@ -166,16 +166,14 @@ def tasks_from_replies(replies: DataFrame, text: str) -> tuple[DataFrame, DataFr
     bad_items = specs.where(~is_object).select(
         *kept, "pos", F.lit("task is not an object").alias("problem")
     )
-    spec = F.col("spec")
     fields = {
-        name: F.try_variant_get(spec, "$." + name, kind.simpleString())
+        name: f"try_variant_get(spec, '$.{name}', '{kind.simpleString()}')"
         for name, kind in TASK_FIELDS.items()
     }
-    position = F.concat(F.lit("task_"), F.col("pos").cast("string"))
-    fields["task_id"] = text_or(member(spec, "task_id"), position)
-    fields["task_type"] = text_or(member(spec, "task_type"), F.lit(CITY_SEARCH))
-    tasks = specs.where(is_object).select(
-        *kept, "pos", "spec", *[value.alias(name) for name, value in fields.items()]
+    fields["task_id"] = text_or(member("spec", "task_id"), "concat('task_', pos)")
+    fields["task_type"] = text_or(member("spec", "task_type"), f"'{CITY_SEARCH}'")
+    tasks = specs.where(is_object).selectExpr(
+        *kept, "pos", "spec", *[f"{value} AS {name}" for name, value in fields.items()]
     )
     return tasks, bad_replies.unionByName(bad_items)
 

@@ -25,7 +25,7 @@ def save_replies(results: DataFrame, path: str, run_id: str) -> None:
     raw = stamped.select("task_id", F.col("output").alias("value"), "saved_at", "run_id")
     parsed = stamped.select("task_id", F.col("payload").alias("v"), "saved_at", "run_id")
     _write(raw, f"{path}/raw_replies")
-    _write(parsed.where(present_variant(F.col("v"))), f"{path}/parsed_replies")
+    _write(parsed.where(present_variant("v")), f"{path}/parsed_replies")
 
 
 def _latest(df: DataFrame) -> DataFrame:

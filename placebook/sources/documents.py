@@ -31,7 +31,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     prepare(texts.sparkSession)
     named = texts.where(~F.col("file").rlike(r"_raw\.[^.]*$"))
     valid = F.is_valid_utf8("value")
-    parsed = with_once(named, v=F.when(valid, strict_json(F.col("value"))))
+    parsed = with_once(named, v=F.when(valid, strict_json("value")))
     problem = (
         F.when(F.col("v").isNotNull(), F.lit(None).cast("string"))
         .when(~valid, "encoding")
