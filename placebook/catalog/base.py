@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placebook.fixed_values import NAME_ENDINGS
 from placebook.session import prepare
+from placebook.sources.tables import read_table
 
 
 class Book:
@@ -34,7 +35,7 @@ class Book:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -47,7 +47,8 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 def _write_files(spark: SparkSession, texts: DataFrame, name: str) -> str:
     """Write every text as a file of its own and return the folder."""
     path = fresh_path(spark, name)
-    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    spread = texts.select("value").repartition(spark.sparkContext.defaultParallelism)
+    spread.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

@@ -49,7 +49,7 @@ def _kept(spark: SparkSession, sf_dir: str) -> str:
     """Feed the documents, kept as a table of texts, through the stream in several batches."""
     texts = derive(spark, sf_dir, _PART_DOCUMENTS)
     folder = fresh_path(spark, "arriving")
-    texts.write.option("maxRecordsPerFile", 500).parquet(folder)
+    texts.repartition(6).write.parquet(folder)
     reader = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2)
     store = fresh_path(spark, "store")
     keep_directory(reader.parquet(folder), store, fresh_path(spark, "progress")).awaitTermination()

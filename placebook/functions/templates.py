@@ -25,7 +25,7 @@ def ascii_only(json_text: Column) -> Column:
 
     def escape(char: Column) -> Column:
         units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
-        escaped = F.regexp_replace(units, "(.{4})", r"\\\\u$1")
+        escaped = F.regexp_replace(units, "(.{4})", r"\\u$1")
         return F.when(char.rlike("[^ -~]"), escaped).otherwise(char)
 
     plain = ~json_text.rlike("[^ -~]")

@@ -14,11 +14,11 @@ from placebook.functions.once import let
 
 def present_scalar(value: str) -> str:
     """Truth of a variant that is neither a list nor an object."""
-    by_kind = f"""CASE json_kind WHEN 'VOID' THEN false
-        WHEN 'STRING' THEN variant_get({value}, '$', 'string') <> ''
-        WHEN 'BOOLEAN' THEN variant_get({value}, '$', 'boolean')
-        ELSE coalesce(try_variant_get({value}, '$', 'double') <> 0, true) END"""
-    return let("json_kind", f"schema_of_variant({value})", by_kind)
+    by_kind = """CASE json_kind WHEN 'VOID' THEN false
+        WHEN 'STRING' THEN variant_get(scalar, '$', 'string') <> ''
+        WHEN 'BOOLEAN' THEN variant_get(scalar, '$', 'boolean')
+        ELSE coalesce(try_variant_get(scalar, '$', 'double') <> 0, true) END"""
+    return let("scalar", value, let("json_kind", "schema_of_variant(scalar)", by_kind))
 
 
 def present_variant(value: str) -> str:

@@ -45,11 +45,9 @@ TASK_FIELDS = {
 
 def _lookup(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A fixed table as literals, so that its size is known to the planner."""
-    structs = [
-        F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row, strict=True)])
-        for row in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    # Texts of these tables hold no quotes; numbers and truth values read the same in SQL.
+    spelled = ", ".join(str(tuple(row)) for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {spelled} AS t({', '.join(names)})")
 
 
 def states(spark: SparkSession) -> DataFrame:

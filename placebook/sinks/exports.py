@@ -16,8 +16,14 @@ from placebook.operators.dedupe import FIRST_SEEN
 from placebook.operators.normalise import EXTRA_FIELDS
 
 
-def _in_order(directory: DataFrame) -> DataFrame:
-    return directory.orderBy(FIRST_SEEN) if FIRST_SEEN in directory.columns else directory
+def _write_lines(lines: DataFrame, path: str, line_end: str = "\n") -> None:
+    """Write ``(section, place, line)`` rows in order."""
+    ordered = lines.orderBy("section", "place").select("line")
+    ordered.write.mode("overwrite").option("lineSep", line_end).text(path)
+
+
+def _no_place(directory: DataFrame) -> Column:
+    return F.lit(None).cast(directory.schema[FIRST_SEEN].dataType).alias("place")
 
 
 def _record_json(directory: DataFrame) -> Column:
@@ -36,21 +42,34 @@ def _record_json(directory: DataFrame) -> Column:
 
 
 def export_csv(directory: DataFrame, path: str) -> None:
-    """CSV with a header, nine columns, doubled quotes, CRLF line ends and blanks for null."""
-    writer = _in_order(directory).select(*CSV_COLUMNS).write.mode("overwrite")
-    writer.options(
-        header=True, escape='"', nullValue="", emptyValue="", lineSep="\r\n",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    """CSV with a header, nine columns, doubled quotes, CRLF line ends and blanks for null.
+
+    Spark's own CSV writer would change line feeds inside values to its line end, and repeat
+    the header in every part.
+    """
+    fields = []
+    for name in CSV_COLUMNS:
+        doubled = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+        quoted = F.when(F.col(name).rlike('[",\r\n]'), doubled).otherwise(F.col(name))
+        fields.append(F.coalesce(quoted, F.lit("")))
+    rows = directory.select(
+        F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"),
+        F.concat_ws(",", *fields).alias("line"),
+    )
+    header = directory.sparkSession.range(1).select(
+        F.lit(0).alias("section"), _no_place(directory), F.lit(",".join(CSV_COLUMNS)).alias("line")
+    )
+    _write_lines(header.unionByName(rows), path, "\r\n")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An exported CSV; blanks come back as null."""
+    """An exported CSV; blanks come back as null, line ends inside values as line feeds."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in CSV_COLUMNS])
-    return spark.read.options(
-        header=True, escape='"', lineSep="\r\n", multiLine=True,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    rows = spark.read.options(
+        escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).schema(schema).csv(path)
+    is_header = F.concat_ws(",", *CSV_COLUMNS) == ",".join(CSV_COLUMNS)
+    return rows.where(~is_header)
 
 
 def _manifest(directory: DataFrame) -> DataFrame:
@@ -62,8 +81,11 @@ def _manifest(directory: DataFrame) -> DataFrame:
 
 def export_json(directory: DataFrame, path: str) -> None:
     """One JSON object per line in ``businesses``, and ``manifest`` with time and count."""
-    records = _in_order(directory).select(_record_json(directory).alias("value"))
-    records.write.mode("overwrite").text(f"{path}/businesses")
+    records = directory.select(
+        F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"),
+        _record_json(directory).alias("line"),
+    )
+    _write_lines(records, f"{path}/businesses")
     _manifest(directory).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -103,7 +125,7 @@ def export_json_document(directory: DataFrame, path: str) -> None:
         F.when(F.col("total_records") == 0, "]\n}").otherwise(""),
     )
     closing = F.when(F.col("total_records") > 0, "  ]\n}")
-    no_place = F.lit(None).cast(directory.schema[FIRST_SEEN].dataType).alias("place")
+    no_place = _no_place(directory)
     frame = _manifest(directory).select(
         F.inline(
             F.array(
@@ -112,8 +134,7 @@ def export_json_document(directory: DataFrame, path: str) -> None:
             )
         )
     )
-    lines = frame.where("line IS NOT NULL").unionByName(records)
-    lines.orderBy("section", "place").select("line").write.mode("overwrite").text(path)
+    _write_lines(frame.where("line IS NOT NULL").unionByName(records), path)
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,10 @@ def source_name() -> Column:
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(file, value)``: every file directly in a folder, each file one row."""
+    """``(file, value)``: every file directly in a folder, each file one row.
+
+    Files without a byte are left out, as Spark's file sources do.
+    """
     # wholetext must be an argument here: as an option text() would reset it.
     reader = spark.read.option("pathGlobFilter", pattern)
     return reader.text(path, wholetext=True).select(source_name().alias("file"), "value")
