@@ -79,7 +79,7 @@ def readable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.try_variant_get("v", "$.businesses", "array<variant>")
     return readable(scanned).select(
         F.variant_get("v", "$.task_id", "string").alias("task_id"),
-        F.size(listed).cast("bigint").alias("businesses"),
+        F.array_size(listed).cast("bigint").alias("businesses"),
     )
 
 
@@ -192,5 +192,5 @@ FROM found WHERE p IS NOT NULL AND p <> 'null'
 """)
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = read_parsed_replies(spark, _saved(spark, sf_dir))
-    items = F.size(F.try_variant_get("v", "$", "array<variant>")).cast("bigint")
+    items = F.array_size(F.try_variant_get("v", "$", "array<variant>")).cast("bigint")
     return parsed.select("file", items.alias("items"))

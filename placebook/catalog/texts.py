@@ -54,7 +54,7 @@ def _facts(rows: DataFrame, payload: Column) -> DataFrame:
     return found.select(
         "event_id",
         v.isNotNull().alias("found"),
-        F.size(F.try_variant_get(v, "$", "array<variant>")).cast("bigint").alias("items"),
+        F.array_size(F.try_variant_get(v, "$", "array<variant>")).cast("bigint").alias("items"),
         F.coalesce(*[F.try_variant_get(v, path, "bigint") for path in paths]).alias("k"),
     )
 

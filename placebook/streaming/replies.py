@@ -32,17 +32,27 @@ def reply_stream(
 
 
 def each_batch(
-    stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    handler: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    every: str | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
-    """Hand over all that has arrived, batch by batch, to ``handler(batch, batch_id)``.
+    """Hand over what arrives, batch by batch, to ``handler(batch, batch_id)``.
 
-    After a failure the last batch is handed over again with the same id.
+    Without ``every``, an interval such as ``"1 minute"``, the query ends when all that has
+    arrived is handed over. After a failure the last batch comes again with the same id.
     """
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handler)
+    writer = writer.option("checkpointLocation", checkpoint)
+    if every is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=every).start()
 
 
-def keep_directory(texts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+def keep_directory(
+    texts: DataFrame, store: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Fold the documents of a text stream into the directory log at ``store``."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -52,7 +62,7 @@ def keep_directory(texts: DataFrame, store: str, checkpoint: str) -> StreamingQu
         winners.write.mode("overwrite").parquet(f"{store}/log/batch={batch_id}")
         _commit(batch.sparkSession, store, "log", batch_id)
 
-    return each_batch(texts, fold, checkpoint)
+    return each_batch(texts, fold, checkpoint, every)
 
 
 def _commit(spark: SparkSession, store: str, part: str, upto: int) -> None:
@@ -101,15 +111,15 @@ def progress_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def keep_progress(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def keep_progress(
+    results: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Write the running counts of a result stream, one row per batch id, to ``path``."""
 
     def note(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = progress_counts(results).writeStream.outputMode("complete").foreachBatch(note)
-    writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return each_batch(progress_counts(results), note, checkpoint, every, mode="complete")
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
