@@ -106,14 +106,17 @@ def with_elements(documents: DataFrame) -> DataFrame:
     }
     staged = _with(staged, handed)
 
+    # What follows THEN is computed for few documents only. Spark computes an expression that
+    # occurs twice under AND ahead of it, for every row.
     def not_object(name: str) -> str:
         part = member("v", name)
-        return f"known = 'profile' AND {part} IS NOT NULL AND NOT {_is_object(part)}"
+        return f"""CASE WHEN known = 'profile'
+            THEN {part} IS NOT NULL AND NOT {_is_object(part)} ELSE false END"""
 
     # An empty object or an empty string in place of the list simply holds no business.
-    no_list = f"""known = 'envelope' AND listed IS NULL
-        AND NOT startswith(schema_of_variant({businesses}), 'OBJECT<>')
-        AND coalesce({text_of(businesses)}, '?') <> ''"""
+    no_list = f"""CASE WHEN known = 'envelope' AND listed IS NULL
+        THEN NOT startswith(schema_of_variant({businesses}), 'OBJECT<>')
+            AND coalesce({text_of(businesses)}, '?') <> '' ELSE false END"""
     flags = {
         "bad_city": f"known = 'envelope' AND {_not_text('env.city', 'env_city')}",
         "bad_state": f"known = 'envelope' AND {_not_text('env.state', 'env_state')}",
