@@ -9,8 +9,6 @@ from placebook.catalog.base import Book, derive, plain
 from placebook.catalog.listings import PART_LISTINGS, WINNERS_SQL, part_winners
 from placebook.catalog.texts import REPLIES, REPLY_SQL, replies
 from placebook.fixed_values import CSV_COLUMNS
-from placebook.functions.once import with_once
-from placebook.functions.payload import reply_json
 from placebook.plans.directory import build_directory
 from placebook.session import fresh_path
 from placebook.sinks.exports import (
@@ -172,10 +170,12 @@ def export_json_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _saved(spark: SparkSession, sf_dir: str) -> str:
     rows = replies(spark, sf_dir).select(
-        F.col("event_id").cast("string").alias("task_id"), F.col("reply").alias("output")
+        F.col("event_id").cast("string").alias("task_id"),
+        F.lit(True).alias("success"),
+        F.col("reply").alias("output"),
     )
     path = fresh_path(spark, "replies")
-    save_replies(with_once(rows, payload=reply_json("output")), path, "run1")
+    save_replies(rows, path, "run1")
     return path
 
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.operators.enrich import run_tasks, save_results, with_payload
+from placebook.operators.enrich import run_tasks, save_results
 from placebook.operators.planning import (
     accepted_requests,
     full_prompt,
@@ -56,7 +56,7 @@ def run_research(
     tasks.write.mode("errorifexists").parquet(f"{run_path}/tasks")
     tasks = spark.read.parquet(f"{run_path}/tasks")
     results = save_results(run_tasks(tasks, work, concurrency), f"{run_path}/results")
-    save_replies(with_payload(results, prefer), f"{output_path}/replies", run_id)
+    save_replies(results, f"{output_path}/replies", run_id, prefer)
 
     built = None
     if not skip_aggregation:

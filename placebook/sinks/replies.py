@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.truth import present_variant
+from placebook.operators.enrich import with_payload
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -14,18 +15,17 @@ def _write(df: DataFrame, path: str) -> None:
     writer.partitionBy("run_id").parquet(path)
 
 
-def save_replies(results: DataFrame, path: str, run_id: str) -> None:
+def save_replies(results: DataFrame, path: str, run_id: str, prefer: str = "array") -> None:
     """Keep every raw text, and the payload where it holds something.
 
-    ``results`` are kept successful results with ``payload``; see ``with_payload``.
+    ``results`` are kept task results; see ``save_results``. Failed ones leave nothing.
     """
-    stamped = results.withColumns(
-        {"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}
-    )
-    raw = stamped.select("task_id", F.col("output").alias("value"), "saved_at", "run_id")
-    parsed = stamped.select("task_id", F.col("payload").alias("v"), "saved_at", "run_id")
-    _write(raw, f"{path}/raw_replies")
-    _write(parsed.where(present_variant("v")), f"{path}/parsed_replies")
+    stamp = {"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}
+    columns = ["saved_at", "run_id"]
+    raw = results.where("success").withColumns(stamp)
+    _write(raw.select("task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
+    parsed = with_payload(results, prefer).withColumns(stamp).where(present_variant("payload"))
+    _write(parsed.select("task_id", F.col("payload").alias("v"), *columns), f"{path}/parsed_replies")
 
 
 def _latest(df: DataFrame) -> DataFrame:
