@@ -123,12 +123,12 @@ def run_summary_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# One request per nation, for one of two states; replies are made from the task itself.
-_NATION_REQUESTS = """
-SELECT n_name AS target_id, CASE WHEN n_nationkey % 2 = 0 THEN 'TX' ELSE 'NY, GA' END AS states,
-       r_name AS industry, CAST(NULL AS ARRAY<STRING>) AS search_terms,
+# One request per supplier, for one or two states; replies are made from the task itself.
+_SUPPLIER_REQUESTS = """
+SELECT s_name AS target_id, CASE WHEN s_suppkey % 2 = 0 THEN 'TX' ELSE 'NY, GA' END AS states,
+       n_name AS industry, CAST(NULL AS ARRAY<STRING>) AS search_terms,
        CAST(NULL AS ARRAY<STRING>) AS data_fields
-FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 """
 
 
@@ -155,15 +155,15 @@ _CITY_ROWS = ", ".join(
 
 @BOOK.query(f"""
 WITH cities(state, city) AS (VALUES {_CITY_ROWS}),
-wanted AS (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'TX' ELSE 'NY' END AS state FROM nation
-  UNION ALL SELECT n_name, 'GA' FROM nation WHERE n_nationkey % 2 = 1),
-tasks AS (SELECT n_name, w.state, city FROM wanted w JOIN cities c ON w.state = c.state)
+wanted AS (SELECT s_name, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['TX'] ELSE ['NY', 'GA'] END) AS state
+  FROM supplier),
+tasks AS (SELECT s_name, w.state, city FROM wanted w JOIN cities c ON w.state = c.state)
 SELECT CAST(count(*) AS BIGINT) AS tasks_generated, CAST(count(*) AS BIGINT) AS tasks_executed,
        CAST(count(*) FILTER (WHERE city <> 'Albany') AS BIGINT) AS tasks_successful,
        CAST(count(*) FILTER (WHERE city = 'Albany') AS BIGINT) AS tasks_failed
 FROM tasks""")
 def research_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = derive(spark, sf_dir, _NATION_REQUESTS)
+    requests = derive(spark, sf_dir, _SUPPLIER_REQUESTS)
     instructions = table(spark, sf_dir, "documents").select(
         F.lit("city_search").alias("task_type"), "text"
     )

@@ -43,8 +43,9 @@ def run_research(
 ) -> Research:
     """Run the requests, ``TARGET_SCHEMA`` rows, and build the directory of their replies.
 
-    Requests that name an unknown state are left out as a whole. Tasks and results are kept as
-    tables, so that no task runs twice when later steps read them.
+    Requests that name an unknown state are left out as a whole. A task id names state and city
+    only, and of replies with one id one is kept, so a run should ask for a state once. Tasks
+    and results are kept as tables, so that no task runs twice when later steps read them.
     """
     spark = requests.sparkSession
     codes = accepted_requests(parse_states(with_target_defaults(requests)), "target_id")
