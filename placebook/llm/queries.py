@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placebook.llm import compression_bands
-from placebook.llm.shared import read
+from placebook.llm import blob_ledger, compression_bands, redirect_equivalence, virtual_slots, winnowing
+from placebook.llm.shared import fresh_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark passage, and the items they come from."""
+    return winnowing.decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return redirect_equivalence.judged(read(spark, sf_dir, "pages"), fresh_folder(spark, "aliases"))
+
+
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes."""
+    return virtual_slots.sharded(read(spark, sf_dir, "documents"), 24)
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, compression ratio and verdict of every document."""
     return compression_bands.judged(read(spark, sf_dir, "documents"))
 
 
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    return blob_ledger.secrets(read(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
+        op2_winnowing,
+        op3_redirect_equivalence,
+        op4_virtual_slots,
         op6_compression_bands,
+        op7_blob_ledger,
     )
 }
 
