@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placebook.llm import blob_ledger, compression_bands, redirect_equivalence, virtual_slots, winnowing
+from placebook.llm import (
+    blob_ledger,
+    compression_bands,
+    elias_fano_ids,
+    hierarchical_packing,
+    redirect_equivalence,
+    virtual_slots,
+    winnowing,
+)
 from placebook.llm.shared import fresh_folder, read
 
+END = 2
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces, packed into sequences of 512 to 4096 ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return hierarchical_packing.packed_pieces(read(spark, sf_dir, "documents"), path, END)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a benchmark passage, and the items they come from."""
     return winnowing.decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -37,14 +54,23 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.secrets(read(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
 
 
+def op10_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as ids with Elias-Fano boundaries, and read back."""
+    tokens = elias_fano_ids.Tokens(public_tokenizers.path("byte_bpe_50k.json"), END)
+    docs, folder = read(spark, sf_dir, "documents"), fresh_folder(spark, "ids")
+    return elias_fano_ids.read_back(docs, folder, elias_fano_ids.write(docs, folder, tokens))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
+        op1_hierarchical_packing,
         op2_winnowing,
         op3_redirect_equivalence,
         op4_virtual_slots,
         op6_compression_bands,
         op7_blob_ledger,
+        op10_elias_fano_ids,
     )
 }
 
