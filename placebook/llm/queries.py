@@ -11,6 +11,7 @@ from placebook.llm import (
     blob_ledger,
     compression_bands,
     elias_fano_ids,
+    forest_join,
     hierarchical_packing,
     redirect_equivalence,
     virtual_slots,
@@ -54,6 +55,11 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.secrets(read(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
 
 
+def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-duplicates and number of links of every document."""
+    return forest_join.joined(read(spark, sf_dir, "documents"), fresh_folder(spark, "forest"))
+
+
 def op10_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written as ids with Elias-Fano boundaries, and read back."""
     tokens = elias_fano_ids.Tokens(public_tokenizers.path("byte_bpe_50k.json"), END)
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op4_virtual_slots,
         op6_compression_bands,
         op7_blob_ledger,
+        op9_forest_join,
         op10_elias_fano_ids,
     )
 }
