@@ -13,6 +13,8 @@ from placebook.llm import (
     elias_fano_ids,
     forest_join,
     hierarchical_packing,
+    kneser_ney,
+    recompression,
     redirect_equivalence,
     virtual_slots,
     winnowing,
@@ -45,6 +47,12 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.sharded(read(spark, sf_dir, "documents"), 24)
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that an earlier one has."""
+    kept = recompression.without_repeats(read(spark, sf_dir, "documents"), fresh_folder(spark, "repeats"), with_text=False)
+    return kept.drop("kept_text")
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, compression ratio and verdict of every document."""
     return compression_bands.judged(read(spark, sf_dir, "documents"))
@@ -55,6 +63,11 @@ def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.secrets(read(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the training documents."""
+    return kneser_ney.scored(read(spark, sf_dir, "documents"), fresh_folder(spark, "model"))
+
+
 def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of near-duplicates and number of links of every document."""
     return forest_join.joined(read(spark, sf_dir, "documents"), fresh_folder(spark, "forest"))
@@ -74,8 +87,10 @@ QUERIES: dict[str, Query] = {
         op2_winnowing,
         op3_redirect_equivalence,
         op4_virtual_slots,
+        op5_recompression,
         op6_compression_bands,
         op7_blob_ledger,
+        op8_kneser_ney,
         op9_forest_join,
         op10_elias_fano_ids,
     )
