@@ -23,11 +23,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.components import components
-from placebook.llm.shared import kept
+from placebook.llm.shared import kept, matched
 from placebook.llm.words import Texts, mix, slices, texts, words
 
 
@@ -279,9 +279,9 @@ def _verify(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def joined(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFrame:
     """For each row of ``docs``: its group of linked documents, and its number of links.
 
-    (doc_id, class_id, n_links, n_text_links, text_key): ``n_links`` counts the other documents at
+    (doc_id, class_id, n_links, n_text_links, text_key, class_key): ``n_links`` counts the other documents at
     the threshold or above, copies included; ``n_text_links`` the different texts among them.
-    ``class_id`` is the least doc_id that chains of links reach.
+    ``class_id`` is the least doc_id that chains of links reach, ``class_key`` the key of its text.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -335,17 +335,38 @@ def joined(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFrame
         )
     )
     told = kept(told, f"{folder}/told")
-    named = told.groupBy("component").agg(F.min("first.doc_id").alias("class_id"))
-    told = told.join(named, "component").select("node", "class_id", "n_links", "n_text_links")
+    named = told.groupBy("component").agg(F.min("first").alias("head"))
+    told = told.join(named, "component").select("node", "head", "n_links", "n_text_links")
     nothing = F.lit(0).cast("long")
     return (
         signed.select("doc_id", "text_key", "node")
         .join(told, "node", "left")
         .select(
             "doc_id",
-            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
             F.coalesce("n_links", nothing).alias("n_links"),
             F.coalesce("n_text_links", nothing).alias("n_text_links"),
             "text_key",
+            F.when(F.col("node").isNull(), F.col("text_key")).otherwise(F.col("head.text_key")).alias("class_key"),
         )
     )
+
+
+def survivors(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFrame:
+    """One row of ``docs`` of each group, the one of least doc_id, with all its columns.
+
+    Of rows that repeat id and text one stays. Texts without words all stay.
+    """
+    verdicts = kept(joined(docs, folder, forest), f"{folder}/verdicts")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    heads = verdicts.where(first).groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
+    heads = kept(heads, f"{folder}/heads")
+    once = matched(docs, heads.where("rows = 1"), "left_semi")
+    if not heads.where("rows > 1").limit(1).count():
+        return once
+    # A window gives one of several equal rows; it sorts only rows that repeat.
+    again = matched(docs, heads.where("rows > 1"), "left_semi")
+    with_words = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
+    copy = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
+    one = again.where(with_words).withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")
+    return once.unionByName(one).unionByName(again.where(~with_words))

@@ -73,3 +73,11 @@ def mapped(folder: str, name: str) -> pa.Buffer:
             return file.read_buffer()
     with system.open_input_file(path) as file:
         return file.read_buffer()
+
+
+def matched(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are ("left_semi") or are not ("left_anti") in
+    ``verdicts`` (doc_id, text_key), by id and text; null ids equal null ids."""
+    told = verdicts.select(F.col("doc_id").alias("_told_id"), F.col("text_key").alias("_told_key"))
+    own_id, own_key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    return docs.join(told, own_id.eqNullSafe(F.col("_told_id")) & (own_key == F.col("_told_key")), how)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placebook.llm.shared import kept, matched
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PASSAGE, GRAM = 13, 6
@@ -172,3 +174,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM) -> D
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         "text_key",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, folder: str, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    verdicts = decontaminated(docs, benchmark, gram).where("contaminated").select("doc_id", "text_key").distinct()
+    return matched(docs, kept(verdicts, f"{folder}/contaminated"), "left_anti")
