@@ -32,9 +32,9 @@ from placebook.llm.shared import kept, mapped, write_file
 from placebook.llm.words import LOWER, Texts, mix, slices, texts, words
 
 #: Bytes of text for which the key space gets one part more.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: Tokens counted in a task before it sends its sums.
-HOLD = 4_000_000
+HOLD = 2_000_000
 #: Not words: they hold white space.
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\r", b"\n"))
 UNKNOWN = np.uint64((1 << 32) - 1)
