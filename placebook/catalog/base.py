@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +34,8 @@ class Book:
         return register
 
 
-@lru_cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its footer is read once per session."""
+    """A given table."""
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from placebook.catalog.base import Book, derive, plain
 from placebook.catalog.listings import PART_LISTINGS, WINNERS_SQL, part_winners
-from placebook.catalog.texts import REPLIES, REPLY_SQL, replies
+from placebook.catalog.texts import OUTERMOST_SQL, REPLIES, REPLY_SQL, replies, valid_sql
 from placebook.fixed_values import CSV_COLUMNS
-from placebook.plans.directory import build_directory
+from placebook.operators.dedupe import dedupe
+from placebook.operators.normalise import listings, normalise
+from placebook.plans.directory import build_directory, directory_of
 from placebook.session import fresh_path
 from placebook.sinks.exports import (
+    export,
     export_csv,
     export_json,
     export_json_document,
     read_csv,
     read_json,
 )
-from placebook.sinks.replies import read_parsed_replies, read_raw_replies, save_replies
+from placebook.sinks.replies import read_parsed_replies, read_raw_replies, replayed, save_replies
 from placebook.sources.documents import (
+    parse_texts,
     quarantined,
     read_texts,
     readable,
@@ -168,17 +172,32 @@ def export_json_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count("*").alias("times"))
 
 
-def _saved(spark: SparkSession, sf_dir: str) -> str:
-    rows = replies(spark, sf_dir).select(
-        F.col("event_id").cast("string").alias("task_id"),
-        F.lit(True).alias("success"),
-        F.col("reply").alias("output"),
-    )
+# A second run asks again for every third reply and gets another one.
+_AGAIN = f"SELECT event_id, '[{{{{\"again\": ' || CAST(event_id AS STRING) || '}}}}]' AS reply FROM ({REPLIES}) WHERE event_id % 3 = 0"
+
+
+def _saved(spark: SparkSession, sf_dir: str, second: bool = False) -> str:
     path = fresh_path(spark, "replies")
-    save_replies(rows, path, "run1")
+    for run_id, rows in (("run1", replies(spark, sf_dir)), ("run2", derive(spark, sf_dir, _AGAIN))):
+        if run_id == "run1" or second:
+            results = rows.select(
+                F.col("event_id").cast("string").alias("task_id"),
+                F.lit(True).alias("success"),
+                F.col("reply").alias("output"),
+            )
+            save_replies(results, path, run_id)
     return path
 
 
+@BOOK.query(f"""
+SELECT CAST(event_id AS STRING) AS task_id, CASE WHEN event_id % 3 = 0
+  THEN '[{{"again": ' || CAST(event_id AS STRING) || '}}]' ELSE reply END AS value,
+  CASE WHEN event_id % 3 = 0 THEN 'run2' ELSE 'run1' END AS run_id
+FROM ({plain(REPLIES)})""")
+def replies_of_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_raw_replies(spark, _saved(spark, sf_dir, second=True)).select("task_id", "value", "run_id")
+
+
 @BOOK.query(f"SELECT CAST(event_id AS STRING) AS task_id, reply AS value FROM ({plain(REPLIES)})")
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw_replies(spark, _saved(spark, sf_dir)).select("task_id", "value")
@@ -194,3 +213,102 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = read_parsed_replies(spark, _saved(spark, sf_dir))
     items = F.array_size(F.try_variant_get("v", "$", "array<variant>")).cast("bigint")
     return parsed.select("file", items.alias("items"))
+
+
+@BOOK.query(f"""
+WITH r AS ({plain(REPLIES)}), a AS (SELECT event_id, {REPLY_SQL} AS p FROM r),
+o AS (SELECT event_id, coalesce({valid_sql('reply')}, {OUTERMOST_SQL}) AS p FROM r),
+two_ways AS (SELECT 'array' AS prefer, * FROM a UNION ALL SELECT 'outermost', * FROM o),
+found AS (SELECT * FROM two_ways WHERE p IS NOT NULL AND p NOT IN ('null', '[]', '{{}}', 'false', '0', '""'))
+SELECT prefer, CAST(count(*) AS BIGINT) AS documents,
+       CAST(count(*) FILTER (WHERE json_type(p) = 'ARRAY') AS BIGINT) AS lists,
+       CAST(count(*) FILTER (WHERE json_extract(p, '$.businesses') IS NOT NULL) AS BIGINT) AS envelopes
+FROM found GROUP BY 1""")
+def replayed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept raw texts, read again both ways without asking again."""
+    texts = read_raw_replies(spark, _saved(spark, sf_dir))
+    listed = F.try_variant_get("v", "$", "array<variant>").isNotNull()
+    enveloped = F.try_variant_get("v", "$.businesses", "variant").isNotNull()
+    both = [replayed(texts, prefer).withColumn("prefer", F.lit(prefer)) for prefer in ("array", "outermost")]
+    return both[0].unionByName(both[1]).groupBy("prefer").agg(
+        F.count("*").alias("documents"),
+        F.count_if(listed).alias("lists"),
+        F.count_if(enveloped).alias("envelopes"),
+    )
+
+
+# Searchers' replies: prose, an envelope, prose; those of which nothing can be read are left out.
+_CHATTY = f"""
+SELECT CAST(s_suppkey AS STRING) AS task_id, 'I will search. ' || value || ' Done.' AS value
+FROM ({SUPPLIER_DOCUMENTS}) WHERE s_suppkey % 9 <> 8
+"""
+
+
+@BOOK.query(f"""{_BUILT_SQL},
+listed AS (SELECT 'array' AS prefer, name, '' AS city, '' AS state FROM kept
+  UNION SELECT 'outermost', name, n_name, r_name FROM kept)
+SELECT prefer, (SELECT CAST(count(*) AS BIGINT) FROM docs) AS input_files,
+       (SELECT CAST(3 * count(*) AS BIGINT) FROM docs) AS total_records_found,
+       CAST(count(*) AS BIGINT) AS unique_records
+FROM listed GROUP BY prefer""")
+def replayed_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = derive(spark, sf_dir, _CHATTY)
+    counted = []
+    for prefer in ("array", "outermost"):
+        built = directory_of(replayed(texts, prefer), fresh_path(spark, "replayed"), formats=())
+        counted.append(built.summary.withColumn("prefer", F.lit(prefer)))
+    names = ["prefer", "input_files", "total_records_found", "unique_records"]
+    return counted[0].unionByName(counted[1]).select(*names)
+
+
+# Every document under two names: as a document, and as the raw reply it came from.
+_NAMED = f"""
+SELECT 's' || CAST(s_suppkey AS STRING) || ending AS file, value
+FROM ({SUPPLIER_DOCUMENTS}) CROSS JOIN (SELECT '.txt' AS ending UNION ALL SELECT '_raw.txt') AS e
+"""
+
+
+@BOOK.query(f"""
+SELECT 's' || CAST(s_suppkey AS STRING) || '.txt' AS file, json_valid(value) AS readable
+FROM ({plain(SUPPLIER_DOCUMENTS)})""")
+def raw_suffix_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = parse_texts(derive(spark, sf_dir, _NAMED))
+    return scanned.select("file", F.col("problem").isNull().alias("readable"))
+
+
+# A profile for every order; a customer's profiles are one business.
+_PROFILES = """
+SELECT 'doc' || CAST(o_orderkey AS STRING) || '.json' AS file,
+       '{{"company_name": "' || c_name || '", "location": {{"city": "' || n_name || '", "state": "S"}}, ' ||
+       '"business_details": {{"fleet_size": ' || CAST(o_custkey AS STRING) || '}}, "key_contacts": ["' ||
+       c_mktsegment || '"], "online_presence": {{"site": null}}}}' AS value
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+"""
+
+
+@BOOK.query("""
+SELECT c_name AS company_name, n_name AS city, CAST(c_custkey AS BIGINT) AS fleet_size, c_mktsegment AS contact,
+       TRUE AS has_presence
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def export_json_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = listings(normalise(parse_texts(derive(spark, sf_dir, _PROFILES))))
+    path = fresh_path(spark, "extras")
+    export_json(dedupe(found, ["file", "pos"]), path)
+    return read_json(spark, path)[0].select(
+        "company_name",
+        "city",
+        F.variant_get("business_details", "$.fleet_size", "bigint").alias("fleet_size"),
+        F.variant_get("key_contacts", "$[0]", "string").alias("contact"),
+        F.col("online_presence").isNotNull().alias("has_presence"),
+    )
+
+
+@BOOK.query(f"""
+SELECT unnest(['csv', 'json']) AS format, CAST((SELECT count(*) FROM ({WINNERS_SQL})) AS BIGINT) AS businesses""")
+def export_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    winners, path = part_winners(spark, sf_dir), fresh_path(spark, "formats")
+    csv, = export(winners, f"{path}/a", ("csv",))
+    json, = export(winners, f"{path}/b", ("json",))
+    rows = [("csv", read_csv(spark, csv)), ("json", read_json(spark, json)[0])]
+    counted = [df.agg(F.count("*").alias("businesses")).withColumn("format", F.lit(name)) for name, df in rows]
+    return counted[0].unionByName(counted[1]).select("format", "businesses")

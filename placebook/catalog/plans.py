@@ -20,6 +20,7 @@ from placebook.fixed_values import (
     WEB_MARK,
 )
 from placebook.functions.contacts import joined
+from placebook.operators import planning
 from placebook.operators.planning import (
     accepted_requests,
     expand_queries,
@@ -28,6 +29,7 @@ from placebook.operators.planning import (
     plan_tasks,
     planner_prompt,
     tasks_from_replies,
+    uncovered_states,
     validate_states,
     with_instructions,
     with_major_cities,
@@ -88,8 +90,8 @@ codes AS (SELECT target_id, industry, search_terms, data_fields,
 accepted AS (SELECT * FROM codes WHERE target_id NOT IN
     (SELECT target_id FROM codes WHERE state NOT IN (SELECT code FROM state_names))),
 tasks AS (SELECT target_id, state_pos, state, city, industry, search_terms, data_fields,
-    'search_' || state || '_' || replace(city, ' ', '') AS task_id, 'city_search' AS task_type
-    FROM accepted JOIN cities ON state = city_state WHERE required)
+    'search_' || state || '_' || replace(city, ' ', '') AS task_id, 'city_search' AS task_type,
+    required FROM accepted JOIN cities ON state = city_state)
 """
 
 
@@ -101,8 +103,12 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_states(_requests(spark, sf_dir))
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_tasks(accepted_requests(_codes(spark, sf_dir), "target_id"))
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accepted_requests(_requests(spark, sf_dir))
+
+
+def _tasks(spark: SparkSession, sf_dir: str, required_only: bool = False) -> DataFrame:
+    return plan_tasks(_accepted(spark, sf_dir), required_only=required_only)
 
 
 @BOOK.query(f"{_BASE_SQL} SELECT target_id, state_pos, state FROM codes")
@@ -124,8 +130,31 @@ def rejected_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(f"{_BASE_SQL} SELECT target_id, state_pos, state FROM accepted")
 def accepted_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = accepted_requests(_codes(spark, sf_dir), "target_id")
-    return accepted.select("target_id", "state_pos", "state")
+    return _accepted(spark, sf_dir).select("target_id", "state_pos", "state")
+
+
+# Every seventh request has no list of states.
+_SOME_WITHOUT = f"""
+SELECT target_id, CASE WHEN CAST(target_id AS INT) % 7 = 0 THEN NULL ELSE states END AS states
+FROM ({REQUESTS})
+"""
+
+
+@BOOK.query(f"""{_BASE_SQL}, gaps AS (SELECT target_id,
+    CASE WHEN CAST(target_id AS INT) % 7 = 0 THEN NULL ELSE states END AS states FROM raw)
+SELECT target_id, CAST(NULL AS VARCHAR) AS state, 'no states given' AS reason FROM gaps WHERE states IS NULL
+UNION ALL SELECT target_id, state, 'unknown state' FROM
+  (SELECT target_id, upper(trim(unnest(string_split(states, ',')))) AS state FROM gaps WHERE states IS NOT NULL)
+  WHERE state NOT IN (SELECT code FROM state_names)""")
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.rejected_requests(derive(spark, sf_dir, _spark_text(_SOME_WITHOUT)))
+
+
+@BOOK.query(f"""{_BASE_SQL}
+SELECT target_id, state, 'no cities known' AS reason FROM accepted
+WHERE state NOT IN (SELECT city_state FROM cities)""")
+def states_without_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncovered_states(_accepted(spark, sf_dir))
 
 
 @BOOK.query(f"""{_BASE_SQL}
@@ -166,6 +195,17 @@ def city_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.query(f"{_BASE_SQL} SELECT target_id, state_pos, task_id FROM tasks WHERE required")
+def minimum_city_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tasks(spark, sf_dir, required_only=True).select("target_id", "state_pos", "task_id")
+
+
+@BOOK.query(f"""{_BASE_SQL}
+SELECT target_id || '~' || CAST(state_pos AS STRING) || '~' || state || '~' || city AS task_key, task_id FROM tasks""")
+def all_city_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tasks(spark, sf_dir).select("task_key", "task_id")
+
+
 # The caller's own cities: every nation name, in a state chosen by its number.
 _OWN_CITIES = f"""
 SELECT {pick('n_nationkey', _CODES)} AS state, n_name || ' Springs' AS city FROM {{nation}}
@@ -177,8 +217,7 @@ SELECT target_id, a.state, o.city,
        'search_' || a.state || '_' || replace(o.city, ' ', '') AS task_id
 FROM accepted a JOIN ({plain(_OWN_CITIES)}) o ON a.state = o.state""")
 def city_tasks_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = accepted_requests(_codes(spark, sf_dir), "target_id")
-    tasks = plan_tasks(accepted, derive(spark, sf_dir, _OWN_CITIES))
+    tasks = plan_tasks(_accepted(spark, sf_dir), derive(spark, sf_dir, _OWN_CITIES))
     return tasks.select("target_id", "state", "city", "task_id")
 
 
@@ -263,9 +302,9 @@ mixed AS (SELECT pos, coalesce(task_id, 'task_' || CAST(pos AS STRING)) AS task_
   FROM ({plain(_MIXED)}))
 """
 _FIELDS = ["task_id", "task_type", "company_name", "city", "state", "industry"]
-_AS_JSON = " || ', ' || ".join(
-    f"""'"{name}": "' || {name} || '"'""" for name in _FIELDS if name != "state"
-).replace(""" || ', ' || '"industry\"""", """ || CASE WHEN state IS NULL THEN '' ELSE ', "state": "' || state || '"' END || ', ' || '"industry\"""")
+# Only ``state`` may be null; a null member is left out.
+_MEMBERS = ", ".join(f"""'"{name}": "' || {name} || '"'""" for name in _FIELDS)
+_AS_JSON = f"array_to_string(list_filter([{_MEMBERS}], lambda m: m IS NOT NULL), ', ')"
 _COMPANY = ["company_name", "city", "state", "industry", "task_id"]
 _CITY = {
     "city": "city", "state": "state", "industry": "industry", "task_id": "task_id",
@@ -303,21 +342,23 @@ def city_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_prompts(_tasks(spark, sf_dir)).select("target_id", "state_pos", "prompt")
 
 
-# Instructions as a table: the longest document of each of two types is its text.
+# Instructions as a table: one per language, told from all of its documents.
 _INSTRUCTIONS = """
-SELECT CASE WHEN lang = 'en' THEN 'city_search' WHEN lang = 'de' THEN 'company_research'
-            ELSE lang END AS task_type, max(text) AS text
+SELECT CASE lang WHEN 'en' THEN 'city_search' WHEN 'de' THEN 'company_research'
+                 WHEN 'fr' THEN 'review' ELSE lang END AS task_type,
+       'Read ' || CAST(count(*) AS STRING) || ' documents of ' || CAST(sum(length(text)) AS STRING) ||
+       ' characters.' AS text
 FROM {documents} GROUP BY 1
 """
-
-
-@BOOK.query(f"""
+_CHOSEN_SQL = f"""
 WITH {_MIXED_SQL}, instructions AS ({plain(_INSTRUCTIONS)}),
 chosen AS (SELECT m.*, coalesce(i.text, f.text, '') AS instruction
-  FROM mixed m
-  LEFT JOIN (SELECT * FROM instructions WHERE task_type IN ('city_search', 'company_research')) i
-    ON m.task_type = i.task_type
+  FROM mixed m LEFT JOIN instructions i ON m.task_type = i.task_type
   LEFT JOIN instructions f ON f.task_type = 'city_search')
+"""
+
+
+@BOOK.query(f"""{_CHOSEN_SQL}
 SELECT pos, CAST(length(prompt) AS BIGINT) AS characters, md5(prompt) AS digest
 FROM (SELECT pos, CASE WHEN instruction <> '' THEN instruction || {quoted(INSTRUCTION_DIVIDER)} ELSE '' END
                   || {quoted(WEB_MARK)} || {_PROMPT_SQL} AS prompt FROM chosen)""")
@@ -331,6 +372,12 @@ def instruction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.query(f"{_CHOSEN_SQL} SELECT pos, task_type, instruction FROM chosen")
+def instruction_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = with_instructions(_mixed(spark, sf_dir), derive(spark, sf_dir, _INSTRUCTIONS))
+    return tasks.select("pos", "task_type", "instruction")
+
+
 # Planner replies: a list in prose, a bare list, an object, prose only, and odd elements.
 _PLANS = """
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey,

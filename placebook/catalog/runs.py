@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.catalog.base import Book, derive, plain, table
+from placebook.catalog.base import Book, derive, plain
 from placebook.catalog.listings import part_listings
-from placebook.fixed_values import MAJOR_CITIES, MINIMUM_CITIES
+from placebook.fixed_values import MAJOR_CITIES
 from placebook.operators.dedupe import dedupe, duplicate_counts
 from placebook.operators.enrich import run_tasks, save_results, with_payload
 from placebook.operators.rollup import failed_tasks, run_stats, run_summary
-from placebook.plans.research import run_research
+from placebook.plans.research import Research, run_research
 from placebook.session import fresh_path
 
 BOOK = Book()
@@ -51,14 +51,30 @@ def enrich_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("task_id", "success", "output", "error", timed.alias("timed"))
 
 
+# Recorded replies with a list of their own facts behind them.
+_ANSWERS = f"""
+SELECT task_id, prompt, CASE WHEN recorded IS NOT NULL THEN recorded ||
+  '[{{{{"turns": ' || CAST(length(recorded) AS STRING) || '}}}}, {{{{"id": "' || task_id || '"}}}}]' END AS recorded
+FROM ({_TURNS})
+"""
+
+
 @BOOK.query(f"""
-SELECT task_id, length(recorded) > 0 AS has_output
-FROM ({plain(_TURNS)}) WHERE recorded IS NOT NULL""")
+SELECT task_id, CAST(2 AS BIGINT) AS items, CAST(length(recorded) AS BIGINT) AS turns, task_id AS id
+FROM ({plain(_TURNS)}) WHERE recorded IS NOT NULL
+  AND strpos(recorded, '[') = 0 AND strpos(recorded, ']') = 0""")
 def successful_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = run_tasks(derive(spark, sf_dir, _TURNS), _replay(), concurrency=8)
+    results = run_tasks(derive(spark, sf_dir, _ANSWERS), _replay(), concurrency=8)
     kept = save_results(results, fresh_path(spark, "results"))
-    found = with_payload(kept)
-    return found.select("task_id", (F.length("output") > 0).alias("has_output"))
+    # Turns with brackets of their own have another widest list.
+    plain_ones = kept.where("not success or (instr(output, '[') = length(output) - instr(reverse(output), '[') + 1)")
+    found = with_payload(plain_ones.where("instr(output, ']') = length(output)"))
+    return found.select(
+        "task_id",
+        F.array_size(F.try_variant_get("payload", "$", "array<variant>")).cast("bigint").alias("items"),
+        F.try_variant_get("payload", "$[0].turns", "bigint").alias("turns"),
+        F.try_variant_get("payload", "$[1].id", "string").alias("id"),
+    )
 
 
 # Events as task results.
@@ -81,18 +97,6 @@ def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumns({name: F.round(name, places) for name, places in rounded.items()})
 
 
-@BOOK.query("""
-SELECT CAST(0 AS BIGINT) AS total_tasks, CAST(0 AS BIGINT) AS successful,
-       CAST(0 AS BIGINT) AS failed, CAST(0 AS DOUBLE) AS success_rate,
-       CAST(0 AS DOUBLE) AS total_time, CAST(0 AS DOUBLE) AS average_time
-FROM (SELECT count(*) FROM events WHERE event_type = 'no such type')""")
-def run_statistics_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = table(spark, sf_dir, "events").where("event_type = 'no such type'")
-    return run_stats(
-        none.select(F.lit(True).alias("success"), F.col("value").alias("execution_time"))
-    )
-
-
 @BOOK.query("SELECT CAST(event_id AS STRING) AS task_id FROM events WHERE event_type = 'error'")
 def failed_task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed_tasks(derive(spark, sf_dir, _RESULTS))
@@ -146,29 +150,102 @@ def _invent() -> Callable[[dict], str]:
     return work
 
 
-_CITY_ROWS = ", ".join(
-    f"('{state}', '{city}')"
-    for state, cities in MAJOR_CITIES.items()
-    for city in cities[: MINIMUM_CITIES[state]]
-)
+_CITY_ROWS = ", ".join(f"('{state}', '{city}')" for state, cities in MAJOR_CITIES.items() for city in cities)
+_WANTED_SQL = f"""
+WITH cities(state, city) AS (VALUES {_CITY_ROWS}),
+wanted AS (SELECT s_name, n_name, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['TX'] ELSE ['NY', 'GA'] END) AS state
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+tasks AS (SELECT s_name, n_name, w.state, city FROM wanted w JOIN cities c ON w.state = c.state),
+good AS (SELECT * FROM tasks WHERE city <> 'Albany')
+"""
 
 
-@BOOK.query(f"""
-WITH cities(state, city) AS (VALUES {_CITY_ROWS}),
-wanted AS (SELECT s_name, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['TX'] ELSE ['NY', 'GA'] END) AS state
-  FROM supplier),
-tasks AS (SELECT s_name, w.state, city FROM wanted w JOIN cities c ON w.state = c.state)
-SELECT CAST(count(*) AS BIGINT) AS tasks_generated, CAST(count(*) AS BIGINT) AS tasks_executed,
-       CAST(count(*) FILTER (WHERE city <> 'Albany') AS BIGINT) AS tasks_successful,
-       CAST(count(*) FILTER (WHERE city = 'Albany') AS BIGINT) AS tasks_failed
-FROM tasks""")
-def research_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _research(spark: SparkSession, sf_dir: str, **options) -> Research:
     requests = derive(spark, sf_dir, _SUPPLIER_REQUESTS)
-    instructions = table(spark, sf_dir, "documents").select(
-        F.lit("city_search").alias("task_type"), "text"
+    instructions = derive(
+        spark, sf_dir, "SELECT 'city_search' AS task_type, 'Of ' || CAST(sum(length(text)) AS STRING) AS text FROM {documents}"
     )
-    run = run_research(
-        requests, instructions, _invent(), fresh_path(spark, "research"), "first", concurrency=8
+    return run_research(
+        requests, instructions, _invent(), fresh_path(spark, "research"), "first", concurrency=8, **options
+    )
+
+
+@BOOK.query(f"""{_WANTED_SQL}
+SELECT CAST((SELECT count(*) FROM tasks) AS BIGINT) AS tasks_generated,
+       CAST((SELECT count(*) FROM tasks) AS BIGINT) AS tasks_executed,
+       CAST(count(*) AS BIGINT) AS tasks_successful,
+       CAST((SELECT count(*) FROM tasks) - count(*) AS BIGINT) AS tasks_failed,
+       CAST(count(*) AS BIGINT) AS input_files, CAST(2 * count(*) AS BIGINT) AS total_records_found,
+       CAST(count(DISTINCT s_name) + count(DISTINCT city) AS BIGINT) AS unique_records,
+       CAST(2 * count(*) - count(DISTINCT s_name) - count(DISTINCT city) AS BIGINT) AS duplicates_removed
+FROM good""")
+def research_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _research(spark, sf_dir)
+    counters = ["tasks_generated", "tasks_executed", "tasks_successful", "tasks_failed"]
+    return run.summary.select(*counters, "aggregation.*")
+
+
+@BOOK.query(f"""{_WANTED_SQL}
+SELECT s_name || ' ' || n_name || ' Inc' AS company_name, city, state, CAST(1 AS BIGINT) AS sightings FROM good
+UNION ALL SELECT city || ' Co', city, state, CAST(count(*) AS BIGINT) FROM good GROUP BY city, state""")
+def research_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target has its business in each of its cities: no reply is lost to another target."""
+    businesses = _research(spark, sf_dir, prefer="outermost").directory.businesses
+    return businesses.select("company_name", "city", "state", "sightings")
+
+
+# One request per customer; the planner names tasks of two types for most of them.
+_CUSTOMER_REQUESTS = """
+SELECT CAST(c_custkey AS STRING) AS target_id, CASE WHEN c_custkey % 8 = 7 THEN 'XX' ELSE 'TX' END AS states,
+       c_mktsegment AS industry, CAST(NULL AS ARRAY<STRING>) AS search_terms,
+       CAST(NULL AS ARRAY<STRING>) AS data_fields
+FROM {customer}
+"""
+
+
+def _plan_and_answer() -> Callable[[dict], str]:
+    """Work that first plans, then replies to a city search or to a company's research."""
+
+    def work(task: dict) -> str:
+        number = int(task["target_id"])
+        if task["task_type"] == "planning":
+            if number % 8 == 6:
+                raise TimeoutError("timed out")
+            city = {"city": f"City {number % 5}", "state": "TX"}
+            plan = [{"task_type": "company_research", "company_name": f"Firm {number}", **city}, {"task_id": "c", **city}]
+            return "No plan." if number % 8 == 5 else f"Here it is:\n{json.dumps(plan)}\n"
+        place = {"city": task["city"], "state": task["state"]}
+        if task["task_type"] == "company_research":
+            return json.dumps({"company_name": task["company_name"], "location": place, "contact": {"phone": "1"}})
+        found = [{"company_name": f"{task['industry']} of {task['city']}"}]
+        return json.dumps({"task_id": task["task_id"], **place, "businesses": found})
+
+    return work
+
+
+@BOOK.query("""
+WITH good AS (SELECT c_custkey, c_mktsegment, 'City ' || CAST(c_custkey % 5 AS STRING) AS city
+  FROM customer WHERE c_custkey % 8 < 5)
+SELECT 'Firm ' || CAST(c_custkey AS STRING) AS company_name, city, 'TX' AS state, '1' AS phone,
+       CAST(1 AS BIGINT) AS sightings FROM good
+UNION ALL SELECT c_mktsegment || ' of ' || city, city, 'TX', NULL, CAST(count(*) AS BIGINT)
+FROM good GROUP BY c_mktsegment, city""")
+def planned_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir).directory.businesses.select("company_name", "city", "state", "phone", "sightings")
+
+
+@BOOK.query("""
+SELECT CAST(c_custkey AS STRING) AS target_id, CASE WHEN c_custkey % 8 = 7 THEN 'XX' END AS state,
+       CASE WHEN c_custkey % 8 = 7 THEN 'unknown state' ELSE 'no plan: timed out' END AS reason
+FROM customer WHERE c_custkey % 8 > 5""")
+def planned_run_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir, skip_aggregation=True).rejected
+
+
+def _planned(spark: SparkSession, sf_dir: str, **options) -> Research:
+    requests = derive(spark, sf_dir, _CUSTOMER_REQUESTS)
+    none = derive(spark, sf_dir, "SELECT CAST(r_name AS STRING) AS task_type, r_name AS text FROM {region}")
+    return run_research(
+        requests, none, _plan_and_answer(), fresh_path(spark, "planned"), "p", concurrency=8,
+        ask_planner=True, prefer="outermost", **options
     )
-    names = ["tasks_generated", "tasks_executed", "tasks_successful", "tasks_failed"]
-    return run.summary.select(*names)

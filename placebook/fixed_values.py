@@ -35,6 +35,7 @@ MAJOR_CITIES = {
 }
 
 # How many of those cities a plan must cover at least.
+# How many of a state's cities a plan covers at least: a minimum, not a maximum.
 MINIMUM_CITIES = {
     "TX": 6, "CA": 6, "FL": 6, "NY": 5, "IL": 5, "PA": 5, "OH": 5, "GA": 5, "NC": 5, "MI": 5,
 }
@@ -66,7 +67,6 @@ CSV_COLUMNS = [
 # Task types and the instruction texts that can exist.
 CITY_SEARCH = "city_search"
 COMPANY_RESEARCH = "company_research"
-INSTRUCTION_TYPES = ["manager", "city_search", "company_research"]
 
 # Marks put around prompts.
 INSTRUCTION_DIVIDER = "\n\n---\n\n"

@@ -5,46 +5,62 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from placebook.functions.once import with_once
 from placebook.functions.payload import reply_json
 from placebook.session import prepare
 
 RESULT_SCHEMA = (
-    "task_id string, success boolean, output string, error string, execution_time double"
+    "task_key string, task_id string, success boolean, output string, error string, execution_time double"
 )
+#: Outcomes handed on at a time; a lost task repeats no more than it has to.
+_AT_ONCE = 16
+
+
+def keyed(tasks: DataFrame) -> DataFrame:
+    """Tasks with a ``task_key``; without one of its own a task is known by its id."""
+    return tasks if "task_key" in tasks.columns else tasks.withColumn("task_key", F.col("task_id"))
 
 
 def run_tasks(tasks: DataFrame, work: Callable[[dict], str], concurrency: int) -> DataFrame:
     """``RESULT_SCHEMA`` rows, one per task.
 
-    ``work`` gets the columns of one task and returns the reply text. What it raises becomes
-    the error of that task. At most ``concurrency`` tasks run at a time, each in its own
-    partition; task ids are spread by hash, so retried partitions hold the same tasks.
+    ``work`` gets the columns of one task, with the types Arrow gives them, and returns the
+    reply text. What it raises becomes the error of that task. At most ``concurrency`` tasks
+    run at a time, each in its own partition; tasks are spread by the hash of their key.
 
     The result is lazy and every use runs the tasks again: write it to a table first, see
-    ``save_results``.
+    ``save_results`` and ``run_in_waves``.
     """
 
-    def attempt(task: dict) -> tuple:
+    def attempt(task: dict) -> dict:
         began = time.monotonic()
         try:
             output, error = work(task), None
         except Exception as failure:  # noqa: BLE001 - any failure belongs to its task
             output, error = None, str(failure) or type(failure).__name__
-        spent = time.monotonic() - began
-        return task["task_id"], error is None, output, error, spent
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["task_id", "success", "output", "error", "execution_time"]
+        return {
+            "task_key": task["task_key"],
+            "task_id": task["task_id"],
+            "success": error is None,
+            "output": output,
+            "error": error,
+            "execution_time": time.monotonic() - began,
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [pa.field(name, pa.string()) for name in ("task_key", "task_id", "output", "error")]
+        schema = pa.schema([*fields[:2], pa.field("success", pa.bool_()), *fields[2:], pa.field("execution_time", pa.float64())])
         for batch in batches:
-            present = batch.astype(object).where(batch.notna(), None)
-            rows = [attempt(task) for task in present.to_dict("records")]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                done = [attempt(task) for task in batch.slice(at, _AT_ONCE).to_pylist()]
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    return tasks.repartition(concurrency, "task_id").mapInPandas(run, RESULT_SCHEMA)
+    return keyed(tasks).repartition(concurrency, "task_key").mapInArrow(run, RESULT_SCHEMA)
 
 
 def save_results(results: DataFrame, path: str) -> DataFrame:
@@ -53,6 +69,32 @@ def save_results(results: DataFrame, path: str) -> DataFrame:
     return results.sparkSession.read.parquet(path)
 
 
+def run_in_waves(
+    tasks: DataFrame, work: Callable[[dict], str], concurrency: int, path: str, waves: int = 10
+) -> DataFrame:
+    """Run the tasks slice by slice and keep the results of each slice as it ends.
+
+    A task whose result is kept below ``path`` does not run again, so a run that was broken off
+    goes on with the same call. Slices are made by the hash of the key; a key is asked for once.
+    """
+    spark = tasks.sparkSession
+    tasks = keyed(tasks).dropDuplicates(["task_key"])
+    for wave in range(waves):
+        own = tasks.where(F.pmod(F.xxhash64("task_key"), F.lit(waves)) == wave)
+        done = _kept(tasks, path)
+        if done is not None:
+            own = own.join(done.select("task_key"), "task_key", "left_anti")
+        run_tasks(own, work, concurrency).write.mode("append").parquet(path)
+    return spark.read.schema(RESULT_SCHEMA).parquet(path)
+
+
+def _kept(tasks: DataFrame, path: str) -> DataFrame | None:
+    try:
+        return tasks.sparkSession.read.schema(RESULT_SCHEMA).parquet(path)
+    except AnalysisException:  # the first slice: there is no table yet
+        return None
+
+
 def with_payload(results: DataFrame, prefer: str = "array") -> DataFrame:
     """Successful results with their ``payload``; failed ones are left out."""
     prepare(results.sparkSession)

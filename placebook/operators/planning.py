@@ -16,7 +16,6 @@ from placebook.fixed_values import (
     COMPANY_RESEARCH,
     COMPANY_RESEARCH_PROMPT,
     INSTRUCTION_DIVIDER,
-    INSTRUCTION_TYPES,
     MAJOR_CITIES,
     MINIMUM_CITIES,
     PLANNER_PROMPT,
@@ -66,8 +65,11 @@ def major_cities(spark: SparkSession) -> DataFrame:
 
 
 def parse_states(requests: DataFrame, column: str = "states") -> DataFrame:
-    """One row per state code of a comma-separated list, in order of ``state_pos``."""
-    codes = F.posexplode(F.split(column, ",")).alias("state_pos", "code")
+    """One row per state code of a comma-separated list, in order of ``state_pos``.
+
+    A null list is one row with a null code.
+    """
+    codes = F.posexplode_outer(F.split(column, ",")).alias("state_pos", "code")
     return requests.select("*", codes).select(
         *requests.columns, "state_pos", F.upper(strip(F.col("code"))).alias("state")
     )
@@ -79,10 +81,32 @@ def validate_states(codes: DataFrame, column: str = "state") -> tuple[DataFrame,
     return codes.join(known, column, "left_semi"), codes.join(known, column, "left_anti")
 
 
-def accepted_requests(codes: DataFrame, key: str, column: str = "state") -> DataFrame:
-    """The rows of requests without any bad code; one bad code refuses its whole request."""
-    _, bad = validate_states(codes, column)
-    return codes.join(bad.select(key).distinct(), key, "left_anti")
+def _unknown(column: str) -> Column:
+    """Codes of a request's list that are no state; null for a null list."""
+    codes = F.transform(F.split(column, ","), lambda code: F.upper(strip(code)))
+    return F.filter(codes, lambda code: ~code.isin([code for code, _ in STATES]))
+
+
+def accepted_requests(requests: DataFrame, column: str = "states") -> DataFrame:
+    """One row per state of the requests without any bad code; one bad code refuses its request.
+
+    A request is judged on its own row, so nothing is joined or shuffled.
+    """
+    return parse_states(requests.where(F.size(_unknown(column)) == 0), column)
+
+
+def rejected_requests(requests: DataFrame, key: str = "target_id", column: str = "states") -> DataFrame:
+    """``(key, state, reason)`` for every bad code, and for requests without a list."""
+    judged = requests.select(key, F.explode_outer(_unknown(column)).alias("state"), F.col(column).isNull().alias("no_list"))
+    reason = F.when(F.col("no_list"), "no states given").otherwise("unknown state")
+    return judged.where("no_list or state is not null").select(key, "state", reason.alias("reason"))
+
+
+def uncovered_states(codes: DataFrame, cities: DataFrame | None = None, key: str = "target_id") -> DataFrame:
+    """``(key, state, reason)`` for states that have no city, built-in or given: they get no task."""
+    known = major_cities(codes.sparkSession) if cities is None else cities
+    missing = codes.join(known.select("state").distinct(), "state", "left_anti")
+    return missing.select(key, "state", F.lit("no cities known").alias("reason"))
 
 
 def with_state_name(df: DataFrame, column: str = "state") -> DataFrame:
@@ -107,24 +131,35 @@ def with_major_cities(df: DataFrame, column: str = "state", required: bool = Fal
     ).drop("city_state")
 
 
-def plan_tasks(requests: DataFrame, cities: DataFrame | None = None) -> DataFrame:
+def plan_tasks(
+    requests: DataFrame, cities: DataFrame | None = None, required_only: bool = False, key: str = "target_id"
+) -> DataFrame:
     """One city task per requested state and city, with all terms and fields of its target.
 
-    ``requests`` has one row per target and ``state``. Without ``cities``, ``(state, city)``,
-    the built-in cities that must be covered are used.
+    ``requests`` has one row per target and ``state``. Without ``cities``, ``(state, city)``, all
+    built-in cities are used; ``required_only`` keeps to those a plan must cover at least.
+    ``task_id`` names state and city only, so targets share it; ``task_key`` is unique.
     """
     if cities is None:
-        located = with_major_cities(requests, required=True).drop("city_rank")
+        located = with_major_cities(requests, required=required_only).drop("city_rank")
     else:
-        located = requests.join(cities.select("state", "city"), "state")
+        located = requests.join(cities.select("state", "city").distinct(), "state")
+    place = F.col("state_pos") if "state_pos" in requests.columns else F.lit(0)
     return located.withColumns(
         {
             "task_id": search_task_id(F.col("state"), F.col("city")),
             "task_type": F.lit(CITY_SEARCH),
+            "task_key": task_key(F.col(key), place, F.col("state"), F.col("city")),
         }
     )
 
 
+def task_key(*parts: Column) -> Column:
+    """A key that differs if any part differs; parts may hold any text or be null."""
+    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
+    return F.concat_ws("~", *[F.replace(F.replace(t, F.lit("%"), F.lit("%25")), F.lit("~"), F.lit("%7E")) for t in texts])
+
+
 def expand_queries(tasks: DataFrame) -> DataFrame:
     """Add ``query``: every search phrase for every search term of a task."""
     by_term = tasks.withColumn("search_term", F.explode("search_terms"))
@@ -204,20 +239,21 @@ def with_prompts(tasks: DataFrame) -> DataFrame:
 def with_instructions(tasks: DataFrame, instructions: DataFrame) -> DataFrame:
     """Add ``instruction`` by task type, else that of a city search, else an empty text.
 
-    Only three types can have an instruction, so the lookup is at most three rows, however
-    large the given ``(task_type, text)`` table.
+    ``instructions``, ``(task_type, text)``, is joined as given: any type may have one text. A type
+    with several texts is refused, as nothing says which of them holds.
     """
-    kinds = F.col("task_type").isin(INSTRUCTION_TYPES)
-    known = instructions.where(kinds).groupBy("task_type").agg(F.max("text").alias("text"))
-    own = known.withColumnRenamed("text", "own_text")
-    fallback = known.where(F.col("task_type") == CITY_SEARCH).select(
+    twice = instructions.groupBy("task_type").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"several instructions for {sorted(str(row.task_type) for row in twice)}")
+    own = instructions.select("task_type", F.col("text").alias("own_text"))
+    fallback = instructions.where(F.col("task_type") == CITY_SEARCH).select(
         F.col("task_type").alias("fallback_type"), F.col("text").alias("fallback_text")
     )
     needed = F.when(F.col("own_text").isNull(), CITY_SEARCH)
     return (
-        tasks.join(F.broadcast(own), "task_type", "left")
+        tasks.join(own, "task_type", "left")
         .withColumn("fallback_type", needed)
-        .join(F.broadcast(fallback), "fallback_type", "left")
+        .join(fallback, "fallback_type", "left")
         .withColumn("instruction", F.coalesce("own_text", "fallback_text", F.lit("")))
         .drop("own_text", "fallback_type", "fallback_text")
     )

@@ -35,10 +35,13 @@ def standardise_contacts(df: DataFrame) -> DataFrame:
 
 
 def with_file_order(documents: DataFrame, order: DataFrame | None) -> DataFrame:
-    """Add ``file_ord`` from a ``(file, file_ord)`` table; without one, names decide."""
+    """Add ``file_ord`` from a ``(file, file_ord)`` table; without one, names decide.
+
+    A file named twice has its first place.
+    """
     if order is None:
         return documents.withColumn("file_ord", F.lit(0).cast("long"))
-    places = order.select("file", F.col("file_ord").cast("long").alias("file_ord"))
+    places = order.groupBy("file").agg(F.min(F.col("file_ord").cast("long")).alias("file_ord"))
     return documents.join(places, "file", "left").withColumn(
         "file_ord", F.coalesce("file_ord", F.lit(_LAST))
     )

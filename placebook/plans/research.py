@@ -8,12 +8,16 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placebook.operators.enrich import run_tasks, save_results
+from placebook.operators.enrich import run_in_waves
 from placebook.operators.planning import (
     accepted_requests,
     full_prompt,
-    parse_states,
     plan_tasks,
+    planner_prompt,
+    rejected_requests,
+    task_key,
+    tasks_from_replies,
+    uncovered_states,
     with_instructions,
     with_prompts,
 )
@@ -24,10 +28,46 @@ from placebook.sources.targets import with_target_defaults
 
 
 class Research(NamedTuple):
+    """``rejected``: (target_id, state, reason) of all that was asked for and gave no task."""
+
     results: DataFrame
     failed: DataFrame
     summary: DataFrame
     directory: Directory | None
+    rejected: DataFrame
+
+
+def _city_plan(requests: DataFrame, cities: DataFrame | None, required_only: bool) -> tuple[DataFrame, DataFrame]:
+    codes = accepted_requests(requests)
+    rejected = rejected_requests(requests).unionByName(uncovered_states(codes, cities))
+    return plan_tasks(codes, cities, required_only), rejected
+
+
+def _asked_plan(requests: DataFrame, work: Callable[[dict], str], concurrency: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks that the planner names, each with its request's terms and fields unless it has its own."""
+    # One bad code refuses its request, here as well.
+    good = accepted_requests(requests).select("target_id").distinct()
+    wanted = planner_prompt(requests.join(good, "target_id", "left_semi")).withColumns(
+        {
+            "task_id": F.concat(F.lit("plan_"), "target_id"),
+            "task_key": task_key(F.lit("plan"), F.col("target_id")),
+            "task_type": F.lit("planning"),
+        }
+    )
+    answers = run_in_waves(wanted, work, concurrency, f"{path}/plans")
+    given = ["industry", "search_terms", "data_fields"]
+    own = wanted.select("task_key", "target_id", *[F.col(c).alias(f"asked_{c}") for c in given])
+    answered = answers.join(own, "task_key")
+    replies = answered.where("success").select("target_id", *[f"asked_{c}" for c in given], "output")
+    tasks, unusable = tasks_from_replies(replies, "output")
+    filled = {c: F.coalesce(c, f"asked_{c}") for c in given}
+    key = {"task_key": task_key(F.col("target_id"), F.col("pos"), F.col("task_id"))}
+    nowhere = F.lit(None).cast("string").alias("state")
+    failed = answered.where("not success").select("target_id", nowhere, F.concat(F.lit("no plan: "), "error").alias("reason"))
+    rejected = rejected_requests(requests).unionByName(failed).unionByName(
+        unusable.select("target_id", nowhere, F.col("problem").alias("reason"))
+    )
+    return tasks.withColumns(filled | key).drop(*[f"asked_{c}" for c in given]), rejected
 
 
 def run_research(
@@ -40,35 +80,49 @@ def run_research(
     cities: DataFrame | None = None,
     skip_aggregation: bool = False,
     prefer: str = "array",
+    required_only: bool = False,
+    ask_planner: bool = False,
+    **options,
 ) -> Research:
     """Run the requests, ``TARGET_SCHEMA`` rows, and build the directory of their replies.
 
-    Requests that name an unknown state are left out as a whole. A task id names state and city
-    only, and of replies with one id one is kept, so a run should ask for a state once. Tasks
-    and results are kept as tables, so that no task runs twice when later steps read them.
+    Tasks are one per accepted state and city; with ``ask_planner``, ``work`` is first given a
+    planning prompt per request and its replies name the tasks, of any type. Requests that name
+    an unknown state are refused as a whole, and states without a city give no task; both are in
+    ``rejected``. Every task has a key of its own, so targets may ask for the same city.
+    Plans, tasks and results are kept as tables; the same call goes on with a run that was broken
+    off and asks for nothing twice. The directory holds this run's replies; ``options`` go to
+    ``directory_of``.
     """
     spark = requests.sparkSession
-    codes = accepted_requests(parse_states(with_target_defaults(requests)), "target_id")
-    tasks = with_instructions(with_prompts(plan_tasks(codes, cities)), instructions)
+    requests = with_target_defaults(requests)
+    twice = requests.groupBy("target_id").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"targets given twice: {[row.target_id for row in twice]}")
+    run_path = f"{output_path}/run={run_id}"
+    if ask_planner:
+        tasks, rejected = _asked_plan(requests, work, concurrency, run_path)
+    else:
+        tasks, rejected = _city_plan(requests, cities, required_only)
+    rejected.write.mode("overwrite").parquet(f"{run_path}/rejected")
+    tasks = with_instructions(with_prompts(tasks), instructions)
     tasks = tasks.withColumn(
         "prompt", full_prompt(F.col("prompt"), F.col("instruction"), web=True)
     )
-    run_path = f"{output_path}/run={run_id}"
-    tasks.write.mode("errorifexists").parquet(f"{run_path}/tasks")
+    tasks.drop("spec").write.mode("overwrite").parquet(f"{run_path}/tasks")
     tasks = spark.read.parquet(f"{run_path}/tasks")
-    results = save_results(run_tasks(tasks, work, concurrency), f"{run_path}/results")
+    results = run_in_waves(tasks, work, concurrency, f"{run_path}/results")
     save_replies(results, f"{output_path}/replies", run_id, prefer)
 
     built = None
     if not skip_aggregation:
-        documents = read_parsed_replies(spark, f"{output_path}/replies")
-        built = directory_of(documents, f"{run_path}/aggregated")
-    # State codes are at most as many as there are states.
-    researched = codes.agg(F.array_sort(F.collect_set("state")).alias("states_researched"))
-    generated = tasks.agg(F.count("*").alias("tasks_generated"))
-    planned = researched.unionByName(generated, allowMissingColumns=True).agg(
-        F.max("states_researched").alias("states_researched"),
-        F.max("tasks_generated").alias("tasks_generated"),
+        documents = read_parsed_replies(spark, f"{output_path}/replies", run_id)
+        built = directory_of(documents, f"{run_path}/aggregated", **options)
+    # At most as many codes as there are states; only states with a task count as researched.
+    planned = tasks.agg(
+        F.array_sort(F.collect_set("state")).alias("states_researched"),
+        F.count("*").alias("tasks_generated"),
     )
     summary = run_summary(run_stats(results), planned, built.summary if built else None)
-    return Research(results, failed_tasks(results), summary, built)
+    rejected = spark.read.parquet(f"{run_path}/rejected")
+    return Research(results, failed_tasks(results), summary, built, rejected)

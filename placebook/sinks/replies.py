@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placebook.functions.once import with_once
+from placebook.functions.payload import reply_json
 from placebook.functions.truth import present_variant
-from placebook.operators.enrich import with_payload
+from placebook.operators.enrich import keyed, with_payload
+from placebook.session import prepare
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -18,28 +21,44 @@ def _write(df: DataFrame, path: str) -> None:
 def save_replies(results: DataFrame, path: str, run_id: str, prefer: str = "array") -> None:
     """Keep every raw text, and the payload where it holds something.
 
-    ``results`` are kept task results; see ``save_results``. Failed ones leave nothing.
+    ``results`` are kept task results; see ``save_results``. Failed ones leave nothing. Replies
+    are known by ``task_key``, which is unique within a run.
     """
     stamp = {"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}
     columns = ["saved_at", "run_id"]
+    results = keyed(results)
     raw = results.where("success").withColumns(stamp)
-    _write(raw.select("task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
+    _write(raw.select("task_key", "task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
     parsed = with_payload(results, prefer).withColumns(stamp).where(present_variant("payload"))
-    _write(parsed.select("task_id", F.col("payload").alias("v"), *columns), f"{path}/parsed_replies")
+    parsed = parsed.select("task_key", "task_id", F.col("payload").alias("v"), *columns)
+    _write(parsed, f"{path}/parsed_replies")
 
 
-def _latest(df: DataFrame) -> DataFrame:
-    """The last saved row of each task id."""
-    order = F.struct("saved_at", "run_id")
-    last = df.groupBy("task_id").agg(F.max_by(F.struct(*df.columns), order).alias("last"))
-    return last.select("last.*")
+def _saved(spark: SparkSession, path: str, run_id: str | None) -> DataFrame:
+    """The replies of one run, or of all runs the last saved one of each key.
+
+    The last one is found on narrow columns; runs saved at the same time go by their id.
+    """
+    rows = spark.read.parquet(path)
+    if run_id is not None:
+        return rows.where(F.col("run_id") == run_id)
+    last = rows.groupBy("task_key").agg(F.max(F.struct("saved_at", "run_id")).alias("last"))
+    last = last.select("task_key", "last.saved_at", "last.run_id")
+    return rows.join(last, ["task_key", "saved_at", "run_id"], "left_semi")
 
 
-def read_raw_replies(spark: SparkSession, path: str) -> DataFrame:
-    return _latest(spark.read.parquet(f"{path}/raw_replies"))
+def read_raw_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    return _saved(spark, f"{path}/raw_replies", run_id)
 
 
-def read_parsed_replies(spark: SparkSession, path: str) -> DataFrame:
+def read_parsed_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Saved payloads as ``(file, v)`` documents, ready to normalise."""
-    latest = _latest(spark.read.parquet(f"{path}/parsed_replies"))
-    return latest.select(F.concat("task_id", F.lit(".json")).alias("file"), "v")
+    latest = _saved(spark, f"{path}/parsed_replies", run_id)
+    return latest.select(F.concat("task_key", F.lit(".json")).alias("file"), "v")
+
+
+def replayed(texts: DataFrame, prefer: str = "array") -> DataFrame:
+    """``(file, v)`` documents from kept raw texts, ``(task_id, value)``, without asking again."""
+    prepare(texts.sparkSession)
+    found = with_once(keyed(texts), payload=reply_json("value", prefer)).where(present_variant("payload"))
+    return found.select(F.concat("task_key", F.lit(".json")).alias("file"), F.col("payload").alias("v"))

@@ -6,16 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over all cores if it is too small to be so by itself.
-
-    A row group is read by one task, and a table of less than one split's size often is a
-    single row group. Only such a table is redistributed, by its first column, which names the
-    row; anything larger is left as stored.
-    """
-    df = spark.read.parquet(path)
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
-    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    spread = spark.sparkContext.defaultParallelism
-    # Below a megabyte moving rows costs more than it saves.
-    return df.repartition(spread, df.columns[0]) if 2**20 < int(str(size)) < limit else df
+    """A Parquet table as stored."""
+    return spark.read.parquet(path)

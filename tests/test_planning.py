@@ -12,8 +12,11 @@ from placebook.operators.planning import (
     parse_states,
     plan_tasks,
     planner_prompt,
+    rejected_requests,
     states,
+    task_key,
     tasks_from_replies,
+    uncovered_states,
     validate_states,
     with_instructions,
     with_major_cities,
@@ -66,7 +69,27 @@ def test_states_are_parsed_and_checked(requests):
     ]
     valid, bad = validate_states(codes)
     assert (valid.count(), [r.state for r in bad.collect()]) == (4, ["ZZ"])
-    assert {r.target_id for r in accepted_requests(codes, "target_id").collect()} == {"ems"}
+    assert {r.target_id for r in accepted_requests(requests).collect()} == {"ems"}
+    assert [tuple(r) for r in rejected_requests(requests).collect()] == [("plumbing", "ZZ", "unknown state")]
+
+
+def test_requests_without_states(spark):
+    rows = [("none", None, None, None, None), ("blank", "", None, None, None), ("good", "wa,TX", None, None, None)]
+    requests = spark.createDataFrame(rows, TARGET_SCHEMA)
+    assert {r.target_id for r in parse_states(requests).collect()} == {"none", "blank", "good"}
+    codes = accepted_requests(requests)
+    assert sorted((r.target_id, r.state) for r in codes.collect()) == [("good", "TX"), ("good", "WA")]
+    assert sorted(map(tuple, rejected_requests(requests).collect())) == [
+        ("blank", "", "unknown state"), ("none", None, "no states given"),
+    ]
+    assert [tuple(r) for r in uncovered_states(codes).collect()] == [("good", "WA", "no cities known")]
+
+
+def test_requests_are_judged_in_one_scan(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    spark.createDataFrame([("a", "TX", None, None, None)], TARGET_SCHEMA).write.parquet(path)
+    plan = plan_tasks(accepted_requests(spark.read.parquet(path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hashpartitioning" not in plan
 
 
 def test_lookups(spark):
@@ -77,8 +100,10 @@ def test_lookups(spark):
 
 
 def test_tasks_and_queries(requests):
-    tasks = plan_tasks(accepted_requests(parse_states(requests), "target_id"))
-    assert tasks.count() == 12
+    codes = accepted_requests(requests)
+    assert plan_tasks(codes, required_only=True).count() == 12
+    tasks = plan_tasks(codes)
+    assert tasks.count() == tasks.select("task_key").distinct().count() == 16
     worth = tasks.where("city = 'Fort Worth'")
     row = worth.first()
     assert (row.task_id, row.task_type, row.data_fields) == ("search_TX_FortWorth", "city_search", DEFAULT_DATA_FIELDS)
@@ -122,11 +147,11 @@ def test_planner_prompt(requests):
 
 
 def test_instructions(spark):
-    rows = [("city_search", "S"), ("company_research", ""), ("review", "never used"), ("manager", "M")]
+    rows = [("city_search", "S"), ("company_research", ""), ("review", "R"), ("manager", "M")]
     table = spark.createDataFrame(rows, "task_type string, text string")
     tasks = spark.createDataFrame([("city_search",), ("company_research",), ("review",), (None,)], "task_type string")
     got = {r.task_type: r.instruction for r in with_instructions(tasks, table).collect()}
-    assert got == {"city_search": "S", "company_research": "", "review": "S", None: "S"}
+    assert got == {"city_search": "S", "company_research": "", "review": "R", None: "S"}
     none = with_instructions(tasks, table.where("task_type = 'manager'"))
     assert {r.instruction for r in none.collect()} == {""}
 
@@ -153,3 +178,17 @@ def test_tasks_from_replies(spark):
     ]
     prompts = [r.prompt for r in with_prompts(tasks).orderBy("pos").collect()]
     assert json.loads(prompts[1]) == specs[1] and json.loads(prompts[2]) == specs[3]
+
+
+def test_task_keys_differ_if_a_part_differs(spark):
+    parts = [("a~b", "c"), ("a", "b~c"), ("a%7Eb", "c"), (None, "c"), ("", "c~")]
+    rows = spark.createDataFrame(parts, "x string, y string").select(task_key(F.col("x"), F.col("y")).alias("k"))
+    assert len({r.k for r in rows.collect()}) == 5
+
+
+def test_a_type_has_one_instruction(spark):
+    tasks = spark.createDataFrame([("review",)], "task_type string")
+    texts = spark.createDataFrame([("review", "old"), ("review", "new")], "task_type string, text string")
+    with pytest.raises(ValueError, match="review"):
+        with_instructions(tasks, texts)
+    assert with_instructions(tasks, texts.where("text = 'new'")).first().instruction == "new"

@@ -4,13 +4,14 @@ import csv
 import glob
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from placebook.fixed_values import CSV_COLUMNS
 from placebook.operators.dedupe import dedupe
-from placebook.operators.enrich import run_tasks, save_results, with_payload
+from placebook.operators.enrich import run_in_waves, run_tasks, save_results, with_payload
 from placebook.operators.normalise import listings, normalise
 from placebook.operators.rollup import failed_tasks, run_stats
 from placebook.plans.directory import build_directory
@@ -41,6 +42,38 @@ def test_every_task_has_one_outcome(spark, tmp_path):
     assert [r.task_id for r in with_payload(kept).collect()] == ["a"]
 
 
+def test_whole_numbers_and_nulls_reach_the_work(spark, tmp_path):
+    def work(task):
+        return repr((task["n"], task["m"], task["terms"]))
+
+    tasks = spark.createDataFrame([("a", 1, None, ["x"]), ("b", None, 2, None)], "task_id string, n int, m long, terms array<string>")
+    kept = save_results(run_tasks(tasks, work, concurrency=1), str(tmp_path / "r"))
+    assert {r.task_id: r.output for r in kept.collect()} == {"a": "(1, None, ['x'])", "b": "(None, 2, None)"}
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    os.mkdir(calls)
+
+    def work(task):
+        name = f"{calls}/{task['task_id']}"
+        times = len(glob.glob(f"{name}-*"))
+        open(f"{name}-{times}", "w").close()
+        if task["task_id"] == "t17" and not times:  # ends the worker, and with it the wave
+            os._exit(1)
+        return "done"
+
+    tasks = spark.range(30).select(F.concat(F.lit("t"), "id").alias("task_id"))
+    with pytest.raises(Exception):
+        run_in_waves(tasks, work, 2, str(tmp_path / "r"), waves=6)
+    finished = {r.task_id for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert 0 < len(finished) < 30 and "t17" not in finished
+    before = {t: len(glob.glob(f"{calls}/{t}-*")) for t in finished}
+    kept = run_in_waves(tasks, work, 2, str(tmp_path / "r"), waves=6)
+    assert kept.count() == 30 and kept.select("task_key").distinct().count() == 30
+    assert before == {t: len(glob.glob(f"{calls}/{t}-*")) for t in finished}
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(True, 1.0), (False, 2.0), (True, 6.0)], "success boolean, execution_time double")
     row = run_stats(df).first()
@@ -158,11 +191,12 @@ def test_file_order_decides_ties(spark, tmp_path):
     folder.mkdir()
     for name in "abc":
         (folder / f"{name}.json").write_text(json.dumps([{"company_name": "Acme", "phone": name}]))
-    order = spark.createDataFrame([("c.json", 1), ("b.json", 2)], "file string, file_ord int")
+    order = spark.createDataFrame([("c.json", 1), ("b.json", 2), ("c.json", 3)], "file string, file_ord int")
     by_name = build_directory(spark, str(folder), str(tmp_path / "o1"), formats=())
     by_order = build_directory(spark, str(folder), str(tmp_path / "o2"), formats=("csv",), order=order)
     assert by_name.businesses.first().phone == "a"
     assert by_order.businesses.first().phone == "c"
+    assert tuple(by_order.summary.first()) == (3, 3, 1, 2)
     assert by_order.output_files == [f"{tmp_path}/o2/results.csv"]
 
 
@@ -183,16 +217,34 @@ def test_research(spark, tmp_path):
     instructions = spark.createDataFrame([("city_search", "Search well")], "task_type string, text string")
     run = run_research(requests, instructions, _searcher(), str(tmp_path / "a"), "r1", concurrency=2)
     row = run.summary.first()
-    assert (row.states_researched, row.tasks_generated, row.tasks_executed) == (["TX"], 6, 6)
-    assert (row.tasks_successful, row.tasks_failed) == (5, 1)
+    assert (row.states_researched, row.tasks_generated, row.tasks_executed) == (["TX"], 8, 8)
+    assert (row.tasks_successful, row.tasks_failed) == (7, 1)
     # The list inside the envelope is taken, so places are lost and one name is one business.
-    assert tuple(row.aggregation) == (5, 10, 6, 4)
+    assert tuple(row.aggregation) == (7, 14, 8, 6)
+    assert [tuple(r) for r in run.rejected.collect()] == [("bad", "ZZ", "unknown state")]
     assert [r.task_id for r in run.failed.collect()] == ["search_TX_Dallas"]
     whole = run_research(
         requests, instructions, _searcher(), str(tmp_path / "b"), "r1", concurrency=2, prefer="outermost"
     )
-    assert tuple(whole.summary.first().aggregation) == (5, 10, 10, 0)
+    assert tuple(whole.summary.first().aggregation) == (7, 14, 14, 0)
     short = run_research(
         requests, instructions, _searcher(), str(tmp_path / "c"), "r1", skip_aggregation=True
     )
     assert short.directory is None and short.summary.first().aggregation is None
+
+
+def test_targets_share_cities_and_lose_nothing(spark, tmp_path):
+    requests = spark.createDataFrame([("a", "TX", "EMS", None, None), ("b", "TX,TX,WA", "Law", None, None)], TARGET_SCHEMA)
+    none = spark.createDataFrame([], "task_type string, text string")
+
+    def work(task):
+        found = [{"company_name": f"{task['target_id']} {task['state_pos']}"}]
+        return json.dumps({"city": task["city"], "state": task["state"], "businesses": found})
+
+    run = run_research(requests, none, work, str(tmp_path / "a"), "r", concurrency=2, prefer="outermost", formats=())
+    assert tuple(run.summary.first().aggregation) == (24, 24, 24, 0)
+    assert [tuple(r) for r in run.rejected.collect()] == [("b", "WA", "no cities known")]
+    again = run_research(requests, none, work, str(tmp_path / "a"), "s", concurrency=2, prefer="outermost", formats=())
+    assert tuple(again.summary.first().aggregation) == (24, 24, 24, 0)
+    with pytest.raises(ValueError, match="twice"):
+        run_research(requests.union(requests), none, work, str(tmp_path / "b"), "r")
