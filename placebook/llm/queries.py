@@ -14,6 +14,7 @@ from placebook.llm import (
     forest_join,
     hierarchical_packing,
     kneser_ney,
+    oracles,
     recompression,
     redirect_equivalence,
     virtual_slots,
@@ -34,12 +35,13 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a benchmark passage, and the items they come from."""
-    return winnowing.decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return winnowing.decontaminated(docs, benchmark).drop("text_key")
 
 
 def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
-    return redirect_equivalence.judged(read(spark, sf_dir, "pages"), fresh_folder(spark, "aliases"))
+    return redirect_equivalence.judged(read(spark, sf_dir, "pages"), fresh_folder(spark, "aliases")).drop("alias_group")
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,8 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of near-duplicates and number of links of every document."""
-    return forest_join.joined(read(spark, sf_dir, "documents"), fresh_folder(spark, "forest"))
+    found = forest_join.joined(read(spark, sf_dir, "documents"), fresh_folder(spark, "forest"))
+    return found.drop("text_key", "class_key")
 
 
 def op10_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +100,10 @@ QUERIES: dict[str, Query] = {
 }
 
 #: SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_winnowing": oracles.OP2,
+    "op3_redirect_equivalence": oracles.OP3,
+    "op5_recompression": oracles.OP5,
+    "op7_blob_ledger": oracles.OP7,
+    "op9_forest_join": oracles.OP9,
+}
