@@ -198,9 +198,9 @@ SELECT c_custkey,
             WHEN 2 THEN '(713) ' || substr({_DIGITS}, 1, 3) || '.' || substr({_DIGITS}, 4, 4)
             WHEN 3 THEN '+44 20 ' || {_DIGITS} || ' 9'
             WHEN 4 THEN '2123' || {_DIGITS}
-            WHEN 5 THEN '911'
-            WHEN 6 THEN ''
-            WHEN 7 THEN NULL
+            WHEN 5 THEN substr({_DIGITS}, 1, 3)
+            WHEN 6 THEN trim(substr('        ' || {_DIGITS}, CAST(c_custkey % 8 AS INT), 8))
+            WHEN 7 THEN nullif('+' || {_DIGITS}, '+0007919')
             ELSE c_name END AS phone
 FROM {{customer}}
 """
@@ -230,9 +230,9 @@ SELECT page_id,
             WHEN 2 THEN '  ' || url || '   '
             WHEN 3 THEN upper(url)
             WHEN 4 THEN 'ftp://' || regexp_replace(url, '^https?://', '')
-            WHEN 5 THEN ''
-            WHEN 6 THEN '   '
-            ELSE NULL END AS url
+            WHEN 5 THEN ' ' || regexp_replace(url, '^https?://', '')
+            WHEN 6 THEN regexp_replace(url, '^http', 'HTTP') || ' '
+            ELSE replace(url, 'https://', 'http:///') END AS url
 FROM {pages}
 """
 

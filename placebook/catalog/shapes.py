@@ -159,10 +159,8 @@ def normalise_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@BOOK.query(f"""
-WITH docs AS ({plain(BAD_DOCUMENTS)}),
-numbered AS (SELECT file, value, CAST(replace(replace(file, 'doc', ''), '.json', '') AS BIGINT) % 13 AS kind
-             FROM docs)
+# What is wrong with each kind of them.
+REJECTS_SQL = """
 SELECT file, CAST(p AS BIGINT) AS pos, problem FROM (
   SELECT file, 0 AS p, 'businesses is not a list' AS problem FROM numbered WHERE kind IN (0, 1)
   UNION ALL SELECT file, unnest([0, 2]), 'business is not an object' FROM numbered WHERE kind = 3
@@ -173,7 +171,14 @@ SELECT file, CAST(p AS BIGINT) AS pos, problem FROM (
   UNION ALL SELECT file, 0, 'state is not a text' FROM numbered WHERE kind = 9
   UNION ALL SELECT file, 0, CASE WHEN value = '' THEN 'empty' ELSE 'not json' END
             FROM numbered WHERE NOT json_valid(value))
-""")
+"""
+
+
+@BOOK.query(f"""
+WITH docs AS ({plain(BAD_DOCUMENTS)}),
+numbered AS (SELECT file, value, CAST(replace(replace(file, 'doc', ''), '.json', '') AS BIGINT) % 13 AS kind
+             FROM docs)
+{REJECTS_SQL}""")
 def normalise_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rejected(normalise(documents(spark, sf_dir, BAD_DOCUMENTS)))
     return found.select("file", F.col("pos").cast("bigint").alias("pos"), "problem")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placebook.catalog.base import Book, derive, filled_sql, key_sql, plain
 from placebook.catalog.files import SUPPLIER_DOCUMENTS, supplier_folder
+from placebook.catalog.shapes import BAD_DOCUMENTS, REJECTS_SQL
 from placebook.session import fresh_path
 from placebook.streaming.replies import (
     compact,
@@ -15,6 +16,7 @@ from placebook.streaming.replies import (
     keep_progress,
     read_directory,
     read_progress,
+    read_rejected,
     reply_stream,
 )
 
@@ -73,6 +75,22 @@ def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(read_directory(spark, store))
 
 
+@BOOK.query(f"""
+WITH docs AS ({plain(BAD_DOCUMENTS)}),
+numbered AS (SELECT file, value, CAST(replace(replace(file, 'doc', ''), '.json', '') AS BIGINT) % 13 AS kind
+             FROM docs)
+{REJECTS_SQL}""")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream rejects is what one run over all documents rejects."""
+    texts = derive(spark, sf_dir, BAD_DOCUMENTS)
+    folder = fresh_path(spark, "arriving")
+    texts.repartition(6).write.parquet(folder)
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    store = fresh_path(spark, "store")
+    keep_directory(stream, store, fresh_path(spark, "progress"), compact_every=2).awaitTermination()
+    return read_rejected(spark, store).select("file", F.col("pos").cast("bigint").alias("pos"), "problem")
+
+
 @BOOK.query(f"""
 SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(length(value) + 1) AS BIGINT) AS characters
 FROM ({plain(SUPPLIER_DOCUMENTS)})""")

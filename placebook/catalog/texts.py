@@ -20,8 +20,8 @@ from placebook.functions.truth import present_variant
 
 BOOK = Book()
 
-# One reply per event: its JSON in every kind of wrapping. Replies with a document of the same
-# number carry the whole document as prose.
+# One reply per event: its JSON in every kind of wrapping, with a whole document as prose. The
+# documents take turns, so each of them is used.
 REPLIES = """
 SELECT CAST(event_id AS BIGINT) AS event_id,
        CASE event_id % 12
@@ -32,13 +32,14 @@ SELECT CAST(event_id AS BIGINT) AS event_id,
             WHEN 4 THEN prose || '[' || props || '] see [2]'
             WHEN 5 THEN prose || '[' || props
             WHEN 6 THEN ''
-            WHEN 7 THEN props || ' and ' || props
+            WHEN 7 THEN props || prose || props
             WHEN 8 THEN 'null'
             WHEN 9 THEN prose || '["]", ' || props || ']' || prose
             WHEN 10 THEN '] ' || prose || props || ' ['
             ELSE prose || '{{"a": ' || props || '}} then {{"c": 3}}' END AS reply
 FROM (SELECT event_id, props, coalesce(text, 'I will search.') AS prose
-      FROM {events} LEFT JOIN {documents} ON event_id = doc_id)
+      FROM (SELECT event_id, props, event_id % (SELECT count(*) FROM {documents}) AS turn FROM {events}) e
+      LEFT JOIN {documents} ON turn = doc_id)
 """
 
 

@@ -52,7 +52,7 @@ def aggregation_summary(normalised: DataFrame, winners: DataFrame) -> DataFrame:
     ``normalised`` marks one row per document, so files are counted without a distinct. A
     document whose text was JSON counts even if its content could not be used.
     """
-    unreadable = F.col("problem").isin("encoding", "empty", "not json")
+    unreadable = F.col("problem").isin("encoding", "empty", "not json", "too long", "too deep")
     files = normalised.agg(
         F.count_if(F.col("first") & ~F.coalesce(unreadable, F.lit(False))).alias("input_files")
     )

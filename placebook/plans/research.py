@@ -124,5 +124,7 @@ def run_research(
         F.count("*").alias("tasks_generated"),
     )
     summary = run_summary(run_stats(results), planned, built.summary if built else None)
+    written = F.array(*[F.lit(path) for path in built.output_files]) if built else F.lit(None)
+    summary = summary.withColumn("output_files", written.cast("array<string>"))
     rejected = spark.read.parquet(f"{run_path}/rejected")
     return Research(results, failed_tasks(results), summary, built, rejected)

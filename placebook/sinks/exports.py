@@ -149,14 +149,20 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def export(directory: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> list[str]:
-    """Write the wanted formats and return the written paths."""
-    unknown = set(formats) - {"json", "csv"}
+    """Write the wanted formats and return the written paths.
+
+    ``json`` is one object per line with a manifest, ``document`` one JSON document with its envelope.
+    """
+    unknown = set(formats) - {"json", "csv", "document"}
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
     written = []
     if "json" in formats:
         written.append(f"{path}/results.json")
         export_json(directory, written[-1])
+    if "document" in formats:
+        written.append(f"{path}/results_document.json")
+        export_json_document(directory, written[-1])
     if "csv" in formats:
         written.append(f"{path}/results.csv")
         export_csv(directory, written[-1])

@@ -26,19 +26,42 @@ def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return reader.text(path, wholetext=True).select(source_name().alias("file"), "value")
 
 
+# What Spark's JSON parser takes: characters in one string, and levels of nesting.
+LONGEST_STRING, DEEPEST_NESTING = 20_000_000, 1000
+
+
+def _depth(text: str) -> Column:
+    """Levels of nesting of a text, brackets inside strings left out."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"?', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda at, c: F.struct(
+            (at["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(at["most"], at["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
+        ),
+    )["most"]
+
+
 def parse_texts(texts: DataFrame) -> DataFrame:
     """``(file, v, problem)``: the JSON value of each text, or why there is none.
 
-    Files whose stem ends in ``_raw`` are skipped.
+    Files whose stem ends in ``_raw`` are skipped. A text beyond the parser's limits is told from
+    one that is no JSON; depth is counted only where a text could be deep enough.
     """
     prepare(texts.sparkSession)
     named = texts.where(~F.col("file").rlike(r"_raw\.[^.]*$"))
     valid = F.is_valid_utf8("value")
     parsed = with_once(named, v=F.when(valid, strict_json("value")))
+    starts = F.ltrim("value").substr(1, 1).isin("[", "{")
+    openers = F.length("value") - F.length(F.translate("value", "[{", ""))
     problem = (
         F.when(F.col("v").isNotNull(), F.lit(None).cast("string"))
         .when(~valid, "encoding")
         .when(F.length("value") == 0, "empty")
+        .when(F.length("value") > LONGEST_STRING, "too long")
+        .when((F.length("value") > DEEPEST_NESTING) & starts & (openers > DEEPEST_NESTING) & (_depth("value") > DEEPEST_NESTING), "too deep")
         .otherwise("not json")
     )
     return parsed.select("file", "v", problem.alias("problem"))

@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from placebook.functions.once import with_once
+from placebook.functions.payload import reply_json
 from placebook.operators.dedupe import dedupe, merge_winners
-from placebook.operators.normalise import listings, normalise
+from placebook.operators.normalise import listings, normalise, rejected
+from placebook.plans.directory import standardise_contacts
+from placebook.session import prepare
 from placebook.sources.documents import parse_texts, source_name
 
 ORDER = ["file", "pos"]
@@ -51,20 +55,52 @@ def each_batch(
 
 
 def keep_directory(
-    texts: DataFrame, store: str, checkpoint: str, every: str | None = None
+    texts: DataFrame,
+    store: str,
+    checkpoint: str,
+    every: str | None = None,
+    standardise: bool = False,
+    mode: str = "substring",
+    compact_every: int = 50,
+    prefer: str | None = None,
 ) -> StreamingQuery:
-    """Fold the documents of a text stream into the directory log at ``store``."""
+    """Fold the documents of a text stream into the directory log at ``store``.
+
+    With ``prefer`` the texts are raw replies, from which the payload is cut first. What cannot
+    be used goes to ``read_rejected`` with the reason. The log is merged every ``compact_every``
+    batches, so a reader has at most that many parts and one base to look at.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        found = listings(normalise(parse_texts(batch)))
-        # A batch that comes again replaces what its first try left.
-        winners = dedupe(found, ORDER)
-        winners.write.mode("overwrite").parquet(f"{store}/log/batch={batch_id}")
-        _commit(batch.sparkSession, store, "log", batch_id)
+        spark = batch.sparkSession
+        documents = parse_texts(batch) if prefer is None else _replied(batch, prefer)
+        rows = normalise(documents)
+        # Parsed once; a batch that comes again replaces what its first try left.
+        rows.write.mode("overwrite").parquet(f"{store}/records/batch={batch_id}")
+        rows = spark.read.parquet(f"{store}/records/batch={batch_id}")
+        found = standardise_contacts(listings(rows)) if standardise else listings(rows)
+        dedupe(found, ORDER, mode).write.mode("overwrite").parquet(f"{store}/log/batch={batch_id}")
+        rejected(rows).write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
+        _commit(spark, store, "log", batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, store)
 
     return each_batch(texts, fold, checkpoint, every)
 
 
+def _replied(texts: DataFrame, prefer: str) -> DataFrame:
+    """``(file, v, problem)`` of raw replies."""
+    prepare(texts.sparkSession)
+    found = with_once(texts, v=reply_json("value", prefer))
+    problem = F.when(F.col("v").isNull(), "not json")
+    return found.select("file", "v", problem.alias("problem"))
+
+
+def read_rejected(spark: SparkSession, store: str) -> DataFrame:
+    """``(file, pos, problem)`` of all that could not be used so far."""
+    return spark.read.parquet(f"{store}/rejected").drop("batch")
+
+
 def _commit(spark: SparkSession, store: str, part: str, upto: int) -> None:
     """Note that a part is written whole; readers look at noted parts only."""
     note = spark.range(1).select(F.lit(part).alias("part"), F.lit(upto).cast("long").alias("upto"))

@@ -150,3 +150,16 @@ def test_present_values_follow_their_json_type(spark):
 def test_rejects(spark, value, problems):
     found = rejected(normalise(_documents(spark, value))).collect()
     assert {(r.pos, r.problem) for r in found} == problems
+
+def test_limits_of_the_parser_have_their_own_reason(spark):
+    deep = "[" * 1100 + "]" * 1100
+    texts = [
+        ("long.json", '["' + "x" * 20_000_100 + '"]', "too long"),
+        ("deep.json", deep, "too deep"),
+        ("deeper.json", '{"a": "]]]\\"]", "b": ' + deep + "}", "too deep"),
+        ("wide.json", "[" + "[], " * 2000 + "1]", None),
+        ("text.json", '["' + "[" * 3000 + '"]', None),
+        ("cut.json", "[[], " * 3, "not json"),
+    ]
+    rows = spark.createDataFrame([t[:2] for t in texts], "file string, value string")
+    assert {r.file: r.problem for r in parse_texts(rows).collect()} == {t[0]: t[2] for t in texts}
