@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,23 +17,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where a local master keeps tables if ``spark.checkpoint.dir`` is unset; for one machine only.
+LOCAL_FOLDER = "file:///tmp/checkpoints/placebook"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may run without the setting; it then gets a fresh temporary folder,
-    which is remembered in the session.
+    Only a local master may run without the setting.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = spark.conf.get("placebook.local.folder", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="placebook-")
-        spark.conf.set("placebook.local.folder", folder)
-    return folder
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = LOCAL_FOLDER
+    return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
