@@ -133,7 +133,7 @@ def _pack_group(path: str, end: int, packing: Packing) -> Callable[[pa.Table], p
     def run(group: pa.Table) -> pa.Table:
         encode = encoder(path).ids
         ids, bounds = [], [np.zeros(1, np.int64)]
-        for batch in slices(iter(group.combine_chunks().to_batches()), "text"):
+        for batch in slices(iter(group.combine_chunks().to_batches()), "text", GROUP_BYTES):
             some, ends = with_end(*encode(texts(batch.column("text"))), end)
             bounds.append(ends[1:] + bounds[-1][-1])
             ids.append(some)
