@@ -6,6 +6,7 @@ Nothing is gathered in one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,13 @@ from placebook.operators.normalise import EXTRA_FIELDS
 
 def _write_lines(lines: DataFrame, path: str, line_end: str = "\n") -> None:
     """Write ``(section, place, line)`` rows in order."""
-    ordered = lines.orderBy("section", "place").select("line")
-    ordered.write.mode("overwrite").option("lineSep", line_end).text(path)
+    in_order = lines.orderBy("section", "place").select("line")
+    in_order.write.mode("overwrite").option("lineSep", line_end).text(path)
+
+
+def ordered(directory: DataFrame) -> DataFrame:
+    """The directory by place. Spark leaves out a sort of rows that it knows to be in order."""
+    return directory.orderBy(FIRST_SEEN)
 
 
 def _no_place(directory: DataFrame) -> Column:
@@ -52,14 +58,19 @@ def export_csv(directory: DataFrame, path: str) -> None:
         doubled = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
         quoted = F.when(F.col(name).rlike('[",\r\n]'), doubled).otherwise(F.col(name))
         fields.append(F.coalesce(quoted, F.lit("")))
-    rows = directory.select(
-        F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"),
-        F.concat_ws(",", *fields).alias("line"),
-    )
-    header = directory.sparkSession.range(1).select(
-        F.lit(0).alias("section"), _no_place(directory), F.lit(",".join(CSV_COLUMNS)).alias("line")
-    )
-    _write_lines(header.unionByName(rows), path, "\r\n")
+    header = ",".join(CSV_COLUMNS)
+    first = directory.agg(F.min(FIRST_SEEN).alias("place")).first().place
+    if first is None:
+        lines = directory.sparkSession.range(1).select(F.lit(header).alias("line"))
+    else:
+        # The header stands in front of the first record, known by its place.
+        line = F.concat_ws(",", *fields)
+        is_first = F.lit(True)
+        for name, value in first.asDict().items():
+            is_first = is_first & F.col(FIRST_SEEN)[name].eqNullSafe(F.lit(value))
+        titled = F.when(is_first, F.concat(F.lit(f"{header}\r\n"), line)).otherwise(line)
+        lines = ordered(directory).select(titled.alias("line"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +92,8 @@ def _manifest(directory: DataFrame) -> DataFrame:
 
 def export_json(directory: DataFrame, path: str) -> None:
     """One JSON object per line in ``businesses``, and ``manifest`` with time and count."""
-    records = directory.select(
-        F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"),
-        _record_json(directory).alias("line"),
-    )
-    _write_lines(records, f"{path}/businesses")
+    records = ordered(directory).select(_record_json(directory).alias("line"))
+    records.write.mode("overwrite").text(f"{path}/businesses")
     _manifest(directory).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -157,13 +165,17 @@ def export(directory: DataFrame, path: str, formats: tuple[str, ...] = ("json",
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
     written = []
+    # Sorted once for all formats. Rows kept on disk keep their order; lost ones are sorted again.
+    rows = ordered(directory).persist(StorageLevel.DISK_ONLY) if len(formats) > 1 else directory
     if "json" in formats:
         written.append(f"{path}/results.json")
-        export_json(directory, written[-1])
+        export_json(rows, written[-1])
     if "document" in formats:
         written.append(f"{path}/results_document.json")
-        export_json_document(directory, written[-1])
+        export_json_document(rows, written[-1])
     if "csv" in formats:
         written.append(f"{path}/results.csv")
-        export_csv(directory, written[-1])
+        export_csv(rows, written[-1])
+    if len(formats) > 1:
+        rows.unpersist()
     return written
