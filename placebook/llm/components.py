@@ -14,7 +14,8 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 200) -> DataFra
     Each round joins every node's neighbours to the least node it sees, first the larger ones, then
     the smaller ones, until every edge points at the least node of its component. The edges of a
     round are stored in ``folder``, so that no round depends on the one before it. The least
-    neighbour is found by a partial aggregate: a hub sends one row per task.
+    neighbour is found by a partial aggregate: a hub sends one row per task. It is stored as well, as
+    Spark splits a hub's rows in a join only if both sides come from a shuffle.
     """
     spark = edges.sparkSession
     a, b = F.greatest("a", "b"), F.least("a", "b")
@@ -28,10 +29,10 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 200) -> DataFra
         if not before[0]:
             break
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), f"{folder}/least-{n}")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         large = kept(large.distinct(), f"{folder}/large-{n}")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = kept(large.groupBy("a").agg(F.min("b").alias("low")), f"{folder}/low-{n}")
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
         )
