@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.components import components
@@ -34,7 +34,8 @@ from placebook.llm.words import Texts, mix, slices, texts, words
 @dataclass(frozen=True)
 class Forest:
     """``floor``: pairs whose signatures agree in less than this share are dropped before
-    verification; at the threshold that loses one pair in 10^9."""
+    verification; at the threshold that loses one pair in 10^9. A block of verification holds about
+    twice ``verify_block`` texts or ``verify_bytes`` of text, whichever is less."""
 
     threshold: Fraction = Fraction(4, 5)
     gram: int = 5
@@ -44,6 +45,7 @@ class Forest:
     floor: float = 0.55
     prefix_block: int = 256
     verify_block: int = 1024
+    verify_bytes: int = 16 << 20
 
     def depth(self) -> int:
         """The longest prefix that reaches the recall for pairs at the threshold."""
@@ -76,7 +78,7 @@ def grams(given: Texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return out, np.searchsorted(at, bounds), sums[0], sums[1]
 
 
-SIGNED = "doc_id long, text_key long, node binary, buckets array<long>, signature binary"
+SIGNED = "doc_id long, text_key long, size long, node binary, buckets array<long>, signature binary"
 
 
 def _sign(forest: Forest, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -104,11 +106,12 @@ def _sign(forest: Forest, depth: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 [
                     batch.column("doc_id"),
                     batch.column("text_key"),
+                    batch.column("size"),
                     _fixed(np.stack([one, two], 1), some),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix[some].ravel().view(np.int64))),
                     _fixed((table & np.uint32(255)).astype(np.uint8), some),
                 ],
-                ["doc_id", "text_key", "node", "buckets", "signature"],
+                ["doc_id", "text_key", "size", "node", "buckets", "signature"],
             )
 
     return run
@@ -185,10 +188,9 @@ def _likely(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _blocks(rows: DataFrame, key: str, size_column: str, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
     """Each row once for every pair of chunks that its chunk is part of; chunks are dealt by node."""
-    chunks = F.ceil(F.col(size_column) / F.lit(block)).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("chunks", F.greatest(F.ceil(chunks), F.lit(1)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunks", "other")
     return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
@@ -284,13 +286,15 @@ def joined(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFrame
     ``class_id`` is the least doc_id that chains of links reach, ``class_key`` the key of its text.
     """
     text = F.col("text").cast("string")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    signed = kept(rows.mapInArrow(_sign(forest, forest.depth()), SIGNED), f"{folder}/signed")
+    signed = kept(rows.withColumn("size", size).mapInArrow(_sign(forest, forest.depth()), SIGNED), f"{folder}/signed")
     with_words = signed.where("node is not null")
     classes = kept(
         with_words.groupBy("node").agg(
             F.count("*").alias("copies"),
             F.min(F.struct("doc_id", "text_key")).alias("first"),
+            F.first("size").alias("size"),
             F.first("buckets").alias("buckets"),
             F.first("signature").alias("signature"),
         ),
@@ -301,21 +305,23 @@ def joined(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFrame
     places = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = places.join(shared, "bucket").join(classes.select("node", "signature"), "node")
-    likely = _blocks(members, "bucket", "members", forest.prefix_block).select("bucket", "lo", "hi", "node", "signature")
+    likely = _blocks(members, "bucket", F.col("members") / forest.prefix_block).select("bucket", "lo", "hi", "node", "signature")
     pairs = likely.mapInArrow(_likely(forest), "a binary, b binary")
     clusters = kept(
         components(pairs, f"{folder}/candidates").withColumnRenamed("component", "cluster"), f"{folder}/clusters"
     )
 
     # Verification: one text of each class, block by block within a cluster.
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("texts"))
+    clusters = clusters.join(classes.select("node", "copies", "first", "size"), "node")
+    sizes = clusters.groupBy("cluster").agg(
+        F.greatest(F.count("*") / forest.verify_block, F.sum("size") / forest.verify_bytes).alias("parts")
+    )
     wanted = (
         clusters.join(sizes, "cluster")
-        .join(classes.select("node", "copies", "first"), "node")
-        .select("node", "cluster", "texts", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+        .select("node", "cluster", "parts", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
-    blocks = _blocks(rows.join(wanted, same), "cluster", "texts", forest.verify_block)
+    blocks = _blocks(rows.join(wanted, same), "cluster", F.col("parts"))
     verified = kept(
         blocks.select("cluster", "lo", "hi", "chunk", "node", "copies", "text").mapInArrow(_verify(forest), LINKED),
         f"{folder}/verified",

@@ -58,7 +58,7 @@ def test_awkward_documents(docs, rows, tmp_path):
 @pytest.mark.parametrize("blocks", [(256, 1024), (3, 4)])
 def test_near_copies_in_large_and_small_blocks(spark, tmp_path, blocks):
     rows = near_copies(blocks[0])
-    forest = Forest(prefix_block=blocks[0], verify_block=blocks[1])
+    forest = Forest(prefix_block=blocks[0], verify_block=blocks[1], verify_bytes=blocks[1] * 1000)
     got = collected(joined(frame(spark, rows), str(tmp_path), forest), *COLUMNS)
     assert got == expected(rows)
     assert max(r[3] for r in got) > 3
