@@ -82,3 +82,11 @@ def test_stages_take_empty_tables(spark, folder):
 def test_accepted_rows_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, " ".join(f"a{i * 7919 % 1009}" for i in range(90)), [1, 2], "k")], "doc_id int, text string, ids array<int>, kept string")
     assert accepted(docs).collect() == docs.collect()
+
+
+def test_packed_pieces_of_all_documents_leave_no_gap(spark, folder):
+    """The piece of the document without an id counts as well; it may lie inside a sequence."""
+    want = [(-1 if doc is None else doc, text) for doc, text in expected(spark, folder)]
+    assert any(doc == -1 for doc, _ in want)
+    pieces = corpus_pipeline.run(spark, folder).fillna(-1, ["doc_id"]).collect()
+    test_hierarchical_packing.check(pieces, want)
