@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from placebook.catalog.base import Book, derive, plain
 from placebook.catalog.listings import part_listings
+from placebook.catalog.texts import valid_sql, widest_sql
 from placebook.fixed_values import MAJOR_CITIES
 from placebook.operators.dedupe import dedupe, duplicate_counts
 from placebook.operators.enrich import run_tasks, save_results, with_payload
@@ -60,15 +61,15 @@ FROM ({_TURNS})
 
 
 @BOOK.query(f"""
-SELECT task_id, CAST(2 AS BIGINT) AS items, CAST(length(recorded) AS BIGINT) AS turns, task_id AS id
-FROM ({plain(_TURNS)}) WHERE recorded IS NOT NULL
-  AND strpos(recorded, '[') = 0 AND strpos(recorded, ']') = 0""")
+WITH r AS ({plain(_ANSWERS)}),
+found AS (SELECT task_id, coalesce({valid_sql("recorded")}, {valid_sql(widest_sql("recorded", "[", "]"))},
+    {valid_sql(widest_sql("recorded", "{", "}"))}) AS p FROM r WHERE recorded IS NOT NULL)
+SELECT task_id, CASE WHEN json_type(p) = 'ARRAY' THEN CAST(json_array_length(p) AS BIGINT) END AS items,
+       TRY_CAST(json_extract_string(p, '$[0].turns') AS BIGINT) AS turns, json_extract_string(p, '$[1].id') AS id
+FROM found""")
 def successful_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = run_tasks(derive(spark, sf_dir, _ANSWERS), _replay(), concurrency=8)
-    kept = save_results(results, fresh_path(spark, "results"))
-    # Turns with brackets of their own have another widest list.
-    plain_ones = kept.where("not success or (instr(output, '[') = length(output) - instr(reverse(output), '[') + 1)")
-    found = with_payload(plain_ones.where("instr(output, ']') = length(output)"))
+    found = with_payload(save_results(results, fresh_path(spark, "results")))
     return found.select(
         "task_id",
         F.array_size(F.try_variant_get("payload", "$", "array<variant>")).cast("bigint").alias("items"),
