@@ -1,10 +1,12 @@
 """Near-duplicate texts by word n-gram Jaccard similarity, found through a MinHash LSH forest.
 
 A text is the set of its grams of five words; one of fewer words is one gram. Texts of equal word
-sequences are one class and are compared once. Each tree of the forest orders the classes by its
-own MinHash values, and classes under a common prefix are candidates. Prefixes start at full depth
-and are shortened until a pair at the threshold shares one in some tree with the wanted recall.
-All candidates under a prefix are compared by their signatures; what is left is gathered into
+sequences are one class and are compared once. Each tree of the forest hashes a class's own MinHash
+values to one bucket, and classes in a common bucket are candidates: fixed bands (24 of 4 values by
+default) in place of sorted prefixes that are shortened. A pair is wanted with one recall at one
+threshold, so the depth that meets it is known beforehand, and the pairs under deeper prefixes are
+among those at that depth: sorting and shortening would give the same candidates for more hashes.
+All candidates of a bucket are compared by their signatures; what is left is gathered into
 clusters (components over the surviving pairs), and within a cluster every pair is verified
 exactly, in blocks of bounded size that spread over tasks. Pairs never become rows: a block returns
 the number of links of each of its texts and a spanning forest.
