@@ -53,11 +53,13 @@ OP3 = rf"""
 WITH RECURSIVE parsed AS (SELECT page_id, url, html,
     {_lowered(f"coalesce(regexp_extract(url, '{_URL}', 2), '')")} AS host,
     coalesce(regexp_extract(url, '{_URL}', 3), '') AS path FROM pages),
-tags AS (SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*'),
-                   '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*'),
-                   '(?is)\bcontent\s*=\s*["'']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1)]) AS raw
+tags AS (SELECT url, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*'), lambda t: regexp_matches(t,
+        '(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|''(?:[^'']*\s)?canonical[\s'']|canonical(?:[\s/]|\z))')),
+      lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda t: regexp_matches(t,
+        '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+      lambda t: regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1)))) AS raw
   FROM pages WHERE contains(url, '://')),
 links AS (SELECT url, replace(raw, '&amp;', '&') AS link, regexp_extract(url, '{_URL}', 1) AS scheme,
     regexp_extract(url, '{_URL}', 2) AS site, regexp_extract(url, '{_URL}', 3) AS path FROM tags WHERE raw <> ''),

@@ -1,9 +1,10 @@
 """URL rules that hold for all aliases of a page.
 
-A page names its aliases by a canonical link, a refresh tag or an entry of a redirect table. Pages
-and aliases are the nodes of a graph; its components are found by Spark joins. A page that no rule
-fits takes the decision of its component: allowed if a rule allows one of its members, else
-blocked if a rule blocks one, else allowed. A page's own rule always stands.
+A page names its aliases by canonical links, refresh tags or entries of a redirect table. Every tag
+counts, and canonical may be any word of its rel. Pages and aliases are the nodes of a graph; its
+components are found by Spark joins. A page that no rule fits takes the decision of its component:
+allowed if a rule allows one of its members, else blocked if a rule blocks one, else allowed. A
+page's own rule always stands.
 
 A node is a url without its fragment, its scheme and host in small letters. A null url, and one
 without ``://``, has no host, fits no rule, has no alias and is allowed. Repeated rows get equal
@@ -23,8 +24,9 @@ from placebook.llm.winnowing import CAPITALS, SMALL
 
 SPLIT = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 #: Tags are matched as far as their closing bracket; attributes may come in any order.
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["']?([^"'>\s]+)"""
+REL = r"""\brel\s*=\s*(?:"(?:[^">]*\s)?canonical[\s"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?:[\s/>]|\z))"""
+CANONICAL = rf"""(?is)<link\b(?=[^>]*{REL})[^>]*?\bhref\s*=\s*["']?([^"'>\s]+)[^>]*"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["']?([^"'>\s]+)[^>]*"""
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Canonical and refresh links of pages as edges between nodes."""
-    links = F.array(*[F.regexp_extract("html", tag, 1) for tag in (CANONICAL, REFRESH)])
+    links = F.concat(*[F.regexp_extract_all("html", F.lit(tag), F.lit(1)) for tag in (CANONICAL, REFRESH)])
     found = (
         pages.where(F.col("url").contains("://") & (F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)))
         .select("url", F.explode(links).alias("link"))

@@ -1,6 +1,9 @@
 import re
 
+import duckdb
+
 from placebook.llm.components import components
+from placebook.llm.oracles import OP3
 from placebook.llm.redirect_equivalence import RULES, judged
 from tests.llm.cases import collected
 
@@ -76,3 +79,31 @@ def test_components_of_chains_hubs_and_loops(spark, tmp_path):
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect())
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {210: 210, 211: 210}
     assert got == want
+
+
+def test_every_tag_of_a_page_counts(spark, tmp_path):
+    lone, blocked, allowed = "http://lone.org/x", "http://b.net/es/1", "http://g.com/"
+    link = "<link rel={} href='{}'>"
+    html = [
+        link.format("canonical", lone) + link.format("canonical", blocked),
+        REFRESH.format(lone) + REFRESH.format(blocked),
+        CANONICAL.format(lone) + REFRESH.format(blocked) + CANONICAL.format(allowed),  # allow goes first
+        link.format('"alternate canonical"', blocked),
+        link.format("' Canonical alternate'", blocked),
+        f"<LINK href={blocked} rel=canonical>",
+        f"<link rel=canonical href={blocked}",
+        link.format('"alternate"', blocked),
+        link.format('"non-canonical canonical-x"', blocked),
+        f"<link rel=canonical><link href={blocked}>",
+    ]
+    want = ["block", "block", "allow", "block", "block", "block", "block", "allow", "allow", "allow"]
+    html = [text.replace("lone", f"lone{i}") for i, text in enumerate(html)]
+    rows = [(i, f"http://a{i}.org/", text) for i, text in enumerate(html)] + [(99, "http://none.org/", None)]
+    # No two pages share a blocked or allowed target, so that each verdict comes from its own tags.
+    rows = [(i, url, text and text.replace("b.net", f"b{i}.net").replace("g.com", f"g{i}.com")) for i, url, text in rows]
+    got = collected(judged(pages(spark, rows), str(tmp_path)), "page_id", "verdict")
+    assert got == [*enumerate(want), (99, "allow")]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted((r[0], r[1]) for r in duck.sql(f"SELECT page_id, verdict FROM ({OP3})").fetchall()) == got
