@@ -140,3 +140,44 @@ counts AS (SELECT x, count(*) AS n, count(DISTINCT b.t) FILTER (WHERE a.t <> b.t
 SELECT doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(m, 0) AS BIGINT) AS n_text_links
 FROM documents JOIN groups g ON doc_id = g.x LEFT JOIN counts c ON doc_id = c.x
 """
+
+#: CRC-32 by its table of 256 entries, which the polynomial gives.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hex(f)) // 2), lambda k: CAST('0x' || substr(hex(f), 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+OP11 = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, coalesce(regexp_extract_all({_lowered('text')}, '{_WORDS}'), []) AS w FROM documents),
+df AS (SELECT doc_id, unnest(w) AS f FROM d),
+bf AS (SELECT unnest(regexp_extract_all({_lowered('text')}, '{_WORDS}')) AS f FROM benchmark),
+known AS (SELECT f, {_CRC} % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+s AS (SELECT b, count(*) AS n FROM df JOIN known USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bf JOIN known USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * ((SELECT CAST(count(*) AS DOUBLE) FROM df) + 10000)
+    / ((CAST(s.n AS DOUBLE) + 1) * ((SELECT CAST(count(*) AS DOUBLE) FROM bf) + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+weighed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS total, count(*) AS n FROM df JOIN known USING (f) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features,
+    CAST(coalesce(CASE WHEN total < 0 THEN -((n - 1 - total) // n) ELSE total // n END, 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS noise
+  FROM d LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CAST(CASE WHEN place <= 10 * n // 100 THEN place END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM
+    (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM pairs WHERE same) WHERE place <= 5),
+ranked AS (SELECT p.anchor_id, positive_id, n.id AS negative_id, positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 5
+"""

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placebook.llm import (
+    bit_sliced_resampling,
     blob_ledger,
     compression_bands,
     elias_fano_ids,
@@ -17,6 +18,8 @@ from placebook.llm import (
     oracles,
     recompression,
     redirect_equivalence,
+    rotated_codes,
+    string_kernel_language,
     virtual_slots,
     winnowing,
 )
@@ -83,6 +86,22 @@ def op10_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano_ids.read_back(docs, folder, elias_fano_ids.write(docs, folder, tokens))
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of a tenth that looks like the benchmark."""
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return bit_sliced_resampling.resampled(docs, benchmark, fresh_folder(spark, "resampled")).drop("n_words")
+
+
+def op12_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    return string_kernel_language.identified(read(spark, sf_dir, "documents"))
+
+
+def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and each of its positives."""
+    return rotated_codes.mined(read(spark, sf_dir, "embeddings"), fresh_folder(spark, "negatives"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -96,6 +115,9 @@ QUERIES: dict[str, Query] = {
         op8_kneser_ney,
         op9_forest_join,
         op10_elias_fano_ids,
+        op11_bit_sliced_resampling,
+        op12_string_kernel_language,
+        op13_rotated_codes,
     )
 }
 
@@ -106,4 +128,6 @@ ORACLES: dict[str, str] = {
     "op5_recompression": oracles.OP5,
     "op7_blob_ledger": oracles.OP7,
     "op9_forest_join": oracles.OP9,
+    "op11_bit_sliced_resampling": oracles.OP11,
+    "op13_rotated_codes": oracles.OP13,
 }

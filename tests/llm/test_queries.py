@@ -32,7 +32,7 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 def test_all_are_registered():
     known = __spark_entry__.queries()
     assert set(QUERIES) < set(known) and "pipeline" in known
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_sql_of_aliases(spark, duck, tmp_path):
