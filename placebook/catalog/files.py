@@ -21,7 +21,13 @@ from placebook.sinks.exports import (
     read_csv,
     read_json,
 )
-from placebook.sinks.replies import read_parsed_replies, read_raw_replies, replayed, save_replies
+from placebook.sinks.replies import (
+    read_parsed_replies,
+    read_raw_replies,
+    read_unusable_replies,
+    replayed,
+    save_replies,
+)
 from placebook.sources.documents import (
     parse_texts,
     quarantined,
@@ -215,6 +221,17 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("file", items.alias("items"))
 
 
+@BOOK.query(f"""
+WITH r AS ({plain(REPLIES)}), found AS (SELECT event_id, reply, {REPLY_SQL} AS p FROM r)
+SELECT CAST(event_id AS STRING) AS task_id, CASE WHEN reply = '' THEN 'empty'
+       WHEN p IS NULL THEN 'not json' ELSE 'nothing in it' END AS problem
+FROM found WHERE p IS NULL OR p IN ('null', '[]', '{{}}', 'false', '0', '""')
+""")
+def unusable_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply is either in ``parsed_replies`` or here, with the reason."""
+    return read_unusable_replies(spark, _saved(spark, sf_dir)).select("task_id", "problem")
+
+
 @BOOK.query(f"""
 WITH r AS ({plain(REPLIES)}), a AS (SELECT event_id, {REPLY_SQL} AS p FROM r),
 o AS (SELECT event_id, coalesce({valid_sql('reply')}, {OUTERMOST_SQL}) AS p FROM r),
@@ -229,7 +246,7 @@ def replayed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read_raw_replies(spark, _saved(spark, sf_dir))
     listed = F.try_variant_get("v", "$", "array<variant>").isNotNull()
     enveloped = F.try_variant_get("v", "$.businesses", "variant").isNotNull()
-    both = [replayed(texts, prefer).withColumn("prefer", F.lit(prefer)) for prefer in ("array", "outermost")]
+    both = [readable(replayed(texts, prefer)).withColumn("prefer", F.lit(prefer)) for prefer in ("array", "outermost")]
     return both[0].unionByName(both[1]).groupBy("prefer").agg(
         F.count("*").alias("documents"),
         F.count_if(listed).alias("lists"),
@@ -237,10 +254,10 @@ def replayed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Searchers' replies: prose, an envelope, prose; those of which nothing can be read are left out.
+# Searchers' replies: prose, an envelope, prose; of some nothing can be read.
 _CHATTY = f"""
 SELECT CAST(s_suppkey AS STRING) AS task_id, 'I will search. ' || value || ' Done.' AS value
-FROM ({SUPPLIER_DOCUMENTS}) WHERE s_suppkey % 9 <> 8
+FROM ({SUPPLIER_DOCUMENTS})
 """
 
 
@@ -249,15 +266,17 @@ listed AS (SELECT 'array' AS prefer, name, '' AS city, '' AS state FROM kept
   UNION SELECT 'outermost', name, n_name, r_name FROM kept)
 SELECT prefer, (SELECT CAST(count(*) AS BIGINT) FROM docs) AS input_files,
        (SELECT CAST(3 * count(*) AS BIGINT) FROM docs) AS total_records_found,
-       CAST(count(*) AS BIGINT) AS unique_records
+       CAST(count(*) AS BIGINT) AS unique_records,
+       (SELECT CAST(count(*) AS BIGINT) FROM ({plain(SUPPLIER_DOCUMENTS)}) WHERE NOT json_valid(value)) AS rejected
 FROM listed GROUP BY prefer""")
 def replayed_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = derive(spark, sf_dir, _CHATTY)
     counted = []
     for prefer in ("array", "outermost"):
         built = directory_of(replayed(texts, prefer), fresh_path(spark, "replayed"), formats=())
-        counted.append(built.summary.withColumn("prefer", F.lit(prefer)))
-    names = ["prefer", "input_files", "total_records_found", "unique_records"]
+        unread = built.rejected.agg(F.count_if(F.col("problem") == "not json").alias("rejected"))
+        counted.append(built.summary.withColumn("prefer", F.lit(prefer)).join(F.broadcast(unread)))
+    names = ["prefer", "input_files", "total_records_found", "unique_records", "rejected"]
     return counted[0].unionByName(counted[1]).select(*names)
 
 

@@ -13,7 +13,7 @@ from placebook.catalog.listings import part_listings
 from placebook.catalog.texts import valid_sql, widest_sql
 from placebook.fixed_values import MAJOR_CITIES
 from placebook.operators.dedupe import dedupe, duplicate_counts
-from placebook.operators.enrich import run_tasks, save_results, with_payload
+from placebook.operators.enrich import run_kept, run_tasks, save_results, with_payload
 from placebook.operators.rollup import failed_tasks, run_stats, run_summary
 from placebook.plans.research import Research, run_research
 from placebook.session import fresh_path
@@ -52,6 +52,35 @@ def enrich_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("task_id", "success", "output", "error", timed.alias("timed"))
 
 
+# How often each task has to be asked: by the length of its prompt.
+_TRIES = """
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS task_key,
+       CAST(conv_id AS STRING) AS task_id, text AS prompt, length(text) % 4 + 1 AS needed
+FROM {conversations} WHERE role = 'user'
+"""
+
+
+def _stubborn() -> Callable[[dict], str]:
+    """Work that fails until a task is asked for the attempt it needs."""
+
+    def work(task: dict) -> str:
+        if task["attempt"] < task["needed"]:
+            raise ConnectionError(f"attempt {task['attempt']} of {task['needed']}")
+        return task["prompt"]
+
+    return work
+
+
+@BOOK.query(f"""
+SELECT task_key, needed <= 3 AS success, CASE WHEN needed <= 3 THEN prompt END AS output,
+       CAST(least(needed, 3) AS INTEGER) AS attempt FROM ({plain(_TRIES)})""")
+def enrich_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attempt first, then two more for what failed; a success is not asked again."""
+    tasks, path = derive(spark, sf_dir, _TRIES), fresh_path(spark, "attempts")
+    run_kept(tasks, _stubborn(), 8, path)
+    return run_kept(tasks, _stubborn(), 8, path, attempts=3).select("task_key", "success", "output", "attempt")
+
+
 # Recorded replies with a list of their own facts behind them.
 _ANSWERS = f"""
 SELECT task_id, prompt, CASE WHEN recorded IS NOT NULL THEN recorded ||
@@ -197,7 +226,7 @@ def research_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # One request per customer; the planner names tasks of two types for most of them.
 _CUSTOMER_REQUESTS = """
-SELECT CAST(c_custkey AS STRING) AS target_id, CASE WHEN c_custkey % 8 = 7 THEN 'XX' ELSE 'TX' END AS states,
+SELECT CAST(c_custkey AS STRING) AS target_id, CASE c_custkey % 8 WHEN 7 THEN 'XX' WHEN 4 THEN 'TX, CA' ELSE 'TX' END AS states,
        c_mktsegment AS industry, CAST(NULL AS ARRAY<STRING>) AS search_terms,
        CAST(NULL AS ARRAY<STRING>) AS data_fields
 FROM {customer}
@@ -214,7 +243,9 @@ def _plan_and_answer() -> Callable[[dict], str]:
                 raise TimeoutError("timed out")
             city = {"city": f"City {number % 5}", "state": "TX"}
             plan = [{"task_type": "company_research", "company_name": f"Firm {number}", **city}, {"task_id": "c", **city}]
-            return "No plan." if number % 8 == 5 else f"Here it is:\n{json.dumps(plan)}\n"
+            if number % 8 == 5:  # prose without a list, or an empty list
+                return ["No plan.", "[]", "Nothing: []"][number % 3]
+            return f"Here it is:\n{json.dumps(plan)}\n"
         place = {"city": task["city"], "state": task["state"]}
         if task["task_type"] == "company_research":
             return json.dumps({"company_name": task["company_name"], "location": place, "contact": {"phone": "1"}})
@@ -236,10 +267,12 @@ def planned_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.query("""
-SELECT CAST(c_custkey AS STRING) AS target_id, CASE WHEN c_custkey % 8 = 7 THEN 'XX' END AS state,
-       CASE WHEN c_custkey % 8 = 7 THEN 'unknown state' ELSE 'no plan: timed out' END AS reason
-FROM customer WHERE c_custkey % 8 > 5""")
+SELECT CAST(c_custkey AS STRING) AS target_id, CASE c_custkey % 8 WHEN 7 THEN 'XX' WHEN 4 THEN 'CA' END AS state,
+       CASE c_custkey % 8 WHEN 7 THEN 'unknown state' WHEN 6 THEN 'no plan: timed out' WHEN 5 THEN 'no task in plan'
+         ELSE 'no task for this state' END AS reason
+FROM customer WHERE c_custkey % 8 > 3""")
 def planned_run_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request has a task or a reason; plans name tasks in TX only."""
     return _planned(spark, sf_dir, skip_aggregation=True).rejected
 
 

@@ -1,4 +1,10 @@
-"""Run every task through an outside function, in parallel and without failing the run."""
+"""Run every task through an outside function, in parallel and without failing the run.
+
+Calls to an outside function are slow and cost money, so nothing is asked twice by accident. Tasks
+are kept as a table of many small files, each a slice of the keys. The table is read as a stream,
+slice by slice, and every slice's results are committed alone: a run that is broken off loses the
+slice it was in, and the same call goes on behind the last committed one.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.functions.once import with_once
-from placebook.functions.payload import reply_json
-from placebook.session import prepare
+from placebook.session import has_files
+from placebook.sources.documents import tag_replies
 
 RESULT_SCHEMA = (
     "task_key string, task_id string, success boolean, output string, error string, execution_time double"
@@ -34,7 +38,7 @@ def run_tasks(tasks: DataFrame, work: Callable[[dict], str], concurrency: int) -
     run at a time, each in its own partition; tasks are spread by the hash of their key.
 
     The result is lazy and every use runs the tasks again: write it to a table first, see
-    ``save_results`` and ``run_in_waves``.
+    ``save_results`` and ``run_kept``.
     """
 
     def attempt(task: dict) -> dict:
@@ -69,33 +73,80 @@ def save_results(results: DataFrame, path: str) -> DataFrame:
     return results.sparkSession.read.parquet(path)
 
 
-def run_in_waves(
-    tasks: DataFrame, work: Callable[[dict], str], concurrency: int, path: str, waves: int = 10
+KEPT_SCHEMA = f"{RESULT_SCHEMA}, attempt int"
+
+
+def check_keys(tasks: DataFrame) -> None:
+    """Refuse tasks without a key and tasks that share one: a result belongs to one task."""
+    odd = tasks.groupBy("task_key").count().where("count > 1 OR task_key IS NULL").limit(5).collect()
+    if odd:
+        raise ValueError(f"tasks without a key of their own: {sorted(str(row.task_key) for row in odd)}")
+
+
+def run_kept(
+    tasks: DataFrame,
+    work: Callable[[dict], str],
+    concurrency: int,
+    path: str,
+    attempts: int = 1,
+    slice_rows: int | None = None,
 ) -> DataFrame:
-    """Run the tasks slice by slice and keep the results of each slice as it ends.
+    """Run every task and keep the results below ``path``; one ``KEPT_SCHEMA`` row per task.
 
-    A task whose result is kept below ``path`` does not run again, so a run that was broken off
-    goes on with the same call. Slices are made by the hash of the key; a key is asked for once.
+    The first call decides which tasks there are; later calls with the same ``path`` go on with
+    them. Tasks that failed are asked again until ``attempts`` attempts are made; ``work`` finds the
+    number in the task's ``attempt``. Calling again with more attempts asks for the failed ones only,
+    and their results of every attempt stay.
+    ``slice_rows`` tasks are committed at a time, by default 64 for each that runs at a time.
     """
     spark = tasks.sparkSession
-    tasks = keyed(tasks).dropDuplicates(["task_key"])
-    for wave in range(waves):
-        own = tasks.where(F.pmod(F.xxhash64("task_key"), F.lit(waves)) == wave)
-        done = _kept(tasks, path)
-        if done is not None:
-            own = own.join(done.select("task_key"), "task_key", "left_anti")
-        run_tasks(own, work, concurrency).write.mode("append").parquet(path)
-    return spark.read.schema(RESULT_SCHEMA).parquet(path)
-
-
-def _kept(tasks: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return tasks.sparkSession.read.schema(RESULT_SCHEMA).parquet(path)
-    except AnalysisException:  # the first slice: there is no table yet
-        return None
+    slice_rows = slice_rows or max(2_000, 64 * concurrency)
+    for attempt in range(1, attempts + 1):
+        part = f"{path}/attempt={attempt}"
+        if not has_files(spark, f"{part}/tasks/_SUCCESS"):
+            if attempt == 1:
+                asked = keyed(tasks)
+                check_keys(asked)
+            else:
+                failed = kept_results(spark, path, attempt - 1).where(~F.col("success")).select("task_key")
+                first = spark.read.parquet(f"{path}/attempt=1/tasks")
+                asked = first.join(failed, "task_key", "left_semi")
+            _keep_slices(asked, f"{part}/tasks", slice_rows)
+        _run_slices(spark, part, work, concurrency, attempt)
+    return kept_results(spark, path, attempts)
+
+
+def _keep_slices(tasks: DataFrame, path: str, slice_rows: int) -> None:
+    """Write tasks as files of about ``slice_rows`` tasks by the hash of their key."""
+    slices = max(1, -(-tasks.count() // slice_rows))
+    tasks.repartition(slices, "task_key").write.mode("overwrite").parquet(path)
+
+
+def _run_slices(spark: SparkSession, part: str, work: Callable[[dict], str], concurrency: int, attempt: int) -> None:
+    schema = spark.read.parquet(f"{part}/tasks").schema
+    slices = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{part}/tasks")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # A slice that comes again after a failure replaces what its first try left.
+        asked = batch.withColumn("attempt", F.lit(attempt))
+        results = run_tasks(asked, work, concurrency).withColumn("attempt", F.lit(attempt))
+        results.write.mode("overwrite").parquet(f"{part}/results/slice={batch_id}")
+
+    writer = slices.writeStream.foreachBatch(run).option("checkpointLocation", f"{part}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def kept_results(spark: SparkSession, path: str, attempts: int) -> DataFrame:
+    """The last result of every task of a run with that many attempts."""
+    parts = [f"{path}/attempt={n}/results/slice=*" for n in range(1, attempts + 1)]
+    parts = [part for part in parts if has_files(spark, part)]
+    if not parts:
+        return spark.createDataFrame([], KEPT_SCHEMA)
+    # A task has a later attempt if, and only if, an earlier one failed.
+    results = spark.read.schema(KEPT_SCHEMA).parquet(*parts)
+    return results.where(F.col("success") | (F.col("attempt") == attempts))
 
 
 def with_payload(results: DataFrame, prefer: str = "array") -> DataFrame:
-    """Successful results with their ``payload``; failed ones are left out."""
-    prepare(results.sparkSession)
-    return with_once(results.where("success"), payload=reply_json("output", prefer))
+    """Successful results with their ``payload`` and, where there is none, the ``problem``."""
+    return tag_replies(results.where("success"), "output", prefer)

@@ -109,6 +109,28 @@ def uncovered_states(codes: DataFrame, cities: DataFrame | None = None, key: str
     return missing.select(key, "state", F.lit("no cities known").alias("reason"))
 
 
+def unplanned(codes: DataFrame, tasks: DataFrame, told: DataFrame, key: str = "target_id") -> DataFrame:
+    """``(key, state, reason)`` for accepted requests and states that got no task and no reason yet.
+
+    ``codes`` has one row per accepted request and state, ``tasks`` are the planned ones, ``told`` the
+    rejections known so far. A request without any task is one row with a null state. A task without
+    a state may serve all states of its request; tasks name states in any letter case.
+    """
+    code = F.upper(strip(F.col("state")))
+    planned = tasks.groupBy(key, code.alias("state")).agg(F.lit(1).alias("has_task"))
+    whole = planned.groupBy(key).agg(F.max(F.coalesce("state", F.lit("")) == "").alias("any_state"))
+    asked = codes.select(key, "state").distinct()
+    silent = asked.select(key).distinct().join(told.select(key).distinct(), key, "left_anti")
+    silent = silent.join(whole.select(key), key, "left_anti")
+    by_state = asked.join(whole.where(~F.col("any_state")).select(key), key, "left_semi")
+    by_state = by_state.join(planned.select(key, "state"), [key, "state"], "left_anti")
+    by_state = by_state.join(told.select(key, "state"), [key, "state"], "left_anti")
+    nowhere = F.lit(None).cast("string").alias("state")
+    return silent.select(key, nowhere, F.lit("no task in plan").alias("reason")).unionByName(
+        by_state.select(key, "state", F.lit("no task for this state").alias("reason"))
+    )
+
+
 def with_state_name(df: DataFrame, column: str = "state") -> DataFrame:
     """Add ``state_name``; null for unknown codes."""
     names = states(df.sparkSession).select(
@@ -246,16 +268,13 @@ def with_instructions(tasks: DataFrame, instructions: DataFrame) -> DataFrame:
     if twice:
         raise ValueError(f"several instructions for {sorted(str(row.task_type) for row in twice)}")
     own = instructions.select("task_type", F.col("text").alias("own_text"))
-    fallback = instructions.where(F.col("task_type") == CITY_SEARCH).select(
-        F.col("task_type").alias("fallback_type"), F.col("text").alias("fallback_text")
-    )
-    needed = F.when(F.col("own_text").isNull(), CITY_SEARCH)
+    # One row, with or without a text: no task has to meet others of its kind for it.
+    fallback = instructions.agg(F.max(F.when(F.col("task_type") == CITY_SEARCH, F.col("text"))).alias("fallback_text"))
     return (
         tasks.join(own, "task_type", "left")
-        .withColumn("fallback_type", needed)
-        .join(fallback, "fallback_type", "left")
+        .join(F.broadcast(fallback))
         .withColumn("instruction", F.coalesce("own_text", "fallback_text", F.lit("")))
-        .drop("own_text", "fallback_type", "fallback_text")
+        .drop("own_text", "fallback_text")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebook.operators.dedupe import duplicate_counts
+from placebook.sources.documents import NO_PAYLOAD, UNREADABLE
 
 
 def by_state(listings: DataFrame) -> DataFrame:
@@ -50,9 +51,10 @@ def aggregation_summary(normalised: DataFrame, winners: DataFrame) -> DataFrame:
     """One row: readable input files, records found, unique records, duplicates removed.
 
     ``normalised`` marks one row per document, so files are counted without a distinct. A
-    document whose text was JSON counts even if its content could not be used.
+    document whose text was JSON counts even if its content could not be used; a reply without
+    a payload is no document.
     """
-    unreadable = F.col("problem").isin("encoding", "empty", "not json", "too long", "too deep")
+    unreadable = F.col("problem").isin(*UNREADABLE, NO_PAYLOAD)
     files = normalised.agg(
         F.count_if(F.col("first") & ~F.coalesce(unreadable, F.lit(False))).alias("input_files")
     )

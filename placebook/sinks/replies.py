@@ -1,15 +1,12 @@
-"""Tables of raw replies and of their parsed payloads."""
+"""Tables of raw replies and of what was found in them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.functions.once import with_once
-from placebook.functions.payload import reply_json
-from placebook.functions.truth import present_variant
-from placebook.operators.enrich import keyed, with_payload
-from placebook.session import prepare
+from placebook.operators.enrich import keyed
+from placebook.sources.documents import tag_replies
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -19,46 +16,65 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def save_replies(results: DataFrame, path: str, run_id: str, prefer: str = "array") -> None:
-    """Keep every raw text, and the payload where it holds something.
+    """Keep every raw text, and of each its payload or the reason that there is none.
 
     ``results`` are kept task results; see ``save_results``. Failed ones leave nothing. Replies
-    are known by ``task_key``, which is unique within a run.
+    are known by ``task_key``, which is unique within a run. ``parsed_replies`` has a row for every
+    raw text: either ``v`` or ``problem`` is null.
     """
     stamp = {"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}
     columns = ["saved_at", "run_id"]
-    results = keyed(results)
-    raw = results.where("success").withColumns(stamp)
-    _write(raw.select("task_key", "task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
-    parsed = with_payload(results, prefer).withColumns(stamp).where(present_variant("payload"))
-    parsed = parsed.select("task_key", "task_id", F.col("payload").alias("v"), *columns)
-    _write(parsed, f"{path}/parsed_replies")
+    good = keyed(results).where("success").withColumns(stamp)
+    _write(good.select("task_key", "task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
+    tagged = tag_replies(good.select("task_key", "task_id", "output", *columns), "output", prefer)
+    _write(tagged.select("task_key", "task_id", F.col("payload").alias("v"), "problem", *columns), f"{path}/parsed_replies")
 
 
-def _saved(spark: SparkSession, path: str, run_id: str | None) -> DataFrame:
-    """The replies of one run, or of all runs the last saved one of each key.
+def _chosen(rows: DataFrame, run_id: str | None, first: list[Column]) -> DataFrame:
+    """The replies of one run, or over all runs one of each key: the last saved, after ``first``.
 
-    The last one is found on narrow columns; runs saved at the same time go by their id.
+    It is found on narrow columns; runs saved at the same time go by their id.
     """
-    rows = spark.read.parquet(path)
     if run_id is not None:
         return rows.where(F.col("run_id") == run_id)
-    last = rows.groupBy("task_key").agg(F.max(F.struct("saved_at", "run_id")).alias("last"))
+    last = rows.groupBy("task_key").agg(F.max(F.struct(*first, "saved_at", "run_id")).alias("last"))
     last = last.select("task_key", "last.saved_at", "last.run_id")
     return rows.join(last, ["task_key", "saved_at", "run_id"], "left_semi")
 
 
 def read_raw_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    return _saved(spark, f"{path}/raw_replies", run_id)
+    return _chosen(spark.read.parquet(f"{path}/raw_replies"), run_id, [])
+
+
+def _file() -> Column:
+    return F.concat("task_key", F.lit(".json")).alias("file")
 
 
 def read_parsed_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """Saved payloads as ``(file, v)`` documents, ready to normalise."""
-    latest = _saved(spark, f"{path}/parsed_replies", run_id)
-    return latest.select(F.concat("task_key", F.lit(".json")).alias("file"), "v")
+    rows = spark.read.parquet(f"{path}/parsed_replies").where("problem IS NULL")
+    return _chosen(rows, run_id, []).select(_file(), "v")
+
+
+def read_reply_documents(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """``(file, v, problem)`` of all saved replies, those without a payload included.
+
+    Over all runs a reply with a payload goes before a later one without, as it does for
+    ``read_parsed_replies``.
+    """
+    rows = spark.read.parquet(f"{path}/parsed_replies")
+    usable = F.col("problem").isNull().alias("usable")
+    return _chosen(rows, run_id, [usable]).select(_file(), "v", "problem")
+
+
+def read_unusable_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """``(task_key, task_id, problem)`` of the replies without a payload; over all runs, of the last
+    reply of each key."""
+    rows = _chosen(spark.read.parquet(f"{path}/parsed_replies"), run_id, [])
+    return rows.where("problem IS NOT NULL").select("task_key", "task_id", "problem")
 
 
 def replayed(texts: DataFrame, prefer: str = "array") -> DataFrame:
-    """``(file, v)`` documents from kept raw texts, ``(task_id, value)``, without asking again."""
-    prepare(texts.sparkSession)
-    found = with_once(keyed(texts), payload=reply_json("value", prefer)).where(present_variant("payload"))
-    return found.select(F.concat("task_key", F.lit(".json")).alias("file"), F.col("payload").alias("v"))
+    """``(file, v, problem)`` documents from kept raw texts, ``(task_id, value)``, without asking again."""
+    tagged = tag_replies(keyed(texts).select("task_key", "value"), "value", prefer)
+    return tagged.select(_file(), F.col("payload").alias("v"), "problem")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.once import with_once
-from placebook.functions.payload import strict_json
+from placebook.functions.payload import reply_json, strict_json
+from placebook.functions.truth import present_variant
 from placebook.session import prepare
 
 
@@ -30,7 +31,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 LONGEST_STRING, DEEPEST_NESTING = 20_000_000, 1000
 
 
-def _depth(text: str) -> Column:
+def _depth(text: Column) -> Column:
     """Levels of nesting of a text, brackets inside strings left out."""
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"?', "")
     steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
@@ -44,29 +45,57 @@ def _depth(text: str) -> Column:
     )["most"]
 
 
+# Why a text gives no value, and, of replies, why a value is no payload.
+UNREADABLE = ["encoding", "empty", "not json", "too long", "too deep"]
+NO_PAYLOAD = "nothing in it"
+
+
+def why_unread(text: str, nested: Column, could_nest: Column) -> Column:
+    """Which of ``UNREADABLE`` holds for a text without a JSON value.
+
+    A text beyond the parser's limits is told from one that is no JSON; the depth of ``nested``
+    is counted only where it could be deep enough.
+    """
+    openers = F.length(text) - F.length(F.translate(text, "[{", ""))
+    deep = (F.length(text) > DEEPEST_NESTING) & could_nest & (openers > DEEPEST_NESTING) & (_depth(nested) > DEEPEST_NESTING)
+    return (
+        F.when(~F.is_valid_utf8(text), "encoding")
+        .when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
+        .when(F.length(text) > LONGEST_STRING, "too long")
+        .when(deep, "too deep")
+        .otherwise("not json")
+    )
+
+
 def parse_texts(texts: DataFrame) -> DataFrame:
     """``(file, v, problem)``: the JSON value of each text, or why there is none.
 
-    Files whose stem ends in ``_raw`` are skipped. A text beyond the parser's limits is told from
-    one that is no JSON; depth is counted only where a text could be deep enough.
+    Files whose stem ends in ``_raw`` are skipped.
     """
     prepare(texts.sparkSession)
     named = texts.where(~F.col("file").rlike(r"_raw\.[^.]*$"))
-    valid = F.is_valid_utf8("value")
-    parsed = with_once(named, v=F.when(valid, strict_json("value")))
+    parsed = with_once(named, v=F.when(F.is_valid_utf8("value"), strict_json("value")))
     starts = F.ltrim("value").substr(1, 1).isin("[", "{")
-    openers = F.length("value") - F.length(F.translate("value", "[{", ""))
-    problem = (
-        F.when(F.col("v").isNotNull(), F.lit(None).cast("string"))
-        .when(~valid, "encoding")
-        .when(F.length("value") == 0, "empty")
-        .when(F.length("value") > LONGEST_STRING, "too long")
-        .when((F.length("value") > DEEPEST_NESTING) & starts & (openers > DEEPEST_NESTING) & (_depth("value") > DEEPEST_NESTING), "too deep")
-        .otherwise("not json")
-    )
+    problem = F.when(F.col("v").isNull(), why_unread("value", F.col("value"), starts))
     return parsed.select("file", "v", problem.alias("problem"))
 
 
+def tag_replies(replies: DataFrame, text: str, prefer: str = "array") -> DataFrame:
+    """``replies`` with ``payload``, or with the ``problem`` that leaves a reply without one.
+
+    A payload is a value with something in it: an empty list or object, an empty text, zero, false
+    and null are none. Every reply is parsed once and none is left out.
+    """
+    prepare(replies.sparkSession)
+    found = with_once(replies, payload=F.when(F.is_valid_utf8(text), reply_json(text, prefer)))
+    # What could be nested starts at the first bracket of any kind.
+    bracket = F.regexp_instr(F.col(text), F.lit(r"[\[{]"))
+    unread = why_unread(text, F.substr(F.col(text), F.greatest(bracket, F.lit(1))), bracket > 0)
+    problem = F.when(F.col("payload").isNull(), unread).when(~F.expr(present_variant("payload")), NO_PAYLOAD)
+    tagged = with_once(found, problem=problem)
+    return tagged.withColumn("payload", F.when(F.col("problem").isNull(), F.col("payload")))
+
+
 def scan_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Every document of a folder with its value, or with the reason it cannot be read."""
     return parse_texts(read_texts(spark, path, pattern))

@@ -14,13 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from placebook.functions.once import with_once
-from placebook.functions.payload import reply_json
 from placebook.operators.dedupe import dedupe, merge_winners
 from placebook.operators.normalise import listings, normalise, rejected
 from placebook.plans.directory import standardise_contacts
-from placebook.session import prepare
-from placebook.sources.documents import parse_texts, source_name
+from placebook.sources.documents import parse_texts, source_name, tag_replies
 
 ORDER = ["file", "pos"]
 
@@ -90,10 +87,7 @@ def keep_directory(
 
 def _replied(texts: DataFrame, prefer: str) -> DataFrame:
     """``(file, v, problem)`` of raw replies."""
-    prepare(texts.sparkSession)
-    found = with_once(texts, v=reply_json("value", prefer))
-    problem = F.when(F.col("v").isNull(), "not json")
-    return found.select("file", "v", problem.alias("problem"))
+    return tag_replies(texts, "value", prefer).select("file", F.col("payload").alias("v"), "problem")
 
 
 def read_rejected(spark: SparkSession, store: str) -> DataFrame:

@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from placebook.fixed_values import CSV_COLUMNS
 from placebook.operators.dedupe import dedupe
-from placebook.operators.enrich import run_in_waves, run_tasks, save_results, with_payload
+from placebook.operators.enrich import kept_results, run_kept, run_tasks, save_results, with_payload
 from placebook.operators.normalise import listings, normalise
 from placebook.operators.rollup import failed_tasks, run_stats
-from placebook.plans.directory import build_directory
+from placebook.plans.directory import build_directory, directory_of
 from placebook.plans.research import run_research
 from placebook.sinks.exports import export, export_csv, export_json_document, read_csv, read_json
-from placebook.sinks.replies import read_parsed_replies, read_raw_replies, save_replies
+from placebook.sinks.replies import (
+    read_parsed_replies,
+    read_raw_replies,
+    read_reply_documents,
+    read_unusable_replies,
+    replayed,
+    save_replies,
+)
 from placebook.sources.targets import TARGET_SCHEMA
+from placebook.streaming.replies import keep_directory, read_rejected
 
 
 def _work():
@@ -51,27 +59,77 @@ def test_whole_numbers_and_nulls_reach_the_work(spark, tmp_path):
     assert {r.task_id: r.output for r in kept.collect()} == {"a": "(1, None, ['x'])", "b": "(None, 2, None)"}
 
 
-def test_a_broken_run_goes_on(spark, tmp_path):
-    calls = str(tmp_path / "calls")
-    os.mkdir(calls)
+def _counted(calls, fails):
+    """Work that notes every call; ``fails(task, times)`` says what happens before it answers."""
 
     def work(task):
         name = f"{calls}/{task['task_id']}"
         times = len(glob.glob(f"{name}-*"))
         open(f"{name}-{times}", "w").close()
-        if task["task_id"] == "t17" and not times:  # ends the worker, and with it the wave
-            os._exit(1)
+        fails(task, times)
         return "done"
 
-    tasks = spark.range(30).select(F.concat(F.lit("t"), "id").alias("task_id"))
+    return work
+
+
+def _calls(calls):
+    names = [os.path.basename(p).rsplit("-", 1)[0] for p in glob.glob(f"{calls}/*")]
+    return {name: names.count(name) for name in names}
+
+
+def test_a_run_ended_inside_a_slice_loses_that_slice_only(spark, tmp_path):
+    calls, path = str(tmp_path / "calls"), str(tmp_path / "r")
+    os.mkdir(calls)
+
+    def fails(task, times):
+        if task["task_id"] == "t17" and not times:
+            os._exit(1)  # ends the worker, and with it the run
+
+    work = _counted(calls, fails)
+    tasks = spark.range(60).select(F.concat(F.lit("t"), "id").alias("task_id"), F.lit(None).cast("string").alias("note"))
     with pytest.raises(Exception):
-        run_in_waves(tasks, work, 2, str(tmp_path / "r"), waves=6)
-    finished = {r.task_id for r in spark.read.parquet(str(tmp_path / "r")).collect()}
-    assert 0 < len(finished) < 30 and "t17" not in finished
-    before = {t: len(glob.glob(f"{calls}/{t}-*")) for t in finished}
-    kept = run_in_waves(tasks, work, 2, str(tmp_path / "r"), waves=6)
-    assert kept.count() == 30 and kept.select("task_key").distinct().count() == 30
-    assert before == {t: len(glob.glob(f"{calls}/{t}-*")) for t in finished}
+        run_kept(tasks, work, 2, path, slice_rows=8)
+    slices = {r.file: r.ids for r in spark.read.parquet(f"{path}/attempt=1/tasks").groupBy(F.input_file_name().alias("file")).agg(F.collect_set("task_id").alias("ids")).collect()}
+    assert len(slices) >= 6
+    broken = next(set(ids) for ids in slices.values() if "t17" in ids)
+    finished = {r.task_id for r in kept_results(spark, path, 1).collect()}
+    assert "t17" not in finished and finished.isdisjoint(broken)
+    kept = run_kept(tasks, work, 2, path, slice_rows=8)
+    assert {r.task_key: r.success for r in kept.collect()} == {f"t{i}": True for i in range(60)} and kept.count() == 60
+    twice = {name for name, times in _calls(calls).items() if times > 1}
+    assert twice <= broken and "t17" in twice
+    before = _calls(calls)
+    assert run_kept(tasks, work, 2, path, slice_rows=8).count() == 60 and _calls(calls) == before
+
+
+def test_failed_tasks_are_asked_again_on_request(spark, tmp_path):
+    calls, path = str(tmp_path / "calls"), str(tmp_path / "r")
+    os.mkdir(calls)
+
+    def fails(task, times):
+        assert task["attempt"] == times + 1
+        if times < int(task["task_id"]) % 4:
+            raise TimeoutError(f"try {times}")
+
+    work, tasks = _counted(calls, fails), spark.range(20).select(F.col("id").cast("string").alias("task_id"))
+
+    def outcomes(kept):
+        return {int(r.task_id): (r.success, r.error, r.attempt) for r in kept.collect()}
+
+    first = run_kept(tasks, work, 2, path)
+    assert outcomes(first) == {i: (i % 4 == 0, "try 0" if i % 4 else None, 1) for i in range(20)}
+    # The tasks are those of the first call, even if another call would plan others.
+    last = run_kept(tasks.where("false"), work, 2, path, attempts=3)
+    assert outcomes(last) == {i: (i % 4 < 3, None if i % 4 < 3 else "try 2", min(i % 4, 2) + 1) for i in range(20)}
+    assert _calls(calls) == {str(i): min(i % 4, 2) + 1 for i in range(20)} and last.count() == 20
+
+
+def test_tasks_without_a_key_of_their_own_are_refused(spark, tmp_path):
+    for ids, named in ((["a", "b", "a"], "'a'"), (["a", None], "None")):
+        tasks = spark.createDataFrame([(i,) for i in ids], "task_id string")
+        with pytest.raises(ValueError, match=f"of their own: .*{named}"):
+            run_kept(tasks, lambda task: "x", 2, str(tmp_path / "r"))
+    assert run_kept(tasks.where("false"), lambda task: "x", 2, str(tmp_path / "none")).count() == 0
 
 
 def test_stats(spark):
@@ -97,6 +155,41 @@ def test_saved_replies(spark, tmp_path):
     parsed = read_parsed_replies(spark, path).select("file", F.to_json("v").alias("j")).collect()
     # A reply without a payload leaves the payload of an earlier run in place.
     assert {r.file: r.j for r in parsed} == {"a.json": '[{"company_name":"A"}]', "e.json": '{"x":3}'}
+    unusable = {(r.task_key, r.problem) for r in read_unusable_replies(spark, path).collect()}
+    nothing = {(key, "nothing in it") for key in "cdf"}
+    assert unusable == nothing | {("a", "not json"), ("b", "not json")}
+    assert {r.task_key for r in read_unusable_replies(spark, path, "2").collect()} == {"a"}
+    documents = {r.file: (r.j, r.problem) for r in read_reply_documents(spark, path).select("file", F.to_json("v").alias("j"), "problem").collect()}
+    assert documents["a.json"] == ('[{"company_name":"A"}]', None) and documents["c.json"] == (None, "nothing in it")
+    assert len(documents) == 6
+
+
+REASONS = {
+    "fine": ('Here: {"company_name": "A"}', None),
+    "nul": (None, "empty"),
+    "none": ("", "empty"),
+    "prose": ("I found nothing [yet].", "not json"),
+    "list": ("Sorry: []", "nothing in it"),
+    "zero": (" 0 ", "nothing in it"),
+    "deep": ("Found: " + "[" * 1200 + "]" * 1200, "too deep"),
+    "flat": ("[ " * 1200 + "Found", "not json"),
+}
+
+
+def test_runs_replays_and_streams_give_the_same_reasons(spark, tmp_path):
+    want = {(f"{key}.json", problem) for key, (_, problem) in REASONS.items() if problem}
+    want = (want - {("flat.json", "not json")}) | {("flat.json", "too deep")}  # opens 1,200 levels, whatever follows
+    texts = spark.createDataFrame([(key, text) for key, (text, _) in REASONS.items()], "task_id string, value string")
+    assert {(r.file, r.problem) for r in replayed(texts).where("problem IS NOT NULL").collect()} == want
+    save_replies(texts.select("task_id", F.lit(True).alias("success"), F.col("value").alias("output")), f"{tmp_path}/r", "1")
+    kept = directory_of(read_reply_documents(spark, f"{tmp_path}/r", "1"), f"{tmp_path}/d", ())
+    assert {(r.file, r.problem) for r in kept.rejected.collect()} == want
+    assert tuple(kept.summary.first()) == (1, 1, 1, 0)
+    named = texts.select(F.concat("task_id", F.lit(".json")).alias("file"), "value")
+    named.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(named.schema).parquet(f"{tmp_path}/in")
+    keep_directory(stream, f"{tmp_path}/s", f"{tmp_path}/c", prefer="array").awaitTermination()
+    assert {(r.file, r.problem) for r in read_rejected(spark, f"{tmp_path}/s").collect()} == want
 
 
 AWKWARD = [
@@ -248,3 +341,36 @@ def test_targets_share_cities_and_lose_nothing(spark, tmp_path):
     assert tuple(again.summary.first().aggregation) == (24, 24, 24, 0)
     with pytest.raises(ValueError, match="twice"):
         run_research(requests.union(requests), none, work, str(tmp_path / "b"), "r")
+
+
+def test_every_request_has_a_task_or_a_reason(spark, tmp_path):
+    plans = {
+        "prose": "I cannot plan this.",
+        "empty": "[]",
+        "object": '{"city": "Waco"}',
+        "strays": "[1, null]",
+        "part": '[{"city": "Waco", "state": " tx"}, 7]',
+        "open": '[{"task_type": "company_research", "company_name": "A"}]',
+    }
+
+    def work(task):
+        if task["task_type"] == "planning":
+            if task["target_id"] == "late":
+                raise TimeoutError("timed out")
+            return plans[task["target_id"]]
+        return "[]" if task["target_id"] == "open" else '[{"company_name": "B"}]'
+
+    rows = [(name, "TX,CA", None, None, None) for name in [*plans, "late"]] + [("bad", "ZZ", None, None, None)]
+    requests = spark.createDataFrame(rows, TARGET_SCHEMA)
+    none = spark.createDataFrame([], "task_type string, text string")
+    run = run_research(requests, none, work, str(tmp_path), "r", concurrency=2, ask_planner=True, formats=())
+    got = {(r.target_id, r.state, r.reason) for r in run.rejected.collect()}
+    stray = ("task is not an object", "task for this state")
+    assert got == {
+        ("prose", None, "no task in plan"), ("empty", None, "no task in plan"), ("object", None, "plan is not a list"),
+        ("strays", None, stray[0]), ("part", None, stray[0]), ("part", "CA", f"no {stray[1]}"),
+        ("late", None, "no plan: timed out"), ("bad", "ZZ", "unknown state"),
+    }
+    assert [(r.task_id, r.problem) for r in run.unusable.collect()] == [("task_0", "nothing in it")]
+    assert [r.problem for r in run.directory.rejected.collect()] == ["nothing in it"]
+    assert tuple(run.summary.first().aggregation) == (1, 1, 1, 0)
