@@ -9,16 +9,15 @@ from placebook.catalog.base import Book, derive, filled_sql, key_sql, plain
 from placebook.catalog.files import SUPPLIER_DOCUMENTS, supplier_folder
 from placebook.catalog.shapes import BAD_DOCUMENTS, REJECTS_SQL
 from placebook.session import fresh_path
+from placebook.sinks.exports import read_csv
 from placebook.streaming.replies import (
-    compact,
     each_batch,
     keep_directory,
     keep_progress,
-    read_directory,
     read_progress,
-    read_rejected,
     reply_stream,
 )
+from placebook.streaming.store import compact, publish, read_directory, read_rejected
 
 BOOK = Book()
 
@@ -75,6 +74,23 @@ def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(read_directory(spark, store))
 
 
+@BOOK.query(f"""
+WITH rows AS ({plain(_PART_ROWS)}),
+kept AS (SELECT upper(state) AS state, max(city) AS city FROM (SELECT *, {key_sql('company_name', 'city', 'state')} AS k FROM rows)
+  GROUP BY k, upper(state))
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM part) AS input_files,
+       (SELECT CAST(count(*) AS BIGINT) FROM rows) AS total_records_found, CAST(count(*) AS BIGINT) AS unique_records,
+       (SELECT CAST(count(*) AS BIGINT) FROM rows) - CAST(count(*) AS BIGINT) AS duplicates_removed,
+       CAST(count(DISTINCT city) AS BIGINT) AS cities, CAST(count(*) AS BIGINT) AS exported
+FROM kept""")
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary, cities and exports of a store that a stream has filled."""
+    built = publish(spark, _kept(spark, sf_dir), fresh_path(spark, "published"), ("csv",))
+    cities = built.by_state.groupBy().agg(F.max("cities").alias("cities"))
+    exported = read_csv(spark, built.output_files[0]).groupBy().agg(F.count("*").alias("exported"))
+    return built.summary.join(F.broadcast(cities)).join(F.broadcast(exported))
+
+
 @BOOK.query(f"""
 WITH docs AS ({plain(BAD_DOCUMENTS)}),
 numbered AS (SELECT file, value, CAST(replace(replace(file, 'doc', ''), '.json', '') AS BIGINT) % 13 AS kind
@@ -87,7 +103,7 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts.repartition(6).write.parquet(folder)
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     store = fresh_path(spark, "store")
-    keep_directory(stream, store, fresh_path(spark, "progress"), compact_every=2).awaitTermination()
+    keep_directory(stream, store, fresh_path(spark, "progress"), merge_every=2).awaitTermination()
     return read_rejected(spark, store).select("file", F.col("pos").cast("bigint").alias("pos"), "problem")
 
 

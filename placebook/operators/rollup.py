@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placebook.operators.dedupe import duplicate_counts
@@ -54,11 +54,14 @@ def aggregation_summary(normalised: DataFrame, winners: DataFrame) -> DataFrame:
     document whose text was JSON counts even if its content could not be used; a reply without
     a payload is no document.
     """
+    files = normalised.agg(readable_files().alias("input_files"))
+    return side_by_side(files, duplicate_counts(winners))
+
+
+def readable_files() -> Column:
+    """Number of documents with a value, as an aggregate over normalised rows."""
     unreadable = F.col("problem").isin(*UNREADABLE, NO_PAYLOAD)
-    files = normalised.agg(
-        F.count_if(F.col("first") & ~F.coalesce(unreadable, F.lit(False))).alias("input_files")
-    )
-    return _side_by_side(files, duplicate_counts(winners))
+    return F.count_if(F.col("first") & ~F.coalesce(unreadable, F.lit(False)))
 
 
 def run_summary(stats: DataFrame, planned: DataFrame, aggregation: DataFrame | None) -> DataFrame:
@@ -73,16 +76,16 @@ def run_summary(stats: DataFrame, planned: DataFrame, aggregation: DataFrame | N
         F.col("failed").alias("tasks_failed"),
         F.col("total_time").alias("execution_time"),
     )
-    summary = _side_by_side(planned, executed)
+    summary = side_by_side(planned, executed)
     if aggregation is None:
         empty = "struct<input_files:bigint,total_records_found:bigint,unique_records:bigint,"
         empty += "duplicates_removed:bigint>"
         return summary.withColumn("aggregation", F.lit(None).cast(empty))
     block = aggregation.select(F.struct(*aggregation.columns).alias("aggregation"))
-    return _side_by_side(summary, block)
+    return side_by_side(summary, block)
 
 
-def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
     """Put two one-row results with different columns into one row."""
     both = left.unionByName(right, allowMissingColumns=True)
     return both.agg(*[F.max(name).alias(name) for name in both.columns])

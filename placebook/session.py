@@ -39,8 +39,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
+
+
 def has_files(spark: SparkSession, pattern: str) -> bool:
     """Whether any file or folder has a path like ``pattern``, on any file system Spark knows."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    system, name = _file_system(spark, pattern)
+    found = system.globStatus(name)
     return found is not None and len(found) > 0
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the package's own; nothing happens if it is gone already."""
+    system, name = _file_system(spark, folder)
+    system.delete(name, True)

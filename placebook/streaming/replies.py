@@ -1,25 +1,15 @@
-"""Reply files as a stream: incremental directory, progress, and a handler per batch.
-
-The directory is a log. Every micro-batch adds its own winners, already reduced to one row per
-business, and reading merges them. A batch costs what it brings, not what is stored, and no
-state is held between batches. ``compact`` keeps the log short.
-"""
+"""Reply files as a stream: incremental directory, progress, and a handler per batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from placebook.operators.dedupe import dedupe, merge_winners
-from placebook.operators.normalise import listings, normalise, rejected
-from placebook.plans.directory import standardise_contacts
 from placebook.sources.documents import parse_texts, source_name, tag_replies
-
-ORDER = ["file", "pos"]
+from placebook.streaming.store import add_batch
 
 
 def reply_stream(
@@ -56,31 +46,18 @@ def keep_directory(
     store: str,
     checkpoint: str,
     every: str | None = None,
-    standardise: bool = False,
-    mode: str = "substring",
-    compact_every: int = 50,
     prefer: str | None = None,
+    **options,
 ) -> StreamingQuery:
-    """Fold the documents of a text stream into the directory log at ``store``.
+    """Fold the documents of a text stream into the directory at ``store``.
 
     With ``prefer`` the texts are raw replies, from which the payload is cut first. What cannot
-    be used goes to ``read_rejected`` with the reason. The log is merged every ``compact_every``
-    batches, so a reader has at most that many parts and one base to look at.
+    be used goes to ``store.read_rejected`` with the reason. ``options`` go to ``store.add_batch``.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         documents = parse_texts(batch) if prefer is None else _replied(batch, prefer)
-        rows = normalise(documents)
-        # Parsed once; a batch that comes again replaces what its first try left.
-        rows.write.mode("overwrite").parquet(f"{store}/records/batch={batch_id}")
-        rows = spark.read.parquet(f"{store}/records/batch={batch_id}")
-        found = standardise_contacts(listings(rows)) if standardise else listings(rows)
-        dedupe(found, ORDER, mode).write.mode("overwrite").parquet(f"{store}/log/batch={batch_id}")
-        rejected(rows).write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
-        _commit(spark, store, "log", batch_id)
-        if (batch_id + 1) % compact_every == 0:
-            compact(spark, store)
+        add_batch(documents, batch_id, store, **options)
 
     return each_batch(texts, fold, checkpoint, every)
 
@@ -90,48 +67,6 @@ def _replied(texts: DataFrame, prefer: str) -> DataFrame:
     return tag_replies(texts, "value", prefer).select("file", F.col("payload").alias("v"), "problem")
 
 
-def read_rejected(spark: SparkSession, store: str) -> DataFrame:
-    """``(file, pos, problem)`` of all that could not be used so far."""
-    return spark.read.parquet(f"{store}/rejected").drop("batch")
-
-
-def _commit(spark: SparkSession, store: str, part: str, upto: int) -> None:
-    """Note that a part is written whole; readers look at noted parts only."""
-    note = spark.range(1).select(F.lit(part).alias("part"), F.lit(upto).cast("long").alias("upto"))
-    note.write.mode("append").parquet(f"{store}/commits")
-
-
-def _committed(spark: SparkSession, store: str) -> tuple[int | None, list[int]]:
-    """Newest compaction, and the batches behind it. One number per batch since then."""
-    try:
-        commits = spark.read.parquet(f"{store}/commits")
-    except AnalysisException:
-        return None, []
-    base = commits.where("part = 'base'").agg(F.max("upto")).first()[0]
-    log = commits.where((F.col("part") == "log") & (F.col("upto") > F.lit(-1 if base is None else base)))
-    return base, sorted(row.upto for row in log.select("upto").distinct().collect())
-
-
-def read_directory(spark: SparkSession, store: str) -> DataFrame:
-    """The directory over everything folded in so far."""
-    base, batches = _committed(spark, store)
-    paths = [f"{store}/log/batch={batch}" for batch in batches]
-    if base is not None:
-        paths.append(f"{store}/base/upto={base}")
-    if not paths:
-        raise ValueError(f"nothing has been folded into {store} yet")
-    return merge_winners(spark.read.parquet(*paths).drop("batch", "upto"), ORDER)
-
-
-def compact(spark: SparkSession, store: str) -> None:
-    """Merge the log into one table; later reads start from there."""
-    base, batches = _committed(spark, store)
-    if batches:
-        merged = read_directory(spark, store)
-        merged.write.mode("overwrite").parquet(f"{store}/base/upto={batches[-1]}")
-        _commit(spark, store, "base", batches[-1])
-
-
 def progress_counts(results: DataFrame) -> DataFrame:
     """One row of done, succeeded and failed tasks; on a stream for complete mode."""
     return results.groupBy().agg(

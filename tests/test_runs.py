@@ -26,7 +26,8 @@ from placebook.sinks.replies import (
     save_replies,
 )
 from placebook.sources.targets import TARGET_SCHEMA
-from placebook.streaming.replies import keep_directory, read_rejected
+from placebook.streaming.replies import keep_directory
+from placebook.streaming.store import read_rejected
 
 
 def _work():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placebook.plans.directory import directory_of
 from placebook.sinks.replies import replayed
 from placebook.streaming import replies as stream
+from placebook.streaming import store as kept
 
 
 def _reply(city, state, *businesses):
@@ -67,11 +68,11 @@ def test_a_long_stream_stays_short(spark, tmp_path):
     )
     rows.repartition(12, "file").write.option("maxRecordsPerFile", 1).parquet(folder)
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    stream.keep_directory(source, store, str(tmp_path / "c"), compact_every=4).awaitTermination()
-    base, live = stream._committed(spark, store)
-    assert base is not None and len(live) < 4
-    found = stream.read_directory(spark, store)
+    stream.keep_directory(source, store, str(tmp_path / "c"), merge_every=4).awaitTermination()
+    live = kept.manifest(spark, store).live()
+    assert [p.level for p in live] == [1, 1, 1] and sum(p.files for p in live) == 12
+    found = kept.read_directory(spark, store)
     assert sorted((r.company_name, r.sightings) for r in found.collect()) == [
         ("Firm 0", 3), ("Firm 1", 3), ("Firm 2", 2), ("Firm 3", 2), ("Firm 4", 2),
     ]
-    assert stream.read_rejected(spark, store).count() == 12
+    assert kept.read_rejected(spark, store).count() == 12
