@@ -23,9 +23,10 @@ from placebook.llm import (
     virtual_slots,
     winnowing,
 )
-from placebook.llm.shared import fresh_folder, read
+from placebook.llm.shared import fresh_folder, read, read_if_there
 
 END = 2
+LABELS = "doc_id long, quality int"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +60,9 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, compression ratio and verdict of every document."""
-    return compression_bands.judged(read(spark, sf_dir, "documents"))
+    """Base counts, compression ratio and verdict of every document, by limits from the labels beside them."""
+    docs, labels = read(spark, sf_dir, "documents"), read_if_there(spark, sf_dir, "labels", LABELS)
+    return compression_bands.judged(docs, compression_bands.fitted(docs, labels))
 
 
 def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

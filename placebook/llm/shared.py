@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placebook.session import has_files
+
 #: Where a session without ``spark.checkpoint.dir`` keeps its tables; for one machine only.
 LOCAL_FOLDER = "file:///tmp/checkpoints/placebook-llm"
 
@@ -37,10 +39,11 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def size_of(spark: SparkSession, sf_dir: str, table: str) -> int:
-    """Bytes of a table's files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{table}.parquet")
-    return files.agg(F.sum("length")).first()[0] or 0
+def read_if_there(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    """A table, or an empty one of ``schema`` where there is none."""
+    if has_files(spark, f"{sf_dir}/{table}.parquet"):
+        return read(spark, sf_dir, table)
+    return spark.createDataFrame([], schema)
 
 
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:

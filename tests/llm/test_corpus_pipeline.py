@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from placebook.llm.compression_bands import accepted, judged
+from placebook.llm.compression_bands import accepted, fitted, judged
 from tests.llm import test_blob_ledger, test_compression_bands, test_forest_join, test_hierarchical_packing, test_winnowing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,14 +35,16 @@ def folder(spark, rows, tmp_path_factory):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     more = spark.createDataFrame([(None if r[0] is None else r[0] + 1000, *r[1:]) for r in awkward(rows)], given.schema)
     given.unionByName(more).write.parquet(f"{where}/documents.parquet")
-    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{where}/benchmark.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{where}/{name}.parquet")
     return str(where)
 
 
 def expected(spark, folder):
     """Rows (doc_id, text, n_chars) before packing, by brute force."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    verdict = {(r.doc_id, r.kept) for r in judged(docs).collect()}
+    bands = fitted(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    verdict = {(r.doc_id, r.kept) for r in judged(docs, bands).collect()}
     rows = [r for r in docs.collect() if (r.doc_id, True) in verdict]
     assert all(not test_compression_bands.expected(r.text)[-1] for r in rows)
     far = 10**9  # a null id comes first
@@ -67,10 +69,15 @@ def test_stages_equal_brute_force(spark, folder):
     assert got == sorted(want, key=str)
     assert [(r.doc_id, r.n_chars, len(r.text)) for r in docs.where("doc_id is not null").collect() if r.n_chars != len(r.text)] == []
     assert sum("[secret]" in t for _, t in got) >= 1
-    pieces = corpus_pipeline.run(spark, folder).collect()
-    numbered = [(doc if doc is not None else -1, text) for doc, text in want]
-    test_hierarchical_packing.check([r for r in pieces if r.doc_id is not None], [r for r in numbered if r[0] >= 0])
-    assert {r.doc_id for r in pieces} == {doc for doc, _ in want}
+    # The piece of the document without an id counts as well: it may lie inside a sequence.
+    pieces = corpus_pipeline.run(spark, folder).fillna(-1, ["doc_id"]).collect()
+    assert any(doc is None for doc, _ in want)
+    test_hierarchical_packing.check(pieces, [(-1 if doc is None else doc, text) for doc, text in want])
+
+
+def test_a_folder_without_labels(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).collect() == accepted(docs).collect()
 
 
 def test_stages_take_empty_tables(spark, folder):
@@ -82,11 +89,3 @@ def test_stages_take_empty_tables(spark, folder):
 def test_accepted_rows_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, " ".join(f"a{i * 7919 % 1009}" for i in range(90)), [1, 2], "k")], "doc_id int, text string, ids array<int>, kept string")
     assert accepted(docs).collect() == docs.collect()
-
-
-def test_packed_pieces_of_all_documents_leave_no_gap(spark, folder):
-    """The piece of the document without an id counts as well; it may lie inside a sequence."""
-    want = [(-1 if doc is None else doc, text) for doc, text in expected(spark, folder)]
-    assert any(doc == -1 for doc, _ in want)
-    pieces = corpus_pipeline.run(spark, folder).fillna(-1, ["doc_id"]).collect()
-    test_hierarchical_packing.check(pieces, want)
