@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from placebook.llm import blob_ledger, compression_bands, forest_join, hierarchical_packing, winnowing
-from placebook.llm.shared import fresh_folder, kept, read
+from placebook.llm.shared import fresh_folder, kept, read, read_if_there
 
 END = 2
 
@@ -23,7 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return compression_bands.accepted(docs)
+    labels = read_if_there(spark, sf_dir, "labels", "doc_id long, quality int")
+    return compression_bands.accepted(docs, compression_bands.fitted(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
