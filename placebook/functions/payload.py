@@ -47,37 +47,30 @@ def _strict(text: str) -> str:
 
 
 def _widest(text: str, opening: str, closing: str) -> str:
-    first = f"instr(whole, '{opening}')"
-    last = f"length(whole) - length(substring_index(whole, '{closing}', -1))"
-    return let(
-        "whole",
-        text,
-        f"""CASE WHEN {first} > 0 AND {last} > {first}
-            THEN substring(whole, {first}, {last} - {first} + 1) END""",
-    )
+    # One greedy pass to the first opening bracket, to the end, and back to the last closing one. Without
+    # the anchor a text of opening brackets only would be searched once from each of them.
+    pattern = f"(?s)^[^\\{opening}]*+(\\{opening}.*\\{closing})"
+    return f"nullif(regexp_extract({text}, r'{pattern}', 1), '')"
 
 
 def _balanced(text: str, opening: str, closing: str) -> str:
-    # The rest of the text is cut at closing brackets. After piece i the brackets balance when
-    # the pieces so far hold i + 1 openings, so the fold runs once per closing bracket and not
+    # Most spans hold no further bracket of their kind and end at the next closing one.
+    plain = f"(?s)^[^\\{opening}]*+(\\{opening}[^\\{opening}\\{closing}]*+\\{closing})"
+    # Of others the rest of the text is cut at closing brackets. After piece i the brackets balance
+    # when the pieces so far hold i + 1 openings, so the fold runs once per closing bracket and not
     # once per character. The piece after the last closing bracket has none behind it.
     pieces = f"split(rest, r'\\{closing}')"
     opened = f"length(piece) - length(replace(piece, '{opening}', ''))"
     step = f"""named_struct(
         'open', state.open + {opened} - 1,
         'read', state.read + length(piece) + 1,
-        'end', CASE WHEN state.end IS NOT NULL THEN state.end
-                    WHEN state.open + {opened} = 1 THEN state.read + length(piece) + 1 END)"""
+        'end', CASE WHEN state.open + {opened} = 1 THEN state.read + length(piece) + 1 END)"""
     end = f"""aggregate(slice({pieces}, 1, size({pieces}) - 1),
         named_struct('open', 0, 'read', 0, 'end', CAST(NULL AS INT)),
-        (state, piece) -> {step}, state -> state.end)"""
-    rest = let(
-        "whole", text, f"CASE WHEN instr(whole, '{opening}') > 0 "
-        f"THEN substring(whole, instr(whole, '{opening}')) END",
-    )
-    return let(
-        "rest", rest, f"CASE WHEN contains(rest, '{closing}') THEN substring(rest, 1, {end}) END"
-    )
+        (state, piece) -> IF(state.end IS NOT NULL, state, {step}), state -> state.end)"""
+    rest = f"nullif(regexp_extract({text}, r'(?s)^[^\\{opening}]*+(\\{opening}.*\\{closing})', 1), '')"
+    nested = let("rest", rest, f"CASE WHEN rest IS NOT NULL THEN substring(rest, 1, {end}) END")
+    return f"coalesce(nullif(regexp_extract({text}, r'{plain}', 1), ''), {nested})"
 
 
 def _from_slices(text: str, cut: Callable[[str, str, str], str]) -> str:
