@@ -59,11 +59,16 @@ def merge_winners(winners: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def duplicate_counts(winners: DataFrame) -> DataFrame:
-    """One row: records found, unique records, duplicates removed."""
+def duplicate_numbers() -> list[Column]:
+    """Records found, unique records and duplicates removed, as aggregates over winners."""
     total = F.coalesce(F.sum(SIGHTINGS), F.lit(0)).cast("bigint")
-    return winners.agg(
+    return [
         total.alias("total_records_found"),
         F.count("*").alias("unique_records"),
         (total - F.count("*")).alias("duplicates_removed"),
-    )
+    ]
+
+
+def duplicate_counts(winners: DataFrame) -> DataFrame:
+    """One row of ``duplicate_numbers``."""
+    return winners.agg(*duplicate_numbers())

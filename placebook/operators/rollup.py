@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.operators.dedupe import duplicate_counts
 from placebook.sources.documents import NO_PAYLOAD, UNREADABLE
 
 
@@ -47,23 +46,21 @@ def failed_tasks(results: DataFrame) -> DataFrame:
     return results.where(~F.col("success")).select("task_id")
 
 
-def aggregation_summary(normalised: DataFrame, winners: DataFrame) -> DataFrame:
-    """One row: readable input files, records found, unique records, duplicates removed.
+def readable_files() -> Column:
+    """Number of documents with a value, as an aggregate over normalised rows.
 
-    ``normalised`` marks one row per document, so files are counted without a distinct. A
-    document whose text was JSON counts even if its content could not be used; a reply without
-    a payload is no document.
+    One row is marked per document, so files are counted without a distinct. A document whose text
+    was JSON counts even if its content could not be used; a reply without a payload is no document.
     """
-    files = normalised.agg(readable_files().alias("input_files"))
-    return side_by_side(files, duplicate_counts(winners))
-
-
-def readable_files() -> Column:
-    """Number of documents with a value, as an aggregate over normalised rows."""
     unreadable = F.col("problem").isin(*UNREADABLE, NO_PAYLOAD)
     return F.count_if(F.col("first") & ~F.coalesce(unreadable, F.lit(False)))
 
 
+def one_row(spark: SparkSession, numbers: dict[str, int]) -> DataFrame:
+    """Numbers that are known already, as a table."""
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in numbers.items()])
+
+
 def run_summary(stats: DataFrame, planned: DataFrame, aggregation: DataFrame | None) -> DataFrame:
     """One row for a whole run.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.functions.contacts import standard_phone, standard_url
-from placebook.operators.dedupe import dedupe
+from placebook.operators.dedupe import dedupe, duplicate_numbers
 from placebook.operators.normalise import listings, normalise, rejected
-from placebook.operators.rollup import aggregation_summary, by_state
+from placebook.operators.rollup import by_state, one_row, readable_files
 from placebook.sinks.exports import export
 from placebook.sources.documents import scan_documents
 
@@ -57,24 +57,26 @@ def directory_of(
 ) -> Directory:
     """Normalise, dedupe, export and count ``(file, v[, problem])`` documents.
 
-    Two tables are written on the way. Documents are parsed once into ``records``, and counts
-    and deduplication read that; exports and roll-ups read ``directory``.
+    Two tables are written on the way. Documents are parsed once into ``records``, which
+    deduplication reads; exports and roll-ups read ``directory``. The summary is counted while the
+    two are written: by the tasks that write, of which each counts once.
     """
     spark = documents.sparkSession
-    rows = normalise(with_file_order(documents, order))
+    read, kept = Observation(), Observation()
+    rows = normalise(with_file_order(documents, order)).observe(read, readable_files().alias("input_files"))
     rows.write.mode("overwrite").parquet(f"{output_path}/records")
     records = spark.read.parquet(f"{output_path}/records")
     found = listings(records)
     if standardise:
         found = standardise_contacts(found)
     winners = dedupe(found, ["file_ord", "file", "pos"], mode)
-    winners.write.mode("overwrite").parquet(f"{output_path}/directory")
+    winners.observe(kept, *duplicate_numbers()).write.mode("overwrite").parquet(f"{output_path}/directory")
     businesses = spark.read.parquet(f"{output_path}/directory")
     return Directory(
         businesses=businesses,
         rejected=rejected(records),
         by_state=by_state(businesses),
-        summary=aggregation_summary(records, businesses),
+        summary=one_row(spark, {**read.get, **kept.get}),
         output_files=export(businesses, output_path, formats),
     )
 

@@ -55,3 +55,19 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the package's own; nothing happens if it is gone already."""
     system, name = _file_system(spark, folder)
     system.delete(name, True)
+
+
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to another place of the same file system, over what is there.
+
+    An empty source, which a write without rows leaves out, gives an empty target.
+    """
+    system, name = _file_system(spark, target)
+    start = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    system.delete(name, True)
+    if not system.exists(start):
+        system.mkdirs(name)
+        return
+    system.mkdirs(name.getParent())
+    if not system.rename(start, name):
+        raise OSError(f"could not move {source} to {target}")

@@ -6,7 +6,6 @@ Nothing is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,21 +14,24 @@ from placebook.fixed_values import CSV_COLUMNS
 from placebook.functions.templates import json_text
 from placebook.operators.dedupe import FIRST_SEEN
 from placebook.operators.normalise import EXTRA_FIELDS
+from placebook.session import remove, replace_folder
 
 
-def _write_lines(lines: DataFrame, path: str, line_end: str = "\n") -> None:
-    """Write ``(section, place, line)`` rows in order."""
-    in_order = lines.orderBy("section", "place").select("line")
-    in_order.write.mode("overwrite").option("lineSep", line_end).text(path)
+#: Text formats and the folders they are written to.
+FORMATS = {"json": "results.json", "document": "results_document.json", "csv": "results.csv"}
 
 
-def ordered(directory: DataFrame) -> DataFrame:
-    """The directory by place. Spark leaves out a sort of rows that it knows to be in order."""
-    return directory.orderBy(FIRST_SEEN)
+def _places(directory: DataFrame) -> DataFrame:
+    """One row: the last place, by which the record without a comma behind it is known."""
+    return directory.agg(F.max(FIRST_SEEN).alias("last_place"))
 
 
-def _no_place(directory: DataFrame) -> Column:
-    return F.lit(None).cast(directory.schema[FIRST_SEEN].dataType).alias("place")
+def _frame(rows: DataFrame, directory: DataFrame, lines: list[tuple[int, Column]]) -> DataFrame:
+    """Lines in front of (section 0) and behind (section 2) all records."""
+    no_place = F.lit(None).cast(directory.schema[FIRST_SEEN].dataType).alias("place")
+    return rows.select(
+        F.inline(F.array(*[F.struct(F.lit(section).alias("section"), no_place, line.alias("line")) for section, line in lines]))
+    )
 
 
 def _record_json(directory: DataFrame) -> Column:
@@ -47,7 +49,7 @@ def _record_json(directory: DataFrame) -> Column:
     return F.when(F.col("extra").isNull(), base).otherwise(both)
 
 
-def export_csv(directory: DataFrame, path: str) -> None:
+def _csv_lines(directory: DataFrame) -> DataFrame:
     """CSV with a header, nine columns, doubled quotes, CRLF line ends and blanks for null.
 
     Spark's own CSV writer would change line feeds inside values to its line end, and repeat
@@ -58,19 +60,11 @@ def export_csv(directory: DataFrame, path: str) -> None:
         doubled = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
         quoted = F.when(F.col(name).rlike('[",\r\n]'), doubled).otherwise(F.col(name))
         fields.append(F.coalesce(quoted, F.lit("")))
-    header = ",".join(CSV_COLUMNS)
-    first = directory.agg(F.min(FIRST_SEEN).alias("place")).first().place
-    if first is None:
-        lines = directory.sparkSession.range(1).select(F.lit(header).alias("line"))
-    else:
-        # The header stands in front of the first record, known by its place.
-        line = F.concat_ws(",", *fields)
-        is_first = F.lit(True)
-        for name, value in first.asDict().items():
-            is_first = is_first & F.col(FIRST_SEEN)[name].eqNullSafe(F.lit(value))
-        titled = F.when(is_first, F.concat(F.lit(f"{header}\r\n"), line)).otherwise(line)
-        lines = ordered(directory).select(titled.alias("line"))
-    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    # The writer ends each line with a line feed.
+    line = F.concat(F.concat_ws(",", *fields), F.lit("\r"))
+    records = directory.select(F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"), line.alias("line"))
+    header = F.lit(",".join(CSV_COLUMNS) + "\r")
+    return _frame(directory.sparkSession.range(1), directory, [(0, header)]).unionByName(records)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +84,12 @@ def _manifest(directory: DataFrame) -> DataFrame:
     )
 
 
-def export_json(directory: DataFrame, path: str) -> None:
-    """One JSON object per line in ``businesses``, and ``manifest`` with time and count."""
-    records = ordered(directory).select(_record_json(directory).alias("line"))
-    records.write.mode("overwrite").text(f"{path}/businesses")
-    _manifest(directory).write.mode("overwrite").json(f"{path}/manifest")
+def _json_lines(directory: DataFrame) -> DataFrame:
+    """One JSON object per line."""
+    return directory.select(F.lit(1).alias("section"), F.col(FIRST_SEEN).alias("place"), _record_json(directory).alias("line"))
 
 
-def export_json_document(directory: DataFrame, path: str) -> None:
+def _document_lines(directory: DataFrame) -> DataFrame:
     """One JSON document over several text parts: envelope, then records, indented by two.
 
     Its lines are sorted by section and place, so each part holds a stretch of the document.
@@ -117,11 +109,10 @@ def export_json_document(directory: DataFrame, path: str) -> None:
         ]
         tail = F.when(F.col("extra").isNotNull(), F.concat(F.lit(",\n"), F.concat_ws(",\n", *nested)))
         record = F.concat(record, F.coalesce(tail, F.lit("")))
-    last = directory.agg(F.max(FIRST_SEEN).alias("last_place"))
-    # Every record but the last one, known by its place, has a comma behind it.
+    # Every record but the last one has a comma behind it.
     comma = F.when(F.col("last_place").isNull(), ",").otherwise("")
     records = directory.join(
-        F.broadcast(last), F.col(FIRST_SEEN) == F.col("last_place"), "left"
+        F.broadcast(_places(directory)), F.col(FIRST_SEEN) == F.col("last_place"), "left"
     ).select(
         F.lit(1).alias("section"),
         F.col(FIRST_SEEN).alias("place"),
@@ -133,16 +124,46 @@ def export_json_document(directory: DataFrame, path: str) -> None:
         F.when(F.col("total_records") == 0, "]\n}").otherwise(""),
     )
     closing = F.when(F.col("total_records") > 0, "  ]\n}")
-    no_place = _no_place(directory)
-    frame = _manifest(directory).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("section"), no_place, opening.alias("line")),
-                F.struct(F.lit(2).alias("section"), no_place, closing.alias("line")),
-            )
-        )
-    )
-    _write_lines(frame.where("line IS NOT NULL").unionByName(records), path)
+    frame = _frame(_manifest(directory), directory, [(0, opening), (2, closing)])
+    return frame.where("line IS NOT NULL").unionByName(records)
+
+
+_LINES = {"csv": _csv_lines, "json": _json_lines, "document": _document_lines}
+
+
+def _write(directory: DataFrame, paths: dict[str, str]) -> None:
+    """Write formats in order, each to its path, by one sort of all their lines.
+
+    Lines are dealt out by ranges of format, section and place, so a part file holds a stretch of one
+    format and parts sort by name. Nothing is kept on executors: what a lost one had is sorted again,
+    and no more.
+    """
+    spark = directory.sparkSession
+    top = paths[next(iter(paths))]
+    work = f"{top}-lines"
+    lines = None
+    for name in paths:
+        own = _LINES[name](directory).withColumn("format", F.lit(name))
+        lines = own if lines is None else lines.unionByName(own)
+    in_order = lines.orderBy("format", "section", "place").select("format", "line")
+    in_order.write.mode("overwrite").partitionBy("format").text(work)
+    for name, path in paths.items():
+        replace_folder(spark, f"{work}/format={name}", path)
+    remove(spark, work)
+
+
+def export_csv(directory: DataFrame, path: str) -> None:
+    _write(directory, {"csv": path})
+
+
+def export_json(directory: DataFrame, path: str) -> None:
+    """One JSON object per line in ``businesses``, and ``manifest`` with time and count."""
+    _write(directory, {"json": f"{path}/businesses"})
+    _manifest(directory).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def export_json_document(directory: DataFrame, path: str) -> None:
+    _write(directory, {"document": path})
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -157,25 +178,16 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def export(directory: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> list[str]:
-    """Write the wanted formats and return the written paths.
+    """Write the wanted formats by one sort and return the written paths.
 
     ``json`` is one object per line with a manifest, ``document`` one JSON document with its envelope.
     """
-    unknown = set(formats) - {"json", "csv", "document"}
+    unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
-    written = []
-    # Sorted once for all formats. Rows kept on disk keep their order; lost ones are sorted again.
-    rows = ordered(directory).persist(StorageLevel.DISK_ONLY) if len(formats) > 1 else directory
+    written = {name: f"{path}/{folder}" for name, folder in FORMATS.items() if name in formats}
+    if written:
+        _write(directory, {name: f"{to}/businesses" if name == "json" else to for name, to in written.items()})
     if "json" in formats:
-        written.append(f"{path}/results.json")
-        export_json(rows, written[-1])
-    if "document" in formats:
-        written.append(f"{path}/results_document.json")
-        export_json_document(rows, written[-1])
-    if "csv" in formats:
-        written.append(f"{path}/results.csv")
-        export_csv(rows, written[-1])
-    if len(formats) > 1:
-        rows.unpersist()
-    return written
+        _manifest(directory).write.mode("overwrite").json(f"{written['json']}/manifest")
+    return list(written.values())

@@ -18,12 +18,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from placebook.operators.dedupe import dedupe, duplicate_counts, merge_winners
+from placebook.operators.dedupe import dedupe, duplicate_numbers, merge_winners
 from placebook.operators.normalise import listings, normalise, rejected
-from placebook.operators.rollup import by_state, readable_files, side_by_side
+from placebook.operators.rollup import by_state, one_row, readable_files
 from placebook.plans.directory import Directory, standardise_contacts
 from placebook.session import has_files, remove
 from placebook.sinks.exports import export
@@ -112,13 +111,13 @@ def add_batch(
         return
     # Parsed once.
     records, part = f"{store}/records/batch={batch_id}", f"{store}/parts/level=0-batch={batch_id}"
-    normalise(documents).write.mode("overwrite").parquet(records)
+    read = Observation()
+    normalise(documents).observe(read, readable_files().alias("files")).write.mode("overwrite").parquet(records)
     rows = spark.read.parquet(records)
     found = standardise_contacts(listings(rows)) if standardise else listings(rows)
     dedupe(found, ORDER, mode).write.mode("overwrite").parquet(f"{part}/winners")
     rejected(rows).write.mode("overwrite").parquet(f"{part}/rejected")
-    files = rows.agg(readable_files().alias("n")).first().n
-    added = Part(f"level=0-batch={batch_id}", 0, files)
+    added = Part(f"level=0-batch={batch_id}", 0, read.get["files"])
     state = replace(state, last_batch=batch_id, parts=(*state.parts, added))
     # A merge that fills the next level is made there at once.
     level, full = 0, []
@@ -164,13 +163,15 @@ def publish(spark: SparkSession, store: str, output_path: str, formats: tuple[st
     The directory is merged once, into a table below ``output_path``, and all else reads that.
     """
     state = _state(spark, store)
-    read_directory(spark, store).write.mode("overwrite").parquet(f"{output_path}/directory")
+    kept = Observation()
+    winners = read_directory(spark, store).observe(kept, *duplicate_numbers())
+    winners.write.mode("overwrite").parquet(f"{output_path}/directory")
     businesses = spark.read.parquet(f"{output_path}/directory")
-    files = spark.range(1).select(F.lit(sum(p.files for p in state.live())).cast("long").alias("input_files"))
+    numbers = {"input_files": sum(p.files for p in state.live()), **kept.get}
     return Directory(
         businesses=businesses,
         rejected=_read(spark, store, state.live(), "rejected"),
         by_state=by_state(businesses),
-        summary=side_by_side(files, duplicate_counts(businesses)),
+        summary=one_row(spark, numbers),
         output_files=export(businesses, output_path, formats),
     )
