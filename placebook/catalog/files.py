@@ -35,6 +35,7 @@ from placebook.sources.documents import (
     readable,
     scan_documents,
 )
+from placebook.sources.kept_texts import kept_texts
 
 BOOK = Book()
 
@@ -134,6 +135,26 @@ def directory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_directory(spark, folder, fresh_path(spark, "directory"), "*.txt").summary
 
 
+@BOOK.query(f"""{_BUILT_SQL}
+SELECT CAST(count(*) AS BIGINT) AS input_files,
+       CAST(3 * count(*) AS BIGINT) AS total_records_found,
+       CAST((SELECT count(*) FROM kept) AS BIGINT) AS unique_records,
+       CAST(3 * count(*) - (SELECT count(*) FROM kept) AS BIGINT) AS duplicates_removed,
+       (SELECT CAST(count(*) AS BIGINT) FROM ({plain(SUPPLIER_DOCUMENTS)})) AS kept_texts
+FROM docs
+""")
+def directory_of_kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files come in two lots, each file is opened by one of two runs, and the directory is whole."""
+    documents = derive(spark, sf_dir, SUPPLIER_DOCUMENTS)
+    folder, store = fresh_path(spark, "documents"), fresh_path(spark, "texts")
+    for lot in (0, 1):
+        texts = documents.where(F.col("s_suppkey") % 2 == lot).select("value").repartition(8)
+        texts.write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        built = build_directory(spark, folder, fresh_path(spark, "directory"), "*.txt", texts_store=store, formats=())
+    texts = kept_texts(spark, store).agg(F.count("*").alias("kept_texts"))
+    return built.summary.join(F.broadcast(texts))
+
+
 @BOOK.query(f"SELECT {', '.join(f'nullif({c}, {chr(39)*2}) AS {c}' for c in CSV_COLUMNS)} FROM ({WINNERS_SQL})")
 def export_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "csv")

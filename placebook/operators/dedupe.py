@@ -26,11 +26,12 @@ def _best(df: DataFrame, seen: Column, extra_aggs: list[Column]) -> DataFrame:
     """One row per key by a total order: more filled first, then seen earlier.
 
     A plain aggregate, so every task first reduces its own rows to one per key. A key with a
-    third of all rows then sends one row per task through the shuffle.
+    third of all rows then sends one row per task through the shuffle. Rows are sorted for it by a
+    hash before the key: names share their first letters, and hashes are told apart at a glance.
     """
     payload = [c for c in df.columns if c not in (KEY, FIRST_SEEN, SIGHTINGS)]
     best = F.min_by(F.struct(*payload), F.struct(-F.col("filled"), seen)).alias("best")
-    grouped = df.groupBy(KEY).agg(best, *extra_aggs)
+    grouped = df.groupBy(F.xxhash64(KEY), KEY).agg(best, *extra_aggs)
     return grouped.select(*[F.col("best")[c].alias(c) for c in payload], KEY, FIRST_SEEN, SIGHTINGS)
 
 

@@ -12,7 +12,8 @@ from placebook.operators.dedupe import dedupe, duplicate_numbers
 from placebook.operators.normalise import listings, normalise, rejected
 from placebook.operators.rollup import by_state, one_row, readable_files
 from placebook.sinks.exports import export
-from placebook.sources.documents import scan_documents
+from placebook.sources.documents import parse_texts, scan_documents
+from placebook.sources.kept_texts import update_texts
 
 # Place of files that a given order does not name: behind all others, by name.
 _LAST = 2**62
@@ -82,7 +83,20 @@ def directory_of(
 
 
 def build_directory(
-    spark: SparkSession, input_path: str, output_path: str, pattern: str = "*.json", **options
+    spark: SparkSession,
+    input_path: str,
+    output_path: str,
+    pattern: str = "*.json",
+    texts_store: str | None = None,
+    **options,
 ) -> Directory:
-    """``directory_of`` the documents of a folder."""
-    return directory_of(scan_documents(spark, input_path, pattern), output_path, **options)
+    """``directory_of`` the documents of a folder.
+
+    With ``texts_store`` the folder's texts are kept there as a table, and only files that are new
+    since the last run are opened; see ``update_texts``.
+    """
+    if texts_store is None:
+        documents = scan_documents(spark, input_path, pattern)
+    else:
+        documents = parse_texts(update_texts(spark, input_path, texts_store, pattern))
+    return directory_of(documents, output_path, **options)

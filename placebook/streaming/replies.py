@@ -8,20 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from placebook.sources.documents import parse_texts, source_name, tag_replies
+from placebook.sources.documents import parse_texts, tag_replies
+from placebook.sources.kept_texts import text_stream as reply_stream
 from placebook.streaming.store import add_batch
 
 
-def reply_stream(
-    spark: SparkSession, path: str, pattern: str = "*.json", files_per_batch: int = 10_000
-) -> DataFrame:
-    """``(file, value)``: each arriving file one row."""
-    reader = spark.readStream.format("text").option("wholetext", True)
-    reader = reader.option("pathGlobFilter", pattern)
-    files = reader.option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select(source_name().alias("file"), "value")
-
-
 def each_batch(
     stream: DataFrame,
     handler: Callable[[DataFrame, int], None],

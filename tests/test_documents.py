@@ -1,11 +1,13 @@
 """Folders of documents, and documents of every shape."""
 
+import glob
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from placebook.operators.normalise import listings, normalise, rejected
+from placebook.plans.directory import build_directory
 from placebook.sources.documents import (
     parse_texts,
     quarantined,
@@ -13,6 +15,7 @@ from placebook.sources.documents import (
     scan_documents,
     scan_raw_replies,
 )
+from placebook.sources.kept_texts import kept_texts, update_texts
 
 
 @pytest.fixture
@@ -163,3 +166,37 @@ def test_limits_of_the_parser_have_their_own_reason(spark):
     ]
     rows = spark.createDataFrame([t[:2] for t in texts], "file string, value string")
     assert {r.file: r.problem for r in parse_texts(rows).collect()} == {t[0]: t[2] for t in texts}
+
+
+def test_kept_texts_equal_the_folder_and_open_new_files_only(spark, tmp_path):
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    assert update_texts(spark, str(folder), store).collect() == []
+
+    def write(names, text):
+        for name in names:
+            (folder / name).write_text(text)
+
+    write(["a.json", "b +1.json", "c_raw.json", "d.txt"], '[{"company_name": "A"}]')
+    write(["empty.json"], "")
+    first = build_directory(spark, str(folder), str(tmp_path / "o1"), texts_store=store, formats=())
+    plain = build_directory(spark, str(folder), str(tmp_path / "o2"), formats=())
+    assert first.summary.collect() == plain.summary.collect()
+    assert sorted(r.file for r in kept_texts(spark, store).collect()) == ["a.json", "b +1.json", "c_raw.json"]
+    # What is kept need not be there any more, and is not looked at again.
+    write(["a.json", "b +1.json"], "not read again")
+    write(["e.json"], '[{"company_name": "E"}]')
+    again = build_directory(spark, str(folder), str(tmp_path / "o3"), texts_store=store, formats=())
+    assert tuple(again.summary.first()) == (3, 3, 2, 1)
+    assert update_texts(spark, str(folder), store).count() == 4
+    assert len(glob.glob(f"{store}/texts/*.parquet")) <= 4
+
+
+def test_a_file_of_the_table_holds_a_bounded_number_of_texts(spark, tmp_path):
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(25):
+        (folder / f"{i}.json").write_text("[]")
+    assert update_texts(spark, str(folder), store, files_per_part=4).count() == 25
+    counts = spark.read.parquet(f"{store}/texts").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in counts) <= 4
