@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placebook.llm.shared import kept
+from placebook.session import remove
 
 
 def components(edges: DataFrame, folder: str, most_rounds: int = 200) -> DataFrame:
@@ -22,7 +23,9 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 200) -> DataFra
     now = kept(edges.where(F.col("a") != F.col("b")).select(a.alias("a"), b.alias("b")).distinct(), f"{folder}/round-0")
 
     def summary(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        # Sets of edges of equal size, sum and exclusive or of 64-bit hashes are taken for equal.
+        code = F.xxhash64("a", "b")
+        return tuple(df.agg(F.count("*"), F.sum(code.cast("decimal(38,0)")), F.bit_xor(code)).first())
 
     before = summary(now)
     for n in range(1, most_rounds + 1):
@@ -38,6 +41,8 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 200) -> DataFra
         )
         now = kept(small.select("e.a", "e.b").where("a <> b").distinct(), f"{folder}/round-{n}")
         after = summary(now)
+        for table in (f"round-{n - 1}", f"least-{n}", f"large-{n}", f"low-{n}"):
+            remove(spark, f"{folder}/{table}")
         if after == before:
             break
         before = after

@@ -44,33 +44,63 @@ def _rule(host: str, path: str, wanted: str) -> str:
     return f"CASE{cases} END"
 
 
+def _without_dots(path: str) -> str:
+    segments = f"string_split(substr({path}, 2), '/')"
+    stack = (
+        f"list_reduce(list_transform({segments}, lambda x: [x]), lambda kept, one: CASE one[1] WHEN '..' THEN list_slice(kept, 1, len(kept) - 1) "
+        f"WHEN '.' THEN kept ELSE list_concat(kept, one) END, CAST([] AS VARCHAR[]))"
+    )
+    last = rf"CASE WHEN regexp_matches({path}, '/\.\.?$') THEN [''] ELSE CAST([] AS VARCHAR[]) END"
+    clean = f"'/' || array_to_string(list_concat({stack}, {last}), '/')"
+    return rf"CASE WHEN regexp_matches({path}, '/\.\.?(?:/|$)') THEN {clean} ELSE {path} END"
+
+
 def _node(url: str) -> str:
     part = [f"regexp_extract({url}, '{_URL}', {i})" for i in range(5)]
-    return f"CASE WHEN contains({url}, '://') THEN {_lowered(part[1])} || '://' || {_lowered(part[2])} || {part[3]} || {part[4]} END"
+    scheme, host = _lowered(part[1]), _lowered(part[2])
+    port = f"CASE {scheme} WHEN 'http' THEN ':80' WHEN 'https' THEN ':443' ELSE ':' END"
+    host = f"CASE WHEN ends_with({host}, {port}) THEN left({host}, length({host}) - length({port})) ELSE {host} END"
+    path = _without_dots(f"coalesce(nullif({part[3]}, ''), '/')")
+    return f"CASE WHEN contains({url}, '://') THEN {scheme} || '://' || {host} || {path} || {part[4]} END"
+
+
+_ATTRIBUTE = r"""([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''<>]+)"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    names = f"list_transform(regexp_extract_all({tag}, '{_ATTRIBUTE}', 1), lambda n: lower(n))"
+    value = f"regexp_extract_all({tag}, '{_ATTRIBUTE}', 2)[list_position({names}, '{name}')]"
+    return f"trim({value}, '\"''')"
+
+
+def _seen_from(link: str, base: str) -> str:
+    scheme, site, path = (f"regexp_extract({base}, '{_URL}', {i})" for i in (1, 2, 3))
+    return f"""CASE
+    WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {link}
+    WHEN starts_with({link}, '//') THEN {scheme} || ':' || {link}
+    WHEN starts_with({link}, '/') THEN {scheme} || '://' || {site} || {link}
+    WHEN starts_with({link}, '?') THEN {scheme} || '://' || {site} || {path} || {link}
+    WHEN starts_with({link}, '#') THEN {base}
+    ELSE {scheme} || '://' || {site} || coalesce(nullif(regexp_extract({path}, '(?s)^(.*/)', 1), ''), '/') || {link} END"""
 
 
 OP3 = rf"""
 WITH RECURSIVE parsed AS (SELECT page_id, url, html,
     {_lowered(f"coalesce(regexp_extract(url, '{_URL}', 2), '')")} AS host,
     coalesce(regexp_extract(url, '{_URL}', 3), '') AS path FROM pages),
-tags AS (SELECT url, unnest(list_concat(
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*'), lambda t: regexp_matches(t,
-        '(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|''(?:[^'']*\s)?canonical[\s'']|canonical(?:[\s/]|\z))')),
-      lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)),
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda t: regexp_matches(t,
-        '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-      lambda t: regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?\s*[\d.]+\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1)))) AS raw
+tagged AS (SELECT url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:link|meta|base)\b[^<>]*(?:>|\z)') AS tags
   FROM pages WHERE contains(url, '://')),
-links AS (SELECT url, replace(raw, '&amp;', '&') AS link, regexp_extract(url, '{_URL}', 1) AS scheme,
-    regexp_extract(url, '{_URL}', 2) AS site, regexp_extract(url, '{_URL}', 3) AS path FROM tags WHERE raw <> ''),
-edges AS (SELECT {_node('url')} AS a, CASE
-    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-    WHEN starts_with(link, '//') THEN scheme || ':' || link
-    WHEN starts_with(link, '/') THEN scheme || '://' || site || link
-    WHEN starts_with(link, '?') THEN scheme || '://' || site || path || link
-    WHEN starts_with(link, '#') THEN url
-    ELSE scheme || '://' || site || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS target
-  FROM links),
+based AS (SELECT url, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base')),
+    lambda t: trim({_attribute('t', 'href')})), lambda b: b IS NOT NULL)[1] AS base FROM tagged),
+tags AS (SELECT url, base, unnest(tags) AS t FROM based),
+links AS (SELECT url, CASE WHEN base IS NULL THEN url ELSE {_seen_from('base', 'url')} END AS near, replace(CASE
+    WHEN regexp_matches(t, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({_attribute('t', 'rel')}), '[\s/]+'), 'canonical')
+      THEN trim({_attribute('t', 'href')})
+    WHEN regexp_matches(t, '(?i)^<meta') AND lower({_attribute('t', 'http-equiv')}) = 'refresh'
+      THEN regexp_extract({_attribute('t', 'content')}, '(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&') AS link
+  FROM tags),
+seen AS (SELECT url, CASE WHEN contains(near, '://') THEN near ELSE url END AS near, link FROM links WHERE link <> ''),
+edges AS (SELECT {_node('url')} AS a, {_seen_from('link', 'near')} AS target FROM seen),
 both_ways AS (SELECT a, {_node('target')} AS b FROM edges UNION SELECT {_node('target')}, a FROM edges),
 reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 judged AS (SELECT node, {_rule(_lowered(f"regexp_extract(other, '{_URL}', 2)"), f"regexp_extract(other, '{_URL}', 3)", 'verdict')} AS own

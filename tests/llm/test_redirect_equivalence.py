@@ -107,3 +107,86 @@ def test_every_tag_of_a_page_counts(spark, tmp_path):
     duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
     assert sorted((r[0], r[1]) for r in duck.sql(f"SELECT page_id, verdict FROM ({OP3})").fetchall()) == got
+
+
+#: (base, link, target): RFC 3986, section 5.4, and what pages hold besides.
+RESOLVED = [
+    ("http://a.net/b/c/d;p?q", "g", "http://a.net/b/c/g"),
+    ("http://a.net/b/c/d;p?q", "./g", "http://a.net/b/c/g"),
+    ("http://a.net/b/c/d;p?q", "g/", "http://a.net/b/c/g/"),
+    ("http://a.net/b/c/d;p?q", "/g", "http://a.net/g"),
+    ("http://a.net/b/c/d;p?q", "//g", "http://g/"),
+    ("http://a.net/b/c/d;p?q", "?y", "http://a.net/b/c/d;p?y"),
+    ("http://a.net/b/c/d;p?q", "#s", "http://a.net/b/c/d;p?q"),
+    ("http://a.net/b/c/d;p?q", ".", "http://a.net/b/c/"),
+    ("http://a.net/b/c/d;p?q", "..", "http://a.net/b/"),
+    ("http://a.net/b/c/d;p?q", "../g", "http://a.net/b/g"),
+    ("http://a.net/b/c/d;p?q", "../..", "http://a.net/"),
+    ("http://a.net/b/c/d;p?q", "../../../g", "http://a.net/g"),
+    ("http://a.net/b/c/d;p?q", "/./g", "http://a.net/g"),
+    ("http://a.net/b/c/d;p?q", "g;x=1/../y", "http://a.net/b/c/y"),
+    ("http://a.net/b/c/d;p?q", "g?y/../x", "http://a.net/b/c/g?y/../x"),
+    ("http://a.net/b/c/d;p?q", "..g/g.", "http://a.net/b/c/..g/g."),
+    ("http://a.net", "g", "http://a.net/g"),
+    ("HTTP://A.net:80", "?z", "http://a.net/?z"),
+    ("https://a.net:443/x", "http://B.net:80", "http://b.net/"),
+    ("https://a.net:80/x", "y//../z", "https://a.net:80/y/z"),
+]
+
+
+def test_links_are_resolved(spark):
+    rows = spark.createDataFrame(RESOLVED, "base string, link string, target string")
+    from pyspark.sql import functions as F
+
+    from placebook.llm.redirect_equivalence import node_of, resolved
+
+    got = rows.select("base", "link", node_of(resolved(F.col("link"), F.col("base"))).alias("target")).collect()
+    assert [tuple(r) for r in got] == RESOLVED
+
+
+def test_base_comments_attributes_and_ports(spark, tmp_path):
+    """The operator and the SQL on pages that hold all of them."""
+    link = "<link rel=canonical href='{}'>"
+    html = [
+        "<base href='http://b0.net/'>" + link.format("es/1"),
+        "<BASE target=_top><base href=../es/ ><base href='http://lone.org/'>" + link.format("x"),
+        "<!-- " + link.format("http://b2.net/es/") + " -->" + link.format("http://lone2.org/"),
+        "<!-- open " + link.format("http://b3.net/es/"),
+        link.format("../../es/./q"),
+        link.format("http://b5.net:80/x/../es/q"),
+        "<link title=\"rel=stylesheet href='http://lone6.org/'\" rel=canonical href=http://b6.net/es/ >",
+        "<meta name=x content='0;url=http://b7.net/es/'>",
+        '<meta http-equiv="refresh" content="5; URL=\'http://b8.net/es/\'">',
+        link.format("javascript:go()") + link.format("mailto:a@b9.net"),
+        "<base href='mailto:x'>" + link.format("//b10.net/es/"),
+        "<link rel=canonical/>" + "<link data-rel=canonical href=http://b11.net/es/>",
+        link.format(" http://b12.net/fr/?a&amp;b "),
+        "<link rel=canonical rel=stylesheet href=http://b13.net/es/ href=http://lone13.org/>",
+    ]
+    want = "block block allow allow block block block allow block allow block allow block block".split()
+    urls = [f"http://p{i}.org/a/b" for i in range(len(html))]
+    urls[1], urls[4] = "http://p1.net/a/b/c", "http://p4.net/a/b/c/d"
+    want[1] = "allow"  # /a/es/x is not /es/x
+    html[4] = link.format("../../../es/./q")
+    rows = [(i, url, text) for i, (url, text) in enumerate(zip(urls, html, strict=True))]
+    rows.append((50, "http://b5.net/es/q?", None))
+    got = collected(judged(pages(spark, rows), str(tmp_path)), "page_id", "verdict")
+    assert got == [*enumerate(want), (50, "block")]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted((r[0], r[1]) for r in duck.sql(f"SELECT page_id, verdict FROM ({OP3})").fetchall()) == got
+
+
+def test_long_pages_of_open_tags_take_linear_time(spark, tmp_path):
+    import time
+
+    texts = ["<link " * 180_000, "<!--" * 250_000, "<meta content=" * 80_000, "<link rel='" * 100_000, "<base href=a" * 90_000]
+    one = pages(spark, [(i, f"http://a{i}.org/", text) for i, text in enumerate(texts)]).cache()
+    assert one.count() == 5
+    from placebook.llm.redirect_equivalence import alias_edges
+
+    alias_edges(one).count()
+    began = time.monotonic()
+    assert alias_edges(one).count() == 0
+    assert time.monotonic() - began < 5
