@@ -1,18 +1,21 @@
 """Sharding through a fixed number of virtual slots.
 
 Every record is hashed into one of a few thousand slots by its id, for ever. A stored, versioned
-map gives each slot to a shard. Rebalancing measures the bytes of the slots and edits the map: whole
-slots move from full shards to empty ones, and everything else stays where it is. The law kept is
-``bytes``: the shards' sizes are near equal.
-
-Null texts have no bytes, and a null id is hashed as such. Repeated rows are placed like any other
-row; rows with equal ids share a slot. Positions within a shard follow slot, id, checksum and
+map gives each slot to a shard. A run loads the newest version, measures the bytes of the slots and
+edits the map: whole slots move from full shards to empty ones, and everything else stays where
+it is. An edited map is stored as the next version, so data that grew a little moves a little. The
+law kept is ``bytes``: the shards' sizes are near equal.
+
+Null texts have no bytes. A record without an id is hashed by its text, so that such records spread.
+Repeated rows are placed like any other row; rows with equal ids share a slot, as the law of slots
+asks, and so do equal texts without an id. Positions within a shard follow slot, id, checksum and
 size, so only rows alike in all of these can swap places. Further columns are not read, and an
 empty table gives an empty result with a map for no bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.shared import fresh_folder, kept
+from placebook.session import has_files
 
 #: Number of slots; never changes for a data set. A map of this many entries fits anywhere.
 SLOTS = 8192
@@ -43,6 +47,13 @@ class SlotMap:
         """Store this version beside the earlier ones; none is overwritten."""
         self.frame(spark).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={self.version}")
 
+    @staticmethod
+    def newest(spark: SparkSession, folder: str) -> SlotMap | None:
+        """The last version that was stored whole; None where there is none."""
+        if not has_files(spark, f"{folder}/version=*/_SUCCESS"):
+            return None
+        return SlotMap.load(spark, folder, spark.read.parquet(folder).agg(F.max("version")).first()[0])
+
     @staticmethod
     def load(spark: SparkSession, folder: str, version: int) -> SlotMap:
         rows = spark.read.parquet(f"{folder}/version={version}").orderBy("virtual_slot").collect()
@@ -60,7 +71,8 @@ def rebalanced(before: SlotMap, sizes: list[int], shards: int, tolerance: float
 
     Works on the fixed number of slots only, whatever the data.
     """
-    now = list(before.shards)
+    # Slots of shards that are given up go anywhere first.
+    now = [shard if shard < shards else slot % shards for slot, shard in enumerate(before.shards)]
     own: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     for slot, shard in enumerate(now):
         own[shard].append((sizes[slot], slot))
@@ -98,7 +110,9 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(data) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(data)).otherwise(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(slots))
+        .cast("int")
+        .alias("virtual_slot"),
     )
 
 
@@ -108,21 +122,33 @@ def slot_sizes(slotted: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
-    """Shard and position of every record; the first map and the edited one are stored in ``folder``."""
+    """Shard and position of every record, by the map stored in ``folder``, which is edited first.
+
+    ``from_shard`` is where the record's slot was under the version before, so the rows to be moved are
+    those where it differs. A folder without a map starts with equal ranges of slots as version 0.
+    """
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "slots")
-    slotted = kept(with_slots(docs, slots), f"{folder}/records")
+    start = SlotMap.newest(spark, f"{folder}/map")
+    if start is None:
+        start = first_map(shards, slots)
+        start.save(spark, f"{folder}/map")
+    if len(start.shards) != slots:
+        raise ValueError(f"the map in {folder} has {len(start.shards)} slots, and their number never changes")
+    slotted = kept(with_slots(docs, slots), f"{folder}/records-{uuid.uuid4().hex}")
     by_slot = slot_sizes(slotted)
     sizes = [0] * slots
     for row in by_slot.collect():  # one row per slot: a fixed number
         sizes[row.virtual_slot] = row.slot_bytes
-    start = first_map(shards, slots)
-    start.save(spark, f"{folder}/map")
     used = rebalanced(start, sizes, shards)
-    used.save(spark, f"{folder}/map")
+    if used.shards == start.shards and start.version:
+        used = start
+    else:
+        used.save(spark, f"{folder}/map")
+    moved = start.frame(spark).select("virtual_slot", F.col("shard").alias("from_shard"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = used.frame(spark).join(by_slot, "virtual_slot").select(
-        "virtual_slot", "shard", "map_version", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base")
+    bases = used.frame(spark).join(moved, "virtual_slot").join(by_slot, "virtual_slot").select(
+        "virtual_slot", "shard", "from_shard", "map_version", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base")
     )
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
@@ -138,5 +164,6 @@ def sharded(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None
             F.lit(None).cast("int").alias("grown_shard"),
             "virtual_slot",
             "map_version",
+            "from_shard",
         )
     )
