@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placebook.llm.shared import kept
+from placebook.llm.shared import free_name, kept
 
 
 @dataclass(frozen=True)
@@ -181,6 +181,7 @@ MASK = "[secret]"
 def masked(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with all their columns; spans of secrets, joined where they overlap, read ``[secret]``."""
     findings = scan(docs, folder, rules)
+    told_blob, told_spans = free_name(docs, "told_blob"), free_name(docs, "told_spans")
     # A span begins a new stretch if all before it in its text end earlier.
     earlier = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("blob").orderBy("start", "end")
@@ -191,8 +192,8 @@ def masked(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> Dat
         .withColumn("stretch", F.sum("new").over(upto))
         .groupBy("blob", "stretch")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy(F.col("blob").alias("_blob"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+        .groupBy(F.col("blob").alias(told_blob))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(told_spans))
     )
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -200,14 +201,14 @@ def masked(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> Dat
         return F.substring("text", (at + 1).cast("int"), (to - at).cast("int"))
 
     # Text between secrets: from the end of one to the start of the next.
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
+    starts = F.concat(F.transform(told_spans, lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(told_spans, lambda s: s["end"]))
     between = F.zip_with(ends, starts, stretch)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(between, MASK))
-    joined = docs.join(stretches, F.unhex(F.sha2(whole, 256)) == F.col("_blob"), "left")
+    text = F.when(F.col(told_spans).isNull(), F.col("text")).otherwise(F.array_join(between, MASK))
+    joined = docs.join(stretches, F.unhex(F.sha2(whole, 256)) == F.col(told_blob), "left")
     changed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn(
-            "n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+            "n_chars", F.when(F.col(told_spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
         )
-    return changed.select(*docs.columns)
+    return changed.drop(told_blob, told_spans)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.components import components
-from placebook.llm.shared import kept, matched
+from placebook.llm.shared import free_name, kept, matched
 from placebook.llm.words import Texts, mix, slices, texts, words
 
 
@@ -375,6 +375,8 @@ def survivors(docs: DataFrame, folder: str, forest: Forest = Forest()) -> DataFr
     # A window gives one of several equal rows; it sorts only rows that repeat.
     again = matched(docs, heads.where("rows > 1"), "left_semi")
     with_words = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) != ""
-    copy = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"])
-    one = again.where(with_words).withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")
+    # Maps and the like have no order of their own; their text has one.
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+    copy, place = Window.partitionBy("doc_id", "text").orderBy(*rest, "doc_id"), free_name(docs, "copy")
+    one = again.where(with_words).withColumn(place, F.row_number().over(copy)).where(F.col(place) == 1).drop(place)
     return once.unionByName(one).unionByName(again.where(~with_words))

@@ -78,9 +78,16 @@ def _unplanes(data: memoryview, count: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, count * size).reshape(size, count).T).view(kind).ravel()
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as they are stored, in 32 bits; more than that is refused, not cut off."""
+    if len(counts) and int(counts.max()) >= 1 << 32:
+        raise OverflowError(f"a count of {int(counts.max())} does not fit 32 bits: use smaller training sets or wider files")
+    return counts.astype(np.uint32)
+
+
 def coded(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
     """Ascending keys and 32-bit numbers for each."""
-    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(_planes(c.astype(np.uint32)) for c in columns)
+    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(_planes(narrow(c)) for c in columns)
 
 
 def decoded(data: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -253,7 +260,7 @@ def _write_pairs(folder: str, bases: tuple[int, ...]) -> Callable[[pa.Table], pa
         hashes = mix(keys)
         order = np.argsort(hashes)
         write_file(folder, f"pairs-{part}", [hashes[order].tobytes()])
-        write_file(folder, f"pair-counts-{part}", [counts[order].astype(np.uint32).tobytes()])
+        write_file(folder, f"pair-counts-{part}", [narrow(counts[order]).tobytes()])
         # What each word is as a context, and as a continuation.
         none = np.zeros(len(keys), np.int64)
         as_context = [counts, counts == 1, counts == 2, counts > 2, none]

@@ -78,9 +78,18 @@ def mapped(folder: str, name: str) -> pa.Buffer:
         return file.read_buffer()
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any letter case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def matched(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     """Rows of ``docs``, with all their columns, that are ("left_semi") or are not ("left_anti") in
     ``verdicts`` (doc_id, text_key), by id and text; null ids equal null ids."""
-    told = verdicts.select(F.col("doc_id").alias("_told_id"), F.col("text_key").alias("_told_key"))
+    told_id, told_key = free_name(docs, "told_id"), free_name(docs, "told_key")
+    told = verdicts.select(F.col("doc_id").alias(told_id), F.col("text_key").alias(told_key))
     own_id, own_key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    return docs.join(told, own_id.eqNullSafe(F.col("_told_id")) & (own_key == F.col("_told_key")), how)
+    return docs.join(told, own_id.eqNullSafe(F.col(told_id)) & (own_key == F.col(told_key)), how)

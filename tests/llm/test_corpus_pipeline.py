@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from placebook.llm.compression_bands import accepted, fitted, judged
@@ -89,3 +90,19 @@ def test_stages_take_empty_tables(spark, folder):
 def test_accepted_rows_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, " ".join(f"a{i * 7919 % 1009}" for i in range(90)), [1, 2], "k")], "doc_id int, text string, ids array<int>, kept string")
     assert accepted(docs).collect() == docs.collect()
+
+
+#: Names that operators use for columns of their own.
+NAMES = ["told_id", "TOLD_KEY", "told_blob", "told_spans", "copy", "blob", "spans", "words", "kept", "node", "text_key", "_copy", "start", "a.b"]
+
+
+def test_stages_take_columns_of_any_name_and_kind(spark, folder):
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = given.unionByName(given.limit(40))  # rows that repeat
+    odd = odd.select("*", *[F.lit(i).alias(name) for i, name in enumerate(NAMES)], F.create_map(F.lit("k"), F.col("source")).alias("m"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = (stage(spark, df, folder) for df in (given.unionByName(given.limit(40)), odd))
+        assert more.columns == odd.columns, name
+        key = F.concat_ws("|", "doc_id", "text")
+        assert sorted(r[0] for r in more.select(key).collect()) == sorted(r[0] for r in plain.select(key).collect()), name
+        assert more.where(F.col("told_blob") != 2).count() == 0

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from placebook.llm.kneser_ney import coded, decoded, discounts, scored
+from placebook.llm.kneser_ney import coded, decoded, discounts, scored, summed
 from tests.llm.cases import frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +103,12 @@ def test_blobs_come_back():
     counts = np.arange(len(keys))
     back, (got,) = decoded(coded(keys, [counts]), 1)
     assert (back == keys).all() and (got == counts).all()
+
+
+def test_counts_beyond_32_bits_are_refused():
+    keys = np.array([3, 9], np.uint64)
+    most = (1 << 32) - 1
+    assert decoded(coded(keys, [np.array([1, most])]), 1)[1][0].tolist() == [1, most]
+    merged, (total,) = summed(np.array([3, 3], np.uint64), [np.array([most, 1])])  # two tasks' blobs
+    with pytest.raises(OverflowError):
+        coded(merged, [total])
