@@ -6,7 +6,7 @@ documents or versions hold it, and joins findings back to all of them. A rule wi
 is a new pair.
 
 Matches are leftmost and do not overlap within a rule; those that are too short are dropped after
-matching. Null texts are empty and hold nothing. Repeated rows get equal results. Only doc_id and
+matching. Null texts are empty and hold nothing. A text of any length is scanned whole, as one row. Repeated rows get equal results. Only doc_id and
 text are read; an empty table gives an empty result and leaves the ledger as it was.
 """
 

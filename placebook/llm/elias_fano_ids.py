@@ -10,7 +10,8 @@ memory.
 
 Layout (little endian): ids, boundaries, document ids, footer. Null document ids come first and
 are counted in the footer. Null texts are empty; every document has its end id. Documents with
-equal ids follow each other, ordered by text. Further columns are not read. An empty table gives
+equal ids follow each other, ordered by text. A text of any length is encoded whole, a few megabytes
+of texts at a time, a longer one by itself. Further columns are not read. An empty table gives
 no file.
 """
 

@@ -12,7 +12,8 @@ exactly, in blocks of bounded size that spread over tasks. Pairs never become ro
 the number of links of each of its texts and a spanning forest.
 
 A text without words has no gram, is linked to nothing and is a group of its own. Equal texts are
-linked. A null id is an id like any other; a group is named by its least id. Repeated rows
+linked. Texts are taken whole: a very long one is a slice of its own when it is signed, and makes its block
+of verification hold fewer others. A null id is an id like any other; a group is named by its least id. Repeated rows
 count as documents. Only doc_id and text are read; an empty table gives an empty result.
 """
 

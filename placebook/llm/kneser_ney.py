@@ -11,7 +11,8 @@ loaded whole.
 
 Words are cut at white space, A-Z made small; each text ends with an end token and starts after a
 begin context. A null text is empty and has just its end token. A null doc_id is treated as an
-empty one when rows are split for training. Repeated rows count as often as they are there.
+empty one when rows are split for training. Texts are taken whole, in slices of a few megabytes cut
+between texts; a longer text is a slice of its own. Counts of 2**32 or more are refused. Repeated rows count as often as they are there.
 Only doc_id and text are read. Without training texts every token has probability 1 / (V + 1) = 1.
 """
 

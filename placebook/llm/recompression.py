@@ -15,7 +15,8 @@ removed whole, and of anchors that stand in different blocks the windows themsel
 by 128 bits of hash. So hot passages cost one row per block, and few windows become rows.
 
 Windows lie within one document. A null or empty text has no words. A null doc_id counts as larger than
-any other. Rows of equal doc_id remove nothing from each other. Only doc_id and text are read;
+any other. Rows of equal doc_id remove nothing from each other. Texts are taken whole, in slices of a
+few megabytes cut between texts; a longer text is a slice of its own. Only doc_id and text are read;
 an empty table gives an empty result.
 """
 

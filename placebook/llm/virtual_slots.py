@@ -9,7 +9,8 @@ law kept is ``bytes``: the shards' sizes are near equal.
 Null texts have no bytes. A record without an id is hashed by its text, so that such records spread.
 Repeated rows are placed like any other row; rows with equal ids share a slot, as the law of slots
 asks, and so do equal texts without an id. Positions within a shard follow slot, id, checksum and
-size, so only rows alike in all of these can swap places. Further columns are not read, and an
+size, so only rows alike in all of these can swap places. A very long text counts with all its bytes
+and is not cut; its shard is as much larger as no trade of slots can even out. Further columns are not read, and an
 empty table gives an empty result with a map for no bytes.
 """
 

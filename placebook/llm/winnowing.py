@@ -10,7 +10,8 @@ hold it, and these are compared word by word with those of the items.
 A benchmark item of fewer words than a passage is one passage by itself; documents are searched
 for all grams of such lengths. Null and empty texts have no words and hit nothing. Equal items
 count as often as they occur if their ids differ. Repeated document rows get one result each. Only
-doc_id, text and item_id are read; with no documents the result is empty, with no items nothing
+doc_id, text and item_id are read. A text is taken whole, as one row: a very long one takes memory in
+proportion to its words in the task that holds it. With no documents the result is empty, with no items nothing
 is hit.
 
 Everything is built from array functions. Each step that reads an array twice is a column of its
