@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placebook.llm.shared import kept
-from placebook.llm.words import LOWER, Texts, named, per_text, runs, slices, texts
+from placebook.llm.words import LOWER, Texts, named, runs, slices, texts
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
