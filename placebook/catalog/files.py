@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placebook.catalog.base import Book, derive, plain
-from placebook.catalog.listings import PART_LISTINGS, WINNERS_SQL, part_winners
+from placebook.catalog.listings import WINNERS_SQL, part_winners
 from placebook.catalog.texts import OUTERMOST_SQL, REPLIES, REPLY_SQL, replies, valid_sql
 from placebook.fixed_values import CSV_COLUMNS
 from placebook.operators.dedupe import dedupe
@@ -30,7 +30,6 @@ from placebook.sinks.replies import (
 )
 from placebook.sources.documents import (
     parse_texts,
-    quarantined,
     read_texts,
     readable,
     scan_documents,

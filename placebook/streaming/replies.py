@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placebook.sources.documents import parse_texts, tag_replies
-from placebook.sources.kept_texts import text_stream as reply_stream
+from placebook.sources.kept_texts import text_stream
 from placebook.streaming.store import add_batch
 
+#: ``(file, value)``: each arriving file one row.
+reply_stream = text_stream
+
 
 def each_batch(
     stream: DataFrame,
