@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placebook.session import has_files
+from placebook.session import count_files, has_files
 from placebook.sources.documents import tag_replies
 
 RESULT_SCHEMA = (
@@ -112,7 +112,7 @@ def run_kept(
                 first = spark.read.parquet(f"{path}/attempt=1/tasks")
                 asked = first.join(failed, "task_key", "left_semi")
             _keep_slices(asked, f"{part}/tasks", slice_rows)
-        _run_slices(spark, part, work, concurrency, attempt)
+        _run_slices(spark, part, work, concurrency, attempt, slice_rows)
     return kept_results(spark, path, attempts)
 
 
@@ -122,9 +122,14 @@ def _keep_slices(tasks: DataFrame, path: str, slice_rows: int) -> None:
     tasks.repartition(slices, "task_key").write.mode("overwrite").parquet(path)
 
 
-def _run_slices(spark: SparkSession, part: str, work: Callable[[dict], str], concurrency: int, attempt: int) -> None:
-    schema = spark.read.parquet(f"{part}/tasks").schema
-    slices = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{part}/tasks")
+def _run_slices(
+    spark: SparkSession, part: str, work: Callable[[dict], str], concurrency: int, attempt: int, slice_rows: int
+) -> None:
+    tasks = spark.read.parquet(f"{part}/tasks")
+    # Spark may have written more files than were asked for; a slice is then several of them.
+    wanted = max(1, -(-tasks.count() // slice_rows))
+    files = -(-count_files(spark, f"{part}/tasks/part-*") // wanted)
+    slices = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", max(1, files)).parquet(f"{part}/tasks")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # A slice that comes again after a failure replaces what its first try left.

@@ -44,11 +44,15 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
 
 
-def has_files(spark: SparkSession, pattern: str) -> bool:
-    """Whether any file or folder has a path like ``pattern``, on any file system Spark knows."""
+def count_files(spark: SparkSession, pattern: str) -> int:
+    """How many files and folders have a path like ``pattern``, on any file system Spark knows."""
     system, name = _file_system(spark, pattern)
     found = system.globStatus(name)
-    return found is not None and len(found) > 0
+    return 0 if found is None else len(found)
+
+
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    return count_files(spark, pattern) > 0
 
 
 def remove(spark: SparkSession, folder: str) -> None:
