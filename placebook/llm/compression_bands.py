@@ -4,8 +4,8 @@ A text's ratio is its bytes divided by their zstandard size. Repeated text has a
 a low one. What is usual depends on the length, so limits are given by length; a text is judged
 as a whole and in fixed chunks, which finds junk inside a long text that the whole hides.
 
-What a table's clean texts look like is learned from its own labels: ``fitted`` takes a bounded sample
-of texts that are labelled clean and pass the base rules, and sets per length the mean ratio less 10
+What a table's clean texts look like is learned from its own labels: ``fitted`` takes all texts
+that are labelled clean and pass the base rules, and sets per length the mean ratio less 10
 standard deviations as the least and the mean plus 5, or the most of a clean text, as the most. Junk that
 lies close to clean text is told by that. Lengths with few labelled texts, and tables without labels,
 keep the wide limits of ``Bands``, which ordinary prose, source code and printed tables pass; they
@@ -198,10 +198,11 @@ def accepted(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     return numbered.mapInArrow(run, numbered.schema).toDF(*names)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = 10_000, bands: Bands = Bands()) -> Bands:
-    """``bands`` with limits from texts of ``docs`` that pass the base rules and whose ``labels`` (doc_id,
-    quality) say 1: at most ``sample`` ids, those with the least hashes. A length with fewer than 10
-    texts or chunks keeps its limits, and so do the first and the last length of whole texts.
+def fitted(docs: DataFrame, labels: DataFrame, sample: int | None = None, bands: Bands = Bands()) -> Bands:
+    """``bands`` with limits from all texts of ``docs`` that pass the base rules and whose ``labels`` (doc_id,
+    quality) say 1; only with ``sample`` from those of at most so many ids, with the least hashes. A length
+    with fewer than 10 texts or chunks keeps its limits, and so do the first and the last length of whole
+    texts. Ratios are taken where a text lies and joined with the labels as numbers: no text is shuffled.
     """
     rows = {"text": bands.limits, "chunk": bands.chunk_limits}
 
@@ -212,16 +213,25 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 10_000, bands: Band
             out = []
             for i, size, whole, sizes, parts in _ratios(given, bands):
                 if not failed[i]:
-                    out += [("text", size, whole)] + [("chunk", *x) for x in zip(sizes.tolist(), parts.tolist(), strict=True)]
+                    out += [(i, "text", size, whole)] + [(i, "chunk", *x) for x in zip(sizes.tolist(), parts.tolist(), strict=True)]
             at = {kind: np.array([x[0] for x in limits]) for kind, limits in rows.items()}
-            row = [int(np.searchsorted(at[kind], size, side="right")) - 1 for kind, size, _ in out]
+            row = [int(np.searchsorted(at[kind], size, side="right")) - 1 for _, kind, size, _ in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array(row, pa.int64()), pa.array([x[2] for x in out], pa.float64())],
-                ["kind", "row", "ratio"],
+                [
+                    batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())),
+                    pa.array([x[1] for x in out], pa.string()),
+                    pa.array(row, pa.int64()),
+                    pa.array([x[3] for x in out], pa.float64()),
+                ],
+                ["doc_id", "kind", "row", "ratio"],
             )
 
-    chosen = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ratios = docs.select("doc_id", "text").join(chosen, "doc_id").select("text").mapInArrow(run, "kind string, row long, ratio double")
+    chosen = labels.where("quality = 1").select("doc_id").distinct()
+    if sample is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    own = narrow.schema["doc_id"].dataType.simpleString()
+    ratios = narrow.where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {own}, kind string, row long, ratio double").join(chosen, "doc_id")
     found = {(r.kind, r.row): r for r in ratios.groupBy("kind", "row").agg(
         F.avg("ratio").alias("mean"), F.stddev_samp("ratio").alias("sd"), F.max("ratio").alias("most"), F.count("*").alias("n")).collect()}
 

@@ -121,3 +121,14 @@ def test_ordinary_texts_pass(spark):
         got = judged(frame(spark, list(enumerate(found)))).where("not base_failed").collect()
         assert len(got) >= 20, kind
         assert sum(r.kept for r in got) >= 0.95 * len(got), kind
+
+
+def test_limits_come_from_every_labelled_text(spark):
+    """The texts behind the first 10,000 ids by hash, which a bounded sample left out, are others."""
+    ids = spark.range(10_300).selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id), id) AS place")
+    word = "concat(IF(place > 10000, 'aaa', ''), substr(sha1(concat(doc_id, '-', n)), 1, IF(place > 10000, 2, 5)))"
+    docs = ids.selectExpr("doc_id", f"array_join(transform(sequence(1, 60), n -> {word}), ' ') AS text").localCheckpoint()
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    whole = fitted(docs, labels)
+    assert whole == fitted(docs, labels, sample=10_300)
+    assert whole != fitted(docs, labels, sample=10_000)
