@@ -9,6 +9,10 @@ from placebook.operators.enrich import keyed
 from placebook.sources.documents import tag_replies
 
 
+#: Bits of one bitmap of Spark's bitmap functions.
+_BLOCK = 32_768
+
+
 def _write(df: DataFrame, path: str) -> None:
     # Writing a run again replaces that run and leaves the others.
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -20,26 +24,41 @@ def save_replies(results: DataFrame, path: str, run_id: str, prefer: str = "arra
 
     ``results`` are kept task results; see ``save_results``. Failed ones leave nothing. Replies
     are known by ``task_key``, which is unique within a run. ``parsed_replies`` has a row for every
-    raw text: either ``v`` or ``problem`` is null.
+    raw text: either ``v`` or ``problem`` is null. ``results`` are read once: payloads are cut from the
+    raw texts that were written.
     """
+    spark = results.sparkSession
     stamp = {"run_id": F.lit(run_id), "saved_at": F.current_timestamp()}
     columns = ["saved_at", "run_id"]
     good = keyed(results).where("success").withColumns(stamp)
-    _write(good.select("task_key", "task_id", F.col("output").alias("value"), *columns), f"{path}/raw_replies")
-    tagged = tag_replies(good.select("task_key", "task_id", "output", *columns), "output", prefer)
+    raw = good.select("task_key", "task_id", F.col("output").alias("value"), *columns)
+    _write(raw, f"{path}/raw_replies")
+    kept = spark.read.schema(raw.schema).parquet(f"{path}/raw_replies").where(F.col("run_id") == run_id)
+    tagged = tag_replies(kept, "value", prefer)
     _write(tagged.select("task_key", "task_id", F.col("payload").alias("v"), "problem", *columns), f"{path}/parsed_replies")
 
 
 def _chosen(rows: DataFrame, run_id: str | None, first: list[Column]) -> DataFrame:
     """The replies of one run, or over all runs one of each key: the last saved, after ``first``.
 
-    It is found on narrow columns; runs saved at the same time go by their id.
+    It is found on narrow columns; runs saved at the same time go by their id. Texts and payloads stay
+    where they are: the rows to keep are told by a bit each, by file and place in it, and these bits are
+    sent to every task, an eighth of a byte a reply.
     """
     if run_id is not None:
         return rows.where(F.col("run_id") == run_id)
-    last = rows.groupBy("task_key").agg(F.max(F.struct(*first, "saved_at", "run_id")).alias("last"))
-    last = last.select("task_key", "last.saved_at", "last.run_id")
-    return rows.join(last, ["task_key", "saved_at", "run_id"], "left_semi")
+    place = F.col("_metadata.row_index")
+    placed = rows.withColumns(
+        {"at_file": F.col("_metadata.file_path"), "at_block": F.floor(place / _BLOCK), "at_bit": place % _BLOCK}
+    )
+    at = ["at_file", "at_block", "at_bit"]
+    keys = placed.select("task_key", "saved_at", "run_id", F.struct(*first, "saved_at", "run_id").alias("stamp"), *at)
+    last = keys.groupBy("task_key").agg(F.max("stamp").alias("last")).select("task_key", "last.saved_at", "last.run_id")
+    chosen = keys.join(last, ["task_key", "saved_at", "run_id"], "left_semi")
+    bits = chosen.groupBy(*at[:2]).agg(F.bitmap_construct_agg("at_bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at_bit") / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, CAST(at_bit % 8 AS INT))")) != 0
+    return placed.join(F.broadcast(bits), at[:2]).where(is_set).select(*rows.columns)
 
 
 def read_raw_replies(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
