@@ -1,7 +1,7 @@
 """Run every task through an outside function, in parallel and without failing the run.
 
 Calls to an outside function are slow and cost money, so nothing is asked twice by accident. Tasks
-are kept as a table of many small files, each a slice of the keys. The table is read as a stream,
+are kept as a table of files, each a slice of the keys. The table is read as a stream,
 slice by slice, and every slice's results are committed alone: a run that is broken off loses the
 slice it was in, and the same call goes on behind the last committed one.
 """
@@ -23,6 +23,8 @@ RESULT_SCHEMA = (
 )
 #: Outcomes handed on at a time; a lost task repeats no more than it has to.
 _AT_ONCE = 16
+#: Slices of a run at the most, unless the caller says how large they are: each costs a commit of its own.
+MOST_SLICES = 64
 
 
 def keyed(tasks: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def run_kept(
     them. Tasks that failed are asked again until ``attempts`` attempts are made; ``work`` finds the
     number in the task's ``attempt``. Calling again with more attempts asks for the failed ones only,
     and their results of every attempt stay.
-    ``slice_rows`` tasks are committed at a time, by default 64 for each that runs at a time.
+    ``slice_rows`` tasks are committed at a time, by default 64 for each that runs at a time, or more where
+    that would be over ``MOST_SLICES`` slices: a broken run then repeats a 64th of its tasks at the most.
     """
     spark = tasks.sparkSession
-    slice_rows = slice_rows or max(2_000, 64 * concurrency)
     for attempt in range(1, attempts + 1):
         part = f"{path}/attempt={attempt}"
         if not has_files(spark, f"{part}/tasks/_SUCCESS"):
@@ -111,23 +113,23 @@ def run_kept(
                 failed = kept_results(spark, path, attempt - 1).where(~F.col("success")).select("task_key")
                 first = spark.read.parquet(f"{path}/attempt=1/tasks")
                 asked = first.join(failed, "task_key", "left_semi")
-            _keep_slices(asked, f"{part}/tasks", slice_rows)
+            asked.repartition(_slices(asked.count(), concurrency, slice_rows), "task_key").write.mode("overwrite").parquet(f"{part}/tasks")
         _run_slices(spark, part, work, concurrency, attempt, slice_rows)
     return kept_results(spark, path, attempts)
 
 
-def _keep_slices(tasks: DataFrame, path: str, slice_rows: int) -> None:
-    """Write tasks as files of about ``slice_rows`` tasks by the hash of their key."""
-    slices = max(1, -(-tasks.count() // slice_rows))
-    tasks.repartition(slices, "task_key").write.mode("overwrite").parquet(path)
+def _slices(count: int, concurrency: int, slice_rows: int | None) -> int:
+    """Into how many slices so many tasks are cut."""
+    slice_rows = slice_rows or max(2_000, 64 * concurrency, -(-count // MOST_SLICES))
+    return max(1, -(-count // slice_rows))
 
 
 def _run_slices(
-    spark: SparkSession, part: str, work: Callable[[dict], str], concurrency: int, attempt: int, slice_rows: int
+    spark: SparkSession, part: str, work: Callable[[dict], str], concurrency: int, attempt: int, slice_rows: int | None
 ) -> None:
     tasks = spark.read.parquet(f"{part}/tasks")
     # Spark may have written more files than were asked for; a slice is then several of them.
-    wanted = max(1, -(-tasks.count() // slice_rows))
+    wanted = _slices(tasks.count(), concurrency, slice_rows)
     files = -(-count_files(spark, f"{part}/tasks/part-*") // wanted)
     slices = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", max(1, files)).parquet(f"{part}/tasks")
 
