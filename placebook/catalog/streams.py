@@ -113,10 +113,14 @@ FROM ({plain(SUPPLIER_DOCUMENTS)})""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = supplier_folder(spark, sf_dir)
     copied = fresh_path(spark, "copied")
-    stream = reply_stream(spark, folder, "*.txt", files_per_batch=40)
+    # Every batch costs a commit, so larger tables come in larger batches and not in more of them.
+    per_batch = max(40, -(-derive(spark, sf_dir, SUPPLIER_DOCUMENTS).count() // 25))
+    stream = reply_stream(spark, folder, "*.txt", files_per_batch=per_batch)
 
     def copy(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{copied}/batch={batch_id}")
+        # Spark plans a task per few small files; together they write fewer.
+        few = batch.coalesce(4 * spark.sparkContext.defaultParallelism)
+        few.write.mode("overwrite").parquet(f"{copied}/batch={batch_id}")
 
     each_batch(stream, copy, fresh_path(spark, "progress")).awaitTermination()
     return spark.read.parquet(copied).agg(
