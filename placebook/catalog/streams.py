@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placebook.catalog.base import Book, derive, filled_sql, key_sql, plain
 from placebook.catalog.files import SUPPLIER_DOCUMENTS, supplier_folder
 from placebook.catalog.shapes import BAD_DOCUMENTS, REJECTS_SQL
-from placebook.session import fresh_path
+from placebook.session import count_files, fresh_path
 from placebook.sinks.exports import read_csv
 from placebook.streaming.replies import (
     each_batch,
@@ -134,11 +134,12 @@ SELECT CAST(event_id AS STRING) AS task_id, event_type <> 'error' AS success FRO
 
 
 def _result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task results as a stream, a few files per batch."""
+    """Task results as a stream, a few files per batch; larger tables have larger files and batches."""
     folder = fresh_path(spark, "results")
     results = derive(spark, sf_dir, _RESULTS)
-    results.write.option("maxRecordsPerFile", 4000).parquet(folder)
-    reader = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 2)
+    results.write.option("maxRecordsPerFile", max(4000, -(-results.count() // 32))).parquet(folder)
+    per_batch = max(2, -(-count_files(spark, f"{folder}/part-*") // 16))
+    reader = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", per_batch)
     return reader.parquet(folder)
 
 
