@@ -52,16 +52,18 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 """
 
 
-def _write_files(spark: SparkSession, texts: DataFrame, name: str) -> str:
-    """Write every text as a file of its own and return the folder."""
-    path = fresh_path(spark, name)
+def _write_files(spark: SparkSession, texts: DataFrame, path: str) -> None:
+    """Write every text as a file of its own below a folder."""
     spread = texts.select("value").repartition(spark.sparkContext.defaultParallelism)
-    spread.write.option("maxRecordsPerFile", 1).text(path)
-    return path
+    # Tasks put their files in place themselves; the driver would move one after the other.
+    writer = spread.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def supplier_folder(spark: SparkSession, sf_dir: str) -> str:
-    return _write_files(spark, derive(spark, sf_dir, SUPPLIER_DOCUMENTS), "documents")
+    path = fresh_path(spark, "documents")
+    _write_files(spark, derive(spark, sf_dir, SUPPLIER_DOCUMENTS), path)
+    return path
 
 
 @BOOK.query(f"""
@@ -147,8 +149,7 @@ def directory_of_kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = derive(spark, sf_dir, SUPPLIER_DOCUMENTS)
     folder, store = fresh_path(spark, "documents"), fresh_path(spark, "texts")
     for lot in (0, 1):
-        texts = documents.where(F.col("s_suppkey") % 2 == lot).select("value").repartition(8)
-        texts.write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+        _write_files(spark, documents.where(F.col("s_suppkey") % 2 == lot), folder)
         built = build_directory(spark, folder, fresh_path(spark, "directory"), "*.txt", texts_store=store, formats=())
     texts = kept_texts(spark, store).agg(F.count("*").alias("kept_texts"))
     return built.summary.join(F.broadcast(texts))

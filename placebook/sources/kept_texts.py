@@ -32,8 +32,10 @@ def update_texts(
     A store belongs to one folder and pattern. ``files_per_part`` texts make a file of the table.
     """
     texts = text_stream(spark, path, pattern, files_per_batch)
-    # Spark opens many small files in one task; a task's texts are one file of the table, or several.
-    writer = texts.writeStream.format("parquet").option("checkpointLocation", f"{store}/progress")
+    # Spark plans a task per 30 or so small files. Few tasks take them all, and a task's texts are one file of
+    # the table, or several.
+    few = texts.coalesce(4 * spark.sparkContext.defaultParallelism)
+    writer = few.writeStream.format("parquet").option("checkpointLocation", f"{store}/progress")
     writer = writer.option("maxRecordsPerFile", files_per_part)
     writer.trigger(availableNow=True).start(f"{store}/texts").awaitTermination()
     return kept_texts(spark, store)
