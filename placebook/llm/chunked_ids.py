@@ -81,16 +81,17 @@ def _one_word(tokenizer) -> Callable[[str], str | None]:
 class Encoder:
     """Ids of texts by a tokenizer file; remembers the chunks seen last, ``most`` at the most."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word = _one_word(self.tokenizer)
         self.most = most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the chunks; a worker that waits for its next task then holds only the tokenizer."""
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.firsts = np.zeros(1, np.int64)
@@ -129,7 +130,7 @@ class Encoder:
         chunks = pieces.to_pylist()
         new = [c for c in chunks if c not in self.known]
         if new and len(self.known) + len(new) > self.most:
-            self._forget()
+            self.forget()
             new = chunks
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])

@@ -110,7 +110,15 @@ class Tokens:
 
 def _writer(folder: str, tokens: Tokens) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokens.path).ids
+        # An executor may keep more workers than run at a time; those that wait hold no chunks.
+        own = encoder(tokens.path)
+        try:
+            yield from written(batches, own.ids)
+        finally:
+            own.forget()
+            pa.default_memory_pool().release_unused()
+
+    def written(batches: Iterator[pa.RecordBatch], encode: Callable) -> Iterator[pa.RecordBatch]:
         system, top = file_system(folder)
         system.create_dir(top, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}.ids"
