@@ -14,7 +14,7 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -79,23 +79,29 @@ def _one_word(tokenizer) -> Callable[[str], str | None]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; remembers the chunks seen last, ``most`` at the most."""
+    """Ids of texts by a tokenizer file; remembers chunks, ``most`` at the most.
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    Of too many the ``common`` that were met first are kept: words that come often come early.
+    """
+
+    def __init__(self, path: str, most: int = 400_000, common: int = 100_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word = _one_word(self.tokenizer)
-        self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop the chunks; a worker that waits for its next task then holds only the tokenizer."""
+        self.most, self.common = most, min(common, most // 4)
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.firsts = np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        """Drop all but the ``common`` chunks; a worker that waits for its next task holds no more."""
+        if len(self.known) > self.common:
+            self.known = dict(islice(self.known.items(), self.common))
+            self.firsts = self.firsts[: self.common + 1].copy()
+            self.flat = self.flat[: self.firsts[-1]].copy()
+
     def _learn(self, chunks: list[bytes]) -> None:
         coded: list[list[int]] = []
         others, places = [], []
@@ -131,7 +137,7 @@ class Encoder:
         new = [c for c in chunks if c not in self.known]
         if new and len(self.known) + len(new) > self.most:
             self.forget()
-            new = chunks
+            new = [c for c in chunks if c not in self.known]
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
         place = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))

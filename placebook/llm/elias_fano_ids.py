@@ -110,7 +110,7 @@ class Tokens:
 
 def _writer(folder: str, tokens: Tokens) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # An executor may keep more workers than run at a time; those that wait hold no chunks.
+        # An executor may keep more workers than run at a time; those that wait hold few chunks.
         own = encoder(tokens.path)
         try:
             yield from written(batches, own.ids)

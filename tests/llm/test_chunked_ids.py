@@ -41,3 +41,14 @@ PIECES = ["a", "B's", "é", "é", "̈", " ", "\u0085", " ", "　", " ", "
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), max_size=6))
 def test_any_mixture_of_spaces(file, drawn):
     same(file, [*drawn, None, ""])
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_only_the_common_chunks_are_kept(file):
+    encoder = Encoder(public_tokenizers.path(file), most=400, common=60)
+    rows = [t for _, t in documents()]
+    want = [e.ids for e in WHOLE[file].encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    for _ in range(2):
+        assert encoder.ids(texts(pa.array(rows, pa.string())))[0].tolist() == [i for w in want for i in w]
+        encoder.forget()
+        assert len(encoder.known) == 60 and len(encoder.flat) == encoder.firsts[-1]
