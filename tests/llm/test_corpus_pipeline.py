@@ -106,3 +106,15 @@ def test_stages_take_columns_of_any_name_and_kind(spark, folder):
         key = F.concat_ws("|", "doc_id", "text")
         assert sorted(r[0] for r in more.select(key).collect()) == sorted(r[0] for r in plain.select(key).collect()), name
         assert more.where(F.col("told_blob") != 2).count() == 0
+
+
+def test_quality_learns_from_every_labelled_text(spark, tmp_path):
+    """All texts are labelled clean; those behind the first 10,000 ids by hash compress better than the others."""
+    ids = spark.range(10_300).selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id), id) > 10000 AS late")
+    word = "concat(IF(late, 'aaa', ''), substr(sha1(concat(doc_id, '-', n)), 1, IF(late, 2, 5)))"
+    ids.selectExpr("doc_id", f"array_join(transform(sequence(1, 60), n -> {word}), ' ') AS text", "late").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    first = fitted(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), sample=10_000)
+    assert accepted(docs.where("late"), first).count() == 0
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).where("late").count() == 300
